@@ -69,9 +69,17 @@ def uniform(*parts) -> Column:
     return hash32(*parts).cast("double") / F.lit(TWO_32)
 
 
-def logistic(model: FrozenModel) -> Column:
-    """Probability of the frozen score; null when any input is null."""
-    terms = [F.lit(c) * F.col(name).cast("double") for name, c in model.coefficients.items()]
+def logistic(model: FrozenModel, lag_prefix: str = "") -> Column:
+    """Probability of the frozen score; null when any input is null.
+
+    `lag_prefix` reads the lag inputs from prefixed columns, so that two versions
+    of the readings can be scored in one row.
+    """
+
+    def source(name: str) -> Column:
+        return F.col(lag_prefix + name if "_lag" in name else name).cast("double")
+
+    terms = [F.lit(c) * source(name) for name, c in model.coefficients.items()]
     z = reduce(lambda a, b: a + b, terms, F.lit(model.intercept))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 

@@ -12,13 +12,16 @@ from pollgauge.functions.columns import critical, hour_us, utc_hour, utc_weekday
 from pollgauge.operators.sequence import HOME, at_home, near_window, neighbourhood
 
 
-def with_lags(df: DataFrame, cfg: FeedConfig, window) -> DataFrame:
+def with_lags(
+    df: DataFrame, cfg: FeedConfig, window, bikes: str = BIKES, docks: str = DOCKS, prefix: str = ""
+) -> DataFrame:
     """Add bikes and docks of k rows ago, null when those rows span too long a time."""
+    added = {}
     for k in cfg.lags:
         near_enough = (F.col(US) - F.lag(US, k).over(window)) <= cfg.reach_us(k)
-        df = df.withColumn(f"bikes_lag{k}", F.when(near_enough, F.lag(BIKES, k).over(window)))
-        df = df.withColumn(f"docks_lag{k}", F.when(near_enough, F.lag(DOCKS, k).over(window)))
-    return df
+        added[f"{prefix}bikes_lag{k}"] = F.when(near_enough, F.lag(bikes, k).over(window))
+        added[f"{prefix}docks_lag{k}"] = F.when(near_enough, F.lag(docks, k).over(window))
+    return df.withColumns(added)
 
 
 def with_label(df: DataFrame, cfg: FeedConfig, window, flag: str = "critical", name: str = "label") -> DataFrame:

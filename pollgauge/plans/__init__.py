@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pollgauge.plans.catalog import REGISTRY, Query
 
-MODULES = ("windows",)
+MODULES = ("windows", "faults")
 
 
 def load_queries() -> dict[str, Query]:

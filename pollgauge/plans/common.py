@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pollgauge.config import PERIOD_SERIES, QUARTER_HOURLY, CostModel, FaultGrid, FrozenModel
+from pollgauge.config import FEED, PERIOD, PERIOD_SERIES, QUARTER_HOURLY, CostModel, FaultGrid, FrozenModel
 from pollgauge.operators.detect import jump_rows
 from pollgauge.operators.features import build_features
 from pollgauge.operators.model import score
-from pollgauge.operators.periods import assign_period, certify_periods, continuity_segments, retained_periods
+from pollgauge.operators.periods import (
+    assign_period, certify_periods, continuity_segments, in_test_window, retained_periods,
+)
 from pollgauge.plans.catalog import view
+from pollgauge.session import materialise
 from pollgauge.sources import adapters
 
 CFG = QUARTER_HOURLY
@@ -22,6 +25,17 @@ TEST_END_US = 1_706_659_200_000_000
 TWO_FACTORS = ("class", "intensity_idx")
 
 
+def test_periods(spark, sf) -> DataFrame:
+    return in_test_window(periods(spark, sf), VAL_END_US, TEST_END_US)
+
+
+def test_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Certified rows of the test periods as a written table, and the test periods."""
+    kept = materialise(test_periods(spark, sf), "periods")
+    rows = certified(spark, sf).join(kept.select(FEED, PERIOD), [FEED, PERIOD], "left_semi")
+    return materialise(rows, "base"), kept
+
+
 def status(spark: SparkSession, sf: str) -> DataFrame:
     return adapters.status(spark, sf)
 
