@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import chain, product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pollgauge.config import SERIES, CostModel, FeedConfig
 from pollgauge.functions.columns import count_if
 from pollgauge.operators.periods import episode_starts
+from pollgauge.session import fixed_table
 
 
 def cost_columns(cfg: FeedConfig, costs: CostModel, missed: str = "missed", dispatches: str = "n_dispatches") -> list[Column]:
@@ -44,17 +46,15 @@ def policy_cost(df: DataFrame, cfg: FeedConfig, costs: CostModel, **kwargs) -> D
 
 def scenarios(spark: SparkSession, costs: CostModel) -> DataFrame:
     """All 81 combinations of the four three-level parameters; a table of fixed size."""
-    names = costs.level_names
-    out = None
-    for col, levels in (
+    axes = (
         ("sigma", costs.sigma_levels),
         ("revenue_per_ride", costs.revenue_levels),
         ("pickup_rate_per_hour", costs.pickup_levels),
         ("c_dispatch", costs.dispatch_levels),
-    ):
-        part = spark.createDataFrame(list(zip(names, levels)), f"{col} string, {col}_value double")
-        out = part if out is None else out.crossJoin(part)
-    return out
+    )
+    schema = ", ".join(f"{name} string, {name}_value double" for name, _ in axes)
+    picks = product(*[list(zip(costs.level_names, levels)) for _, levels in axes])
+    return fixed_table(spark, [tuple(chain.from_iterable(pick)) for pick in picks], schema)
 
 
 def cost_sweep(counts: DataFrame, cfg: FeedConfig, costs: CostModel) -> DataFrame:

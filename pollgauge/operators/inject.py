@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pollgauge.config import BIKES, DOCKS, FEED, PERIOD, PERIOD_SERIES, SECOND_US, SERIES, STATION, US, FaultGrid
 from pollgauge.functions.columns import count_if, hash32, uniform
 from pollgauge.operators.sequence import number_rows
+from pollgauge.session import fixed_table
 
 EXPERIMENT = ("experiment_id", "class", "intensity_idx", "seed")
 EXPERIMENT_SCHEMA = (
@@ -31,7 +32,7 @@ SYNTHETIC = "SYNTHETIC - modified from observed data; never to be reported as ob
 
 def experiments(spark: SparkSession, grid: FaultGrid) -> DataFrame:
     """The grid as a table of fixed size, one row per experiment."""
-    table = spark.createDataFrame(grid.rows(), EXPERIMENT_SCHEMA)
+    table = fixed_table(spark, grid.rows(), EXPERIMENT_SCHEMA)
     name = F.concat(F.col("class"), F.lit("__i"), F.col("intensity_idx"), F.lit("__seed"), F.col("seed"))
     return table.select(name.alias("experiment_id"), "*")
 
@@ -41,7 +42,7 @@ def _of_class(exps: DataFrame, fault_class: str) -> DataFrame:
 
 
 def _seeds(spark: SparkSession, grid: FaultGrid) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in grid.seeds], "seed int")
+    return fixed_table(spark, [(s,) for s in grid.seeds], "seed int")
 
 
 def chosen_periods(base: DataFrame, periods: DataFrame, grid: FaultGrid) -> DataFrame:

@@ -409,11 +409,10 @@ def union_periods(spark, sf):
 
 
 @query("safeguard_repair", """
-SELECT experiment_id, feed_id, period_id, station_id, us, num_bikes_available, num_docks_available FROM recovered
-WHERE intensity_idx = 2""")
+SELECT experiment_id, feed_id, period_id, station_id, us, num_bikes_available, num_docks_available FROM recovered""")
 def safeguard_repair_query(spark, sf):
     base, periods = K.test_rows(spark, sf)
-    exps = inject.experiments(spark, G).filter(F.col("intensity_idx") == 2)
+    exps = inject.experiments(spark, G)
     out = None
     for fault_class in (G.FROZEN, G.CAPACITY, G.JUMP):
         ours = exps.filter(F.col("class") == fault_class)

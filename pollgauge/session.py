@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -65,3 +66,13 @@ def materialise(df, name: str):
     path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
+
+
+def fixed_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of fixed parameters, inlined in the plan so that Spark knows its size."""
+    fields = [f.split() for f in schema.split(",")]
+    columns = [pa.array(col, _ARROW[kind]) for col, (_, kind) in zip(zip(*rows), fields)]
+    return spark.createDataFrame(pa.table(columns, names=[name for name, _ in fields]))

@@ -102,10 +102,27 @@ def acquisition_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.substring(F.md5("event_type"), 1, 16))
         .alias("sha16"),
         "event_id",
+        micros("ts").alias(US),
         _group_of_users(USERS_PER_STATION * STATIONS_PER_FEED).alias(FEED),
     )
 
 
+def station_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offset between the feed's clock (end of slot) and the station's last report, in seconds."""
+    slot = floor_to(micros("ts"), POLL_US)
+    last = F.max(micros("ts"))
+    return (
+        table(spark, sf_dir, "events")
+        .groupBy(
+            _group_of_users(USERS_PER_STATION * STATIONS_PER_FEED).alias(FEED),
+            _group_of_users(USERS_PER_STATION).alias(STATION),
+            slot.alias(US),
+        )
+        .agg(last.alias("_last"))
+        .select(FEED, STATION, US, F.floor((F.col(US) + POLL_US - F.col("_last")) / 1_000_000).alias("offset_s"))
+    )
+
+
 def cell_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replicates in a two-factor layout: factor a (5) x factor b (4) x replicate (5)."""
     return (
