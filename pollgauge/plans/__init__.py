@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pollgauge.plans.catalog import REGISTRY, Query
 
-MODULES = ("windows", "faults", "reports", "statistics")
+MODULES = ("archive", "windows", "faults", "reports", "statistics")
 
 
 def load_queries() -> dict[str, Query]:

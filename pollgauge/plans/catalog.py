@@ -17,11 +17,15 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 class Query:
     name: str
     run: QueryFn
-    sql: str | None
+    twin: str | None
+
+    @property
+    def sql(self) -> str | None:
+        return with_views(self.twin) if self.twin else None
 
 
 REGISTRY: dict[str, Query] = {}
-# Named sub-selects that the SQL twins share, in definition order.
+# Named sub-selects that the SQL twins share.
 VIEWS: dict[str, str] = {}
 
 
@@ -30,18 +34,21 @@ def view(name: str, body: str) -> None:
 
 
 def with_views(sql: str) -> str:
-    """Prefix a twin with the shared sub-selects that it names."""
-    needed: set[str] = set()
-    todo = [sql]
-    while todo:
-        text = todo.pop()
+    """Prefix a twin with the shared sub-selects that it names, each after those it needs."""
+    ordered: list[str] = []
+
+    def add(text: str) -> None:
         words = set(re.findall(r"[A-Za-z_][A-Za-z0-9_]*", text))
-        for name in words & VIEWS.keys() - needed:
-            needed.add(name)
-            todo.append(VIEWS[name])
-    if not needed:
+        for name in VIEWS:
+            if name in words and name not in ordered and text is not VIEWS[name]:
+                add(VIEWS[name])
+                if name not in ordered:
+                    ordered.append(name)
+
+    add(sql)
+    if not ordered:
         return sql.strip()
-    parts = [f"{name} AS (\n{VIEWS[name]}\n)" for name in VIEWS if name in needed]
+    parts = [f"{name} AS (\n{VIEWS[name]}\n)" for name in ordered]
     return "WITH " + ",\n".join(parts) + "\n" + sql.strip()
 
 
@@ -52,7 +59,7 @@ def query(name: str, sql: str | None = None):
 
         if name in REGISTRY:
             raise ValueError(f"query {name} is registered twice")
-        REGISTRY[name] = Query(name, run, with_views(sql) if sql else None)
+        REGISTRY[name] = Query(name, run, sql)
         return fn
 
     return wrap

@@ -123,6 +123,66 @@ def station_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def snapshot_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly snapshots of each feed as JSON texts; some repeat the last state, some are cut off."""
+    feed = _group_of_users(USERS_PER_STATION * STATIONS_PER_FEED).alias(FEED)
+    bikes = F.least(F.lit(CAPACITY), F.floor(F.max("value") / 5)).cast("int")
+    rows = (
+        table(spark, sf_dir, "events")
+        .groupBy(feed, _group_of_users(USERS_PER_STATION).alias(STATION), hour_us(micros("ts")).alias(US))
+        .agg(bikes.alias(BIKES), F.floor(F.max(micros("ts")) / SECOND_US).alias("last_reported"))
+    )
+    entry = F.struct(STATION, BIKES, (F.lit(CAPACITY) - F.col(BIKES)).alias(DOCKS), "last_reported")
+    # A snapshot document holds the stations of one feed, four here.
+    docs = rows.groupBy(FEED, US).agg(F.sort_array(F.collect_list(entry)).alias("stations"))
+    late = F.when(hash32("late", F.col(FEED), F.col(US)) % 5 == 0, 3600).otherwise(0)
+    updated = ((F.col(US) / SECOND_US).cast("bigint") - late).alias("last_updated")
+    docs = docs.select(
+        FEED,
+        F.date_format(F.timestamp_micros(F.col(US) + 7 * SECOND_US), "yyyyMMdd'T'HHmmss'Z'").alias("request"),
+        updated,
+        F.struct("stations").alias("data"),
+        (hash32("cut", F.col(FEED), F.col(US)) % 50 == 0).alias("cut"),
+    )
+    text = F.to_json(F.struct("last_updated", "data"))
+    return docs.withColumn("value", F.when(F.col("cut"), F.substring(text, 1, 40)).otherwise(text))
+
+
+def poll_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of the hourly polls, with their request names."""
+    feed = _group_of_users(USERS_PER_STATION * STATIONS_PER_FEED).alias(FEED)
+    polls = table(spark, sf_dir, "events").groupBy(feed, hour_us(micros("ts")).alias(US)).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    failed = hash32("fail", F.col(FEED), F.col(US)) % 10 == 0
+    return polls.select(
+        FEED,
+        F.date_format(F.timestamp_micros(F.col(US) + 7 * SECOND_US), "yyyyMMdd'T'HHmmss'Z'").alias("ts"),
+        F.when(failed, "ERROR").otherwise("200").alias("status"),
+        F.lit(120).alias("latency_ms"),
+        (F.col("n") * 100).cast("int").alias("bytes"),
+        F.lit(STATIONS_PER_FEED).alias("n_stations"),
+        F.when(failed, "Timeout: no answer").otherwise(F.substring(F.md5(F.col("n").cast("string")), 1, 16)).alias("sha16"),
+    )
+
+
+def registry_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily station lists as JSON texts: the stations seen that day."""
+    feed = _group_of_users(USERS_PER_STATION * STATIONS_PER_FEED).alias(FEED)
+    day = F.date_format(F.timestamp_micros(micros("ts")), "yyyyMMdd").alias("day")
+    seen = (
+        table(spark, sf_dir, "events")
+        .filter(F.col("event_type") == "signup")
+        .select(feed, _group_of_users(USERS_PER_STATION).alias(STATION), day)
+        .distinct()
+    )
+    entry = F.struct(STATION, F.concat(F.lit("Station "), STATION, F.lit(" "), "day").alias("name"), F.lit(CAPACITY).alias("capacity"))
+    docs = seen.groupBy(FEED, "day").agg(F.sort_array(F.collect_list(entry)).alias("stations"))
+    return docs.select(
+        FEED, F.concat("day", F.lit("T000000Z")).alias("request"), F.to_json(F.struct(F.struct("stations").alias("data"))).alias("value")
+    )
+
+
 def cell_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replicates in a two-factor layout: factor a (5) x factor b (4) x replicate (5)."""
     return (
