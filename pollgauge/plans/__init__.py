@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pollgauge.plans.catalog import REGISTRY, Query
 
-MODULES = ("archive", "windows", "faults", "reports", "statistics", "streams")
+MODULES = ("archive", "windows", "faults", "reports", "statistics", "streams", "assistant")
 
 
 def load_queries() -> dict[str, Query]:

@@ -183,6 +183,41 @@ def registry_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def answers(flagged: DataFrame) -> DataFrame:
+    """Replies to every flagged row under each condition and configuration; some are malformed."""
+    spots = flagged.filter("jump_flag").select(
+        F.concat_ws("-", STATION, US).alias("scenario_id"), F.col(BIKES).alias("b"), F.col(DOCKS).alias("d")
+    )
+    cells = (
+        spots.withColumn("model", F.explode(F.array(F.lit("m1"), F.lit("m2"))))
+        .withColumn("rep", F.explode(F.array(F.lit(0), F.lit(1))))
+        .withColumn("condition", F.explode(F.array(*[F.lit(c) for c in ("clean", "corrupted", "corrupted_flagged")])))
+        .withColumn("config", F.explode(F.array(F.lit("blind"), F.lit("aware"))))
+    )
+    h = hash32("answer", *[F.col(c) for c in ("model", "rep", "scenario_id", "condition", "config")])
+    cells = cells.withColumn("h", h).withColumn("p", hash32("p", F.col("scenario_id")) % 100)
+    odd = F.col("h")
+    decision = F.when(odd % 11 == 0, "maybe").when(odd % 3 == 0, "dispatch").when(odd % 3 == 1, "no_dispatch").otherwise("abstain")
+    warning = F.when(odd % 17 == 0, '"true"').when(F.expr("(h div 3) % 2") == 1, "true").otherwise("false")
+    share = F.concat(F.lit("0."), F.lpad(F.col("p").cast("string"), 2, "0"))
+    why = F.when(odd % 7 == 0, "about 40.5 bikes").otherwise(
+        F.concat(F.lit("Probability "), share, F.lit(" ("), F.col("p"), F.lit("%) with bikes "), F.col("b"))
+    )
+    body = F.concat(
+        F.lit('{"decision": "'), decision, F.lit('", "data_quality_warning": '), warning, F.lit(', "rationale": "'), why, F.lit('"}')
+    )
+    reply = F.when(odd % 13 == 0, "I cannot decide.").when(
+        odd % 5 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))
+    ).otherwise(body)
+    drawn = hash32("flip", F.col("scenario_id"))
+    return cells.select(
+        "model", "rep", "scenario_id", "condition", "config", (drawn % 2 == 0).alias("flip"),
+        F.when(drawn % 3 == 0, "dispatch").otherwise("no_dispatch").alias("true_decision"),
+        F.concat(F.lit("bikes "), F.col("b"), F.lit(" docks "), F.col("d"), F.lit(" p = "), share).alias("tool_output"),
+        reply.alias("reply"),
+    )
+
+
 def cell_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replicates in a two-factor layout: factor a (5) x factor b (4) x replicate (5)."""
     return (
