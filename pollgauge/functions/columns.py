@@ -30,7 +30,7 @@ def floor_to(us: str | Column, step_us: int) -> Column:
 def block_of(us: str | Column, step_us: int) -> Column:
     """Index of the time block that holds `us`."""
     col = F.col(us) if isinstance(us, str) else us
-    return ((col - F.pmod(col, F.lit(step_us))) / F.lit(step_us)).cast("bigint")
+    return F.call_function("div", col - F.pmod(col, F.lit(step_us)), F.lit(step_us))
 
 
 def hour_us(us: str | Column = US) -> Column:

@@ -213,15 +213,16 @@ def inject_silent(base: DataFrame, exps: DataFrame, grid: FaultGrid) -> DataFram
 
 
 def change_rows(
-    base: DataFrame, periods: DataFrame, grid: FaultGrid, classes: Sequence[str] | None = None
+    base: DataFrame, periods: DataFrame, grid: FaultGrid, classes: Sequence[str] | None = None,
+    chosen: DataFrame | None = None,
 ) -> DataFrame:
     """Every row that any experiment removes or alters.
 
     Windowed faults act inside one seed-chosen period of a feed; jump and silent
-    faults act on all rows.
+    faults act on all rows.  Pass a written `chosen` table to draw the periods once.
     """
     exps = experiments(base.sparkSession, grid)
-    chosen = chosen_periods(base, periods, grid)
+    chosen = chosen_periods(base, periods, grid) if chosen is None else chosen
     makers = {
         grid.DROPOUT: lambda: inject_dropout(base, exps, chosen, grid),
         grid.FROZEN: lambda: inject_frozen(base, exps, chosen, grid),

@@ -51,7 +51,8 @@ FROM (SELECT *, list_transform(regexp_extract_all(tool_output, '\d+(?:\.\d+)?'),
 
 
 def answer_rows(spark, sf):
-    return adapters.answers(K.flagged(spark, sf))
+    """Answers as a written table, as the experiment leaves them."""
+    return materialise(adapters.answers(K.flagged(spark, sf)), "answers")
 
 
 def rubric_rows(spark, sf):
@@ -61,7 +62,7 @@ def rubric_rows(spark, sf):
 @query("answers_scan", f"SELECT {KEYS}, flip, true_decision, tool_output, reply FROM answers")
 def answers_scan(spark, sf):
     path = work_path(spark, "answers")
-    answer_rows(spark, sf).write.json(path)
+    adapters.answers(K.flagged(spark, sf)).write.json(path)
     return S.answers_scan(spark, path)
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pollgauge.config import FEED, PERIOD, PERIOD_SERIES, QUARTER_HOURLY, CostModel, FaultGrid, FrozenModel
+from pollgauge.config import PERIOD_SERIES, QUARTER_HOURLY, CostModel, FaultGrid, FrozenModel
 from pollgauge.operators.detect import jump_rows
 from pollgauge.operators.features import build_features
+from pollgauge.operators.inject import change_rows as inject_changes
+from pollgauge.operators.inject import chosen_periods
 from pollgauge.operators.model import score
 from pollgauge.operators.periods import (
     assign_period, certify_periods, continuity_segments, in_test_window, retained_periods,
@@ -30,10 +32,18 @@ def test_periods(spark, sf) -> DataFrame:
 
 
 def test_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Certified rows of the test periods as a written table, and the test periods."""
+    """Certified rows of the test periods as a written table, and the test periods.
+
+    Only the test periods go into the period match, so other rows leave before the first shuffle.
+    """
     kept = materialise(test_periods(spark, sf), "periods")
-    rows = certified(spark, sf).join(kept.select(FEED, PERIOD), [FEED, PERIOD], "left_semi")
-    return materialise(rows, "base"), kept
+    return materialise(certify_periods(status(spark, sf), kept, CFG), "base"), kept
+
+
+def change_rows(base: DataFrame, kept: DataFrame, classes=None) -> DataFrame:
+    """Changed rows of the grid; the drawn periods are written first, as several classes read them."""
+    chosen = materialise(chosen_periods(base, kept, GRID), "chosen")
+    return inject_changes(base, kept, GRID, classes, chosen)
 
 
 def status(spark: SparkSession, sf: str) -> DataFrame:

@@ -206,13 +206,13 @@ ROUNDED = ("flip_rate", "forecast_error", "delta_cost", "delta_cost_recovered",
 
 def changes_of(spark, sf, *classes):
     base, periods = K.test_rows(spark, sf)
-    return inject.change_rows(base, periods, G, classes or None)
+    return K.change_rows(base, periods, classes or None)
 
 
 def experiment_results(spark, sf):
     base, periods = K.test_rows(spark, sf)
     clean = materialise(evaluate.clean_scores(base, K.CFG, K.MODEL), "clean")
-    changes = materialise(inject.change_rows(base, periods, G), "changes")
+    changes = materialise(K.change_rows(base, periods), "changes")
     return evaluate.evaluate_experiments(clean, changes, inject.experiments(spark, G), K.CFG, K.MODEL, K.COSTS)
 
 
@@ -253,7 +253,7 @@ FROM exps e LEFT JOIN changes c USING (experiment_id) GROUP BY 1, 2, 3, 4"""
 def exposure(spark, sf):
     base, periods = K.test_rows(spark, sf)
     n_rows = base.agg(F.count(F.lit(1)).alias("test_rows"))
-    return inject.exposure(inject.change_rows(base, periods, G), inject.experiments(spark, G), n_rows)
+    return inject.exposure(K.change_rows(base, periods), inject.experiments(spark, G), n_rows)
 
 
 @query("injection_grid", EXPOSURE_SQL)
@@ -297,7 +297,7 @@ FROM (SELECT class, experiment_id, feed_id,
         FROM changes c JOIN base b USING (feed_id, period_id, station_id, us)) GROUP BY 1, 2, 3) GROUP BY 1""")
 def injection_invariants(spark, sf):
     base, periods = K.test_rows(spark, sf)
-    changes = inject.change_rows(base, periods, G)
+    changes = K.change_rows(base, periods)
     clean = base.select(*PK, F.col(BIKES).alias("b0"), (F.col(BIKES) + F.col(DOCKS)).alias("cap"))
     cls, bikes = F.col("class"), F.col(BIKES)
     per = changes.join(clean, list(PK)).groupBy("class", "experiment_id", FEED).agg(
@@ -315,7 +315,7 @@ def injection_invariants(spark, sf):
 def injected_sink(spark, sf):
     base, periods = K.test_rows(spark, sf)
     exps = inject.experiments(spark, G)
-    full = inject.apply_changes(base, inject.change_rows(base, periods, G), exps)
+    full = inject.apply_changes(base, K.change_rows(base, periods), exps)
     path = work_path(spark, "injected")
     inject.write_injected(full.filter(~F.col("removed")), path)
     back = spark.read.parquet(path).filter(F.col("data_status") == inject.SYNTHETIC)
@@ -328,7 +328,7 @@ WHERE class = 'class5_jump' AND intensity_idx = 2 AND seed = 0 AND period_id >=
 def injected_scan(spark, sf):
     base, periods = K.test_rows(spark, sf)
     exps = inject.experiments(spark, G).filter(F.col("class") == G.JUMP)
-    full = inject.apply_changes(base, inject.change_rows(base, periods, G, [G.JUMP]), exps)
+    full = inject.apply_changes(base, K.change_rows(base, periods, [G.JUMP]), exps)
     path = work_path(spark, "injected")
     inject.write_injected(full.filter(~F.col("removed")), path)
     ours = spark.read.parquet(path).filter((F.col("class") == G.JUMP) & (F.col("intensity_idx") == 2) & (F.col("seed") == 0))
@@ -340,7 +340,7 @@ SELECT c.experiment_id, count(*) FILTER (WHERE c.num_bikes_available <> b.num_bi
 FROM corrupted_kept c JOIN base b USING (feed_id, period_id, station_id, us) GROUP BY 1""")
 def changed_rows_diff(spark, sf):
     base, periods = K.test_rows(spark, sf)
-    changes = inject.change_rows(base, periods, G)
+    changes = K.change_rows(base, periods)
     differ = changes.filter(~F.col("removed")).join(
         base.select(*PK, F.col(BIKES).alias("b0")), list(PK)
     ).groupBy("experiment_id").agg(C.count_if(F.col(BIKES) != F.col("b0")).alias("n"))
@@ -394,7 +394,7 @@ def union_periods(spark, sf):
     base, periods = K.test_rows(spark, sf)
     exps = inject.experiments(spark, G).filter(F.col("class") == G.DROPOUT)
     picked = inject.chosen_periods(base, periods, G).select(FEED, "seed", PERIOD)
-    full = inject.apply_changes(base, inject.change_rows(base, periods, G, [G.DROPOUT]), exps)
+    full = inject.apply_changes(base, K.change_rows(base, periods, [G.DROPOUT]), exps)
     inside = full.join(picked, [FEED, "seed", PERIOD]).filter(~F.col("removed")).withColumn("part", F.lit("corrupted"))
     rest = (
         base.crossJoin(F.broadcast(exps.select(*EXPERIMENT)))
@@ -416,7 +416,7 @@ def safeguard_repair_query(spark, sf):
     out = None
     for fault_class in (G.FROZEN, G.CAPACITY, G.JUMP):
         ours = exps.filter(F.col("class") == fault_class)
-        full = inject.apply_changes(base, inject.change_rows(base, periods, G, [fault_class]), ours)
+        full = inject.apply_changes(base, K.change_rows(base, periods, [fault_class]), ours)
         keys = ("experiment_id", *PERIOD_SERIES)
         part = safeguard_repair(full, fault_class, K.CFG, keys).select(*keys, US, BIKES, DOCKS)
         out = part if out is None else out.unionByName(part)

@@ -410,7 +410,7 @@ def _full_copies(spark, sf, fault_class):
     """Labelled clean rows joined with one fault class, row by row."""
     base, periods = K.test_rows(spark, sf)
     exps = inject.experiments(spark, X.G).filter(F.col("class") == fault_class)
-    full = inject.apply_changes(base, inject.change_rows(base, periods, X.G, [fault_class]), exps)
+    full = inject.apply_changes(base, K.change_rows(base, periods, [fault_class]), exps)
     clean = model.score(build_features(base, K.CFG), K.MODEL).filter(F.col("label").isNotNull())
     return base, materialise(full, "full"), clean, exps
 
@@ -466,7 +466,7 @@ USING (feed_id, period_id, station_id, us) WHERE c.bikes_lag1 IS NOT NULL AND c.
 def feature_pair_join(spark, sf):
     base, periods = K.test_rows(spark, sf)
     exps = inject.experiments(spark, X.G).filter((F.col("class") == X.G.JUMP) & (F.col("seed") == 0))
-    full = inject.apply_changes(base, inject.change_rows(base, periods, X.G, [X.G.JUMP]), exps)
+    full = inject.apply_changes(base, K.change_rows(base, periods, [X.G.JUMP]), exps)
     keys = ("experiment_id", *PERIOD_SERIES)
     seen = model.score(build_features(full, K.CFG, keys=keys, label=False), K.MODEL)
     clean = model.score(build_features(base, K.CFG), K.MODEL)
