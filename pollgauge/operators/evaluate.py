@@ -24,6 +24,7 @@ from pollgauge.operators.detect import frozen_rows
 from pollgauge.operators.features import build_features, with_lags
 from pollgauge.operators.inject import EXPERIMENT, VALUES, apply_changes
 from pollgauge.operators.sequence import BLOCK, HOME, Blocks, at_home, near_window, neighbourhood
+from pollgauge.session import materialise
 
 SERIES_OF_EXPERIMENT = ("experiment_id", *PERIOD_SERIES)
 # Columns of the per-block sums; `x_` marks a difference to the clean rows.
@@ -114,7 +115,7 @@ def local_effects(clean: DataFrame, changes: DataFrame, cfg: FeedConfig, model:
     touched = F.sequence(
         block_of(US, cfg.block_us), block_of(F.col(US) + F.lit(_reach_us(cfg)), cfg.block_us)
     )
-    scope = changes.select(*SERIES_OF_EXPERIMENT, F.explode(touched).alias(BLOCK)).distinct()
+    scope = materialise(changes.select(*SERIES_OF_EXPERIMENT, F.explode(touched).alias(BLOCK)).distinct(), "scope")
     near = neighbourhood(_carried(clean), _reach_us(cfg), 0, cfg.block_us)
     rows = near.join(scope, [*PERIOD_SERIES, BLOCK])
     delta = changes.select(*SERIES_OF_EXPERIMENT, US, F.struct(*VALUES).alias("new"))

@@ -6,6 +6,10 @@ clean rows, `change_rows` lists only rows that a fault removes or alters;
 hashes of (seed, purpose, key), so they do not depend on partitioning, and the
 key leaves out the intensity, so that a seed places its fault at the same spot
 at every intensity.
+
+Where a fault goes is drawn first and written as a small table.  The join with
+the clean rows is then planned from the table's known size: as a broadcast, which
+leaves the clean rows unshuffled, or as a shuffle when there are very many feeds.
 """
 
 from __future__ import annotations
@@ -17,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pollgauge.config import BIKES, DOCKS, FEED, PERIOD, PERIOD_SERIES, SECOND_US, SERIES, STATION, US, FaultGrid
-from pollgauge.functions.columns import count_if, hash32, uniform
+from pollgauge.functions.columns import block_of, count_if, hash32, uniform
 from pollgauge.operators.sequence import number_rows
-from pollgauge.session import fixed_table
+from pollgauge.session import fixed_table, materialise
 
 EXPERIMENT = ("experiment_id", "class", "intensity_idx", "seed")
 EXPERIMENT_SCHEMA = (
@@ -80,7 +84,8 @@ def _window_start(purpose: str, low: str, high: str):
 def _within(base: DataFrame, placed: DataFrame) -> DataFrame:
     """Rows of the placed station that lie in [start_us, stop_us] of the placed period."""
     cols = [*EXPERIMENT, *PERIOD_SERIES, "start_us", "stop_us", "magnitude"]
-    return base.join(placed.select(*cols), list(PERIOD_SERIES)).filter(
+    placed = materialise(placed.select(*cols), "placed")
+    return base.join(placed, list(PERIOD_SERIES)).filter(
         F.col(US).between(F.col("start_us"), F.col("stop_us"))
     )
 
@@ -154,7 +159,7 @@ def inject_stale(base: DataFrame, exps: DataFrame, chosen: DataFrame, grid: Faul
         .groupBy(*EXPERIMENT, FEED, PERIOD, "window_s")
         .agg(F.min_by(US, draw).alias("from_us"))
     )
-    rows = base.join(freeze, [FEED, PERIOD])
+    rows = base.join(materialise(freeze, "freeze"), [FEED, PERIOD])
     shot = rows.filter(F.col(US) == F.col("from_us")).select(
         "experiment_id", *SERIES, F.struct(BIKES, DOCKS).alias("held")
     )
@@ -166,7 +171,7 @@ def inject_stale(base: DataFrame, exps: DataFrame, chosen: DataFrame, grid: Faul
 def inject_capacity(base: DataFrame, exps: DataFrame, chosen: DataFrame, grid: FaultGrid) -> DataFrame:
     """From a drift start to the end of the period one station over-reports its bikes."""
     target = _target_stations(base, chosen, "capacity", 1).select(*PERIOD_SERIES, "seed", "s_min", "s_max", "end_us")
-    polls = base.select(*PERIOD_SERIES, US).join(target, list(PERIOD_SERIES))
+    polls = base.select(*PERIOD_SERIES, US).join(materialise(target, "target"), list(PERIOD_SERIES))
     late = F.col(US) > F.col("s_max") - grid.min_effect_s * SECOND_US
     draw = F.struct(late, F.when(late, F.col(US)).otherwise(hash32(F.col("seed"), "drift", F.col(US))), F.col(US))
     start = polls.groupBy(*PERIOD_SERIES, "seed", "end_us").agg(F.min_by(US, draw).alias("start_us"))
@@ -208,7 +213,7 @@ def silent_stations(base: DataFrame, grid: FaultGrid) -> DataFrame:
 def inject_silent(base: DataFrame, exps: DataFrame, grid: FaultGrid) -> DataFrame:
     """Some bikes of the affected stations are unusable; the feed does not show it."""
     hit = silent_stations(base, grid).join(_of_class(exps, grid.SILENT), "seed")
-    rows = base.join(hit.select(*SERIES, *EXPERIMENT, "magnitude"), list(SERIES))
+    rows = base.join(materialise(hit.select(*SERIES, *EXPERIMENT, "magnitude"), "silent"), list(SERIES))
     return _as_changes(rows, true_available=F.greatest(F.col(BIKES) - F.col("magnitude"), F.lit(0)))
 
 
@@ -255,8 +260,8 @@ def apply_changes(base: DataFrame, changes: DataFrame, exps: DataFrame) -> DataF
 def write_injected(corrupted: DataFrame, path: str) -> None:
     """Sink: one partition per experiment, every row labelled as synthetic."""
     labelled = corrupted.withColumn("data_status", F.lit(SYNTHETIC))
-    # Spread each experiment over its periods, so that no task writes a whole experiment.
-    spread = labelled.repartition("class", "intensity_idx", "seed", FEED, PERIOD)
+    # Spread each experiment over feeds and days, so that no task writes a whole experiment.
+    spread = labelled.repartition("class", "intensity_idx", "seed", FEED, block_of(US, 86_400 * SECOND_US))
     spread.write.partitionBy("class", "intensity_idx", "seed").parquet(path)
 
 

@@ -87,18 +87,13 @@ def certify_longest(df: DataFrame, cfg: FeedConfig) -> DataFrame:
 def dwell_rows(df: DataFrame, cfg: FeedConfig) -> DataFrame:
     """Add `dwell_s`: time to the station's next row, at most the gap limit.
 
-    The last row of a period stands for one poll.  A next row beyond the limit
-    counts as the limit, so a bounded look-ahead plus "is there any later row" is exact.
+    The last row of a period stands for one poll.
     """
-    last_us = df.groupBy(*PERIOD_SERIES).agg(F.max(US).alias("_last"))
-    near = neighbourhood(df, 0, cfg.max_gap_us, cfg.block_us)
-    ahead = F.lead(US).over(near_window(PERIOD_SERIES)) - F.col(US)
-    rows = at_home(near.withColumn("_ahead", ahead)).join(last_us, list(PERIOD_SERIES))
-    limit = F.lit(cfg.max_gap_us)
-    dwell = F.when(F.col(US) == F.col("_last"), F.lit(cfg.cadence_s * SECOND_US)).otherwise(
-        F.least(F.coalesce(F.col("_ahead"), limit), limit)
-    )
-    return rows.withColumn("dwell_s", dwell / F.lit(float(SECOND_US))).drop("_ahead", "_last")
+    rows = Blocks(df, PERIOD_SERIES, cfg.block_us).following("_next", [US]).frame()
+    last = F.col("_next").isNull()
+    ahead = F.least(F.col("_next.us") - F.col(US), F.lit(cfg.max_gap_us))
+    dwell = F.when(last, F.lit(cfg.cadence_s * SECOND_US)).otherwise(ahead)
+    return rows.withColumn("dwell_s", dwell / F.lit(float(SECOND_US))).drop("_next")
 
 
 def episode_starts(df: DataFrame, flag: str, keys, cfg: FeedConfig, gap: bool) -> DataFrame:

@@ -71,13 +71,20 @@ class Blocks:
 
     def previous(self, name: str, fields: Sequence[str]) -> Blocks:
         """Add struct `name`: the listed fields of the previous row of the series, or null."""
+        return self._neighbour(name, fields, F.max_by, F.lag)
+
+    def following(self, name: str, fields: Sequence[str]) -> Blocks:
+        """Add struct `name`: the listed fields of the next row of the series, or null."""
+        return self._neighbour(name, fields, F.min_by, F.lead)
+
+    def _neighbour(self, name: str, fields: Sequence[str], edge_row, step) -> Blocks:
         edges = (
             self.df.groupBy(*self.group)
-            .agg(F.max_by(F.struct(*fields), self.order).alias("_tail"))
-            .withColumn("_carry", F.lag("_tail").over(self._edge_window()))
-            .drop("_tail")
+            .agg(edge_row(F.struct(*fields), self.order).alias("_edge"))
+            .withColumn("_carry", step("_edge").over(self._edge_window()))
+            .drop("_edge")
         )
-        inside = F.lag(F.struct(*fields)).over(self._window())
+        inside = step(F.struct(*fields)).over(self._window())
         self.df = self._join(edges).withColumn(name, F.coalesce(inside, F.col("_carry"))).drop("_carry")
         return self
 
