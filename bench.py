@@ -19,6 +19,7 @@ HEADLINE = (
     "build_features", "score", "critical_station_hours", "exposure_bins", "collection_health", "longest_repeat_streak",
     "roc_auc", "tau_costs", "injection_grid", "end_to_end", "evaluate_experiment", "two_way_anova", "bootstrap_ci",
     "permutation_interaction", "answer_rates", "stream_periods", "stream_jump",
+    "supplier_daily_lags", "customer_order_steps",
 )
 
 

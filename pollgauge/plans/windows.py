@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pollgauge.config import BIKES, DOCKS, FEED, PERIOD, PERIOD_SERIES, SERIES, STATION, US
+from pollgauge.config import BIKES, DOCKS, FEED, PERIOD, PERIOD_SERIES, SECOND_US, SERIES, STATION, US, FeedConfig
 from pollgauge.functions import columns as C
 from pollgauge.operators import detect, periods as P
-from pollgauge.operators.features import build_features, forecastable, weather_join
+from pollgauge.operators.features import build_features, forecastable, weather_join, with_lags
 from pollgauge.operators.repair import carry_forward
-from pollgauge.operators.sequence import Blocks, shift_rows
+from pollgauge.operators.sequence import Blocks, at_home, near_window, neighbourhood, shift_rows
 from pollgauge.plans import common as K
 from pollgauge.plans.catalog import query
 from pollgauge.sources import adapters
@@ -353,3 +353,38 @@ def build_features_query(spark, sf):
 def score_query(spark, sf):
     rows = K.scored(spark, sf).filter(F.col("label").isNotNull())
     return rows.select(*PKEY, C.rounded(F.col("proba")).alias("proba"))
+
+
+# ---- the same windows on the large tables, at daily cadence --------------------------------
+
+DAILY = FeedConfig(cadence_s=86_400, lags=(1, 2, 5), horizon=7, block_s=86_400 * 180)
+DAY_US = 86_400 * SECOND_US
+
+
+@query("supplier_daily_lags", """
+SELECT l_suppkey, us, qty,
+  CASE WHEN us - lag(us, 1) OVER w <= 129600000000 THEN lag(qty, 1) OVER w END AS qty_lag1,
+  CASE WHEN us - lag(us, 2) OVER w <= 259200000000 THEN lag(qty, 2) OVER w END AS qty_lag2,
+  CASE WHEN us - lag(us, 5) OVER w <= 648000000000 THEN lag(qty, 5) OVER w END AS qty_lag5
+FROM (SELECT l_suppkey, (epoch_us(l_shipdate) // 86400000000) * 86400000000 AS us, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY 1, 2)
+WINDOW w AS (PARTITION BY l_suppkey ORDER BY us)""")
+def supplier_daily_lags(spark, sf):
+    day = C.floor_to(C.micros("l_shipdate"), DAY_US).alias(US)
+    daily = adapters.table(spark, sf, "lineitem").groupBy("l_suppkey", day).agg(F.round(F.sum("l_quantity"), 2).alias("qty"))
+    near = neighbourhood(daily, DAILY.lag_reach_us, 0, DAILY.block_us)
+    rows = at_home(with_lags(near, DAILY, near_window(["l_suppkey"]), "qty", "qty"))
+    return rows.select("l_suppkey", US, "qty", *[F.col(f"bikes_lag{k}").alias(f"qty_lag{k}") for k in DAILY.lags])
+
+
+@query("customer_order_steps", """
+SELECT o_custkey, us, total, round(total - lag(total) OVER w, 2) AS delta, (us - lag(us) OVER w) // 86400000000 AS gap_days
+FROM (SELECT o_custkey, (epoch_us(o_orderdate) // 86400000000) * 86400000000 AS us, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2)
+WINDOW w AS (PARTITION BY o_custkey ORDER BY us)""")
+def customer_order_steps(spark, sf):
+    day = C.floor_to(C.micros("o_orderdate"), DAY_US).alias(US)
+    daily = adapters.table(spark, sf, "orders").groupBy("o_custkey", day).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+    rows = Blocks(daily, ["o_custkey"], DAILY.block_us).previous("prev", [US, "total"]).frame()
+    return rows.select(
+        "o_custkey", US, "total", F.round(F.col("total") - F.col("prev.total"), 2).alias("delta"),
+        ((F.col(US) - F.col("prev.us")) / DAY_US).cast("bigint").alias("gap_days"),
+    )
