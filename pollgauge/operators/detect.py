@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pollgauge.config import BIKES, DOCKS, FEED, SECOND_US, SERIES, STATION, US, FeedConfig
+from pollgauge.config import BIKES, DOCKS, FEED, SECOND_US, SERIES, US, FeedConfig
 from pollgauge.functions.columns import floor_to, true_when
 from pollgauge.operators.sequence import BLOCK, Blocks, at_home, neighbourhood
 
@@ -91,17 +91,3 @@ def detect_capacity_mismatch(df: DataFrame, registry: DataFrame) -> DataFrame:
     out = df.join(registry.select(*SERIES, "capacity"), list(SERIES), "left")
     return out.withColumn("inconsistent", true_when(F.col(BIKES) + F.col(DOCKS) != F.col("capacity"))).drop("capacity")
 
-
-__all__ = [
-    "STATION",
-    "detect_capacity_mismatch",
-    "detect_dropout",
-    "detect_dropout_by_window",
-    "detect_stale",
-    "detect_type_mismatch",
-    "frozen_rows",
-    "jump_rows",
-    "registry_absent",
-    "repeat_of_previous",
-    "step_change",
-]

@@ -6,10 +6,8 @@ from pyspark.sql import functions as F
 
 from pollgauge.config import BIKES, DOCKS, FEED, PERIOD, PERIOD_SERIES, SERIES, STATION, US
 from pollgauge.functions import columns as C
-from pollgauge.operators import cost, evaluate, inject
-from pollgauge.operators.features import build_features
+from pollgauge.operators import evaluate, inject
 from pollgauge.operators.inject import EXPERIMENT
-from pollgauge.operators.model import score
 from pollgauge.operators.repair import safeguard_repair
 from pollgauge.plans import common as K
 from pollgauge.plans.catalog import query, view

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pollgauge.config import BIKES, DOCKS, FEED, PERIOD, PERIOD_SERIES, SERIES, STATION, US
+from pollgauge.config import BIKES, FEED, PERIOD, PERIOD_SERIES, SERIES, STATION, US
 from pollgauge.functions import columns as C
 from pollgauge.operators import cost, detect, evaluate, inject, model, periods as P, profile, ranking
 from pollgauge.operators.features import build_features

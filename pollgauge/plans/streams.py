@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from pollgauge.config import BIKES, DOCKS, FEED, SERIES, STATION, US
 from pollgauge.plans import common as K
-from pollgauge.plans.archive import SCAN_SQL
 from pollgauge.plans.catalog import query
 from pollgauge.plans.windows import REPEAT_SQL
 from pollgauge.session import fixed_table, work_path
