@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -40,24 +43,44 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory:
     return spark
 
 
-# Folders of sessions that name none, by application.
+# Folders of local sessions that name none, and paths written by each session, by application.
 _own_dirs: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`; a local one only where it is unset."""
+    """The folder named by `spark.checkpoint.dir`.
+
+    Where it is unset, a local session gets a folder of its own that goes with the process. A cluster has no
+    such folder that all machines see, so there it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="pollgauge-")
+        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
     return _own_dirs[app]
 
 
+def release(spark: SparkSession) -> int:
+    """Remove what this session wrote below the shared folder; returns how many paths went."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    return len(paths)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialise(df, name: str):

@@ -8,9 +8,11 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark():
-    from pollgauge.session import local_session
+    from pollgauge.session import local_session, release
 
-    return local_session(cpus=4, shuffle_partitions=4, memory="6g")
+    session = local_session(cpus=4, shuffle_partitions=4, memory="6g")
+    yield session
+    release(session)
 
 
 @pytest.fixture(scope="session")

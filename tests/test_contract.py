@@ -1,5 +1,7 @@
 """The driver contract, and counts of one chain that an independent run gave."""
 
+import re
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -25,7 +27,8 @@ def test_twins_belong_to_queries():
     assert len(queries) >= 120
     assert set(twins) <= set(queries)
     # Only fits and progress counts have no twin.
-    assert set(queries) - set(twins) == {"train_classifier", "train_freeze_flow", "occurrence_adjusted", "late_rows"}
+    own = {name for name in queries if not re.match(r"op\d+_|pipeline$", name)}
+    assert own - set(twins) == {"train_classifier", "train_freeze_flow", "occurrence_adjusted", "late_rows"}
 
 
 def test_sample_of_queries_agrees_with_duckdb(spark):
