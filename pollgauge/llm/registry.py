@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pollgauge.session import configure
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
-MODULES = ("pieces", "chat")
+MODULES = ("warc", "pieces", "chat")
 RUNS: dict[str, QueryFn] = {}
 TWINS: dict[str, str] = {}
 
