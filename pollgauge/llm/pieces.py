@@ -288,7 +288,7 @@ def piece_model(model_file: str) -> PieceModel:
     return PieceModel(model_file)
 
 
-def encode_texts(df: DataFrame, model_file: str | None = None, key: str = "doc_id", text: str = "text", batch_chars: int = 4_000_000) -> DataFrame:
+def encode_texts(df: DataFrame, model_file: str | None = None, key: str = "doc_id", text: str = "text", batch_chars: int = 1_000_000) -> DataFrame:
     """One row per input row: the key, `ids` (with begin and end ids) and `decoded`.
 
     Null texts count as empty; a null key is kept. Other columns are left out, so their names cannot clash.
@@ -305,9 +305,9 @@ def encode_texts(df: DataFrame, model_file: str | None = None, key: str = "doc_i
         for batch in batches:
             keys = batch.column("key")
             start, held, size = 0, [], 0
-            for i, t in enumerate(batch.column("text").to_pylist()):
-                held.append(t)
-                size += len(t)
+            for i, t in enumerate(batch.column("text")):
+                held.append(t.as_py())
+                size += len(held[-1])
                 if size >= batch_chars or i == batch.num_rows - 1:
                     ids = model.encode(held)[0]
                     ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
