@@ -28,7 +28,9 @@ from pollgauge.llm.registry import corpus_query, table
 from pollgauge.session import materialise, work_path
 
 PACKAGE_BYTES = 128 << 20  # a package is closed when its archive has this size
-RANGE_BYTES = 4 << 20  # neighbouring records that one read fetches
+RANGE_BYTES = 1 << 20  # neighbouring records that one read fetches
+TASK_BYTES = 64 << 20  # what one task reads
+PACKAGES_PER_TASK = 4  # packages whose directory and index one task reads
 MIN_REVISIT_BYTES = 1000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FULL32 = 0xFFFFFFFF
@@ -281,15 +283,16 @@ def locate_records(manifest: DataFrame, folder: str, range_bytes: int = RANGE_BY
     def one(path, starts, lengths):
         return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([starts], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64()))], names=["path", "starts", "lengths"])
 
-    packages = manifest.select("path", "bytes").repartition(F.col("path"))
+    # Explicit counts: rows of paths and offsets are tiny, but the reads behind them are not.
+    packages = manifest.select("path", "bytes").repartition(max(1, manifest.count() // PACKAGES_PER_TASK), "path")
     return packages.mapInArrow(run, "path string, starts array<bigint>, lengths array<bigint>")
 
 
 RECORD_SCHEMA = "path string, start bigint, record_id string, record_type string, refers_to string, target_uri string, payload binary"
 
 
-def read_records(located: DataFrame, folder: str) -> DataFrame:
-    """One row per located record. A revisit has a null payload; see `resolve_revisits`."""
+def read_records(located: DataFrame, folder: str, tasks: int) -> DataFrame:
+    """One row per located record, read in `tasks` tasks. A revisit has a null payload; see `resolve_revisits`."""
 
     def run(batches):
         from pyarrow import fs
@@ -308,7 +311,13 @@ def read_records(located: DataFrame, folder: str) -> DataFrame:
                                 "target_uri": fields.get("warc-target-uri"), "payload": None if kind == "revisit" else payload})
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    return located.repartition(F.col("path"), F.col("starts")[0]).mapInArrow(run, RECORD_SCHEMA)
+    return located.repartition(tasks, F.col("path"), F.col("starts")[0]).mapInArrow(run, RECORD_SCHEMA)
+
+
+def read_tasks(manifest: DataFrame, task_bytes: int = TASK_BYTES) -> int:
+    """Tasks for reading all packages: one for `task_bytes`, and one for each core at least."""
+    size = manifest.agg(F.sum("bytes")).first()[0] or 0
+    return max(manifest.sparkSession.sparkContext.defaultParallelism, -(-size // task_bytes))
 
 
 def resolve_revisits(records: DataFrame, spark_name: str = "records") -> DataFrame:
@@ -342,6 +351,6 @@ def warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page into packages and read the records back by range."""
     folder = work_path(spark, "packages")
     manifest = write_packages(plan_records(table(spark, sf_dir, "pages")), folder)
-    records = resolve_revisits(read_records(locate_records(manifest, folder), folder))
+    records = resolve_revisits(read_records(locate_records(manifest, folder), folder, read_tasks(manifest)))
     page = lambda c: F.split(F.col(c), ":")[2].try_cast("bigint")
     return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
