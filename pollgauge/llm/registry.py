@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pollgauge.session import configure
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
-MODULES = ("warc", "pieces", "topk", "simhash", "chat")
+MODULES = ("warc", "pieces", "topk", "target_ratio", "simhash", "chat")
 RUNS: dict[str, QueryFn] = {}
 TWINS: dict[str, str] = {}
 
