@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pollgauge.session import configure
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
-MODULES = ("warc", "toxicity", "pieces", "topk", "target_ratio", "language", "simhash", "chat")
+MODULES = ("warc", "toxicity", "pieces", "topk", "target_ratio", "language", "simhash", "chat", "weak_labels")
 RUNS: dict[str, QueryFn] = {}
 TWINS: dict[str, str] = {}
 
