@@ -128,14 +128,17 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     return rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("page").alias("page")).select("doc_id", "page.markup", "page.host", "page.domain", "page.suffix")
 
 
-def _shares(rows: DataFrame, by: str, languages: tuple, smoothing: float, parent: DataFrame | None = None, parent_key: str | None = None) -> DataFrame:
-    """Share of each language among the rows of every value of `by`, drawn to the parent's shares."""
+def _shares(rows: DataFrame, by: str, languages: tuple, smoothing: float, above: Column | None = None, parent: str | None = None, parents: DataFrame | None = None) -> DataFrame:
+    """Share of each language among the rows of every value of `by`, drawn to shares `above`, or to those of its parent."""
     n = [F.count_if(F.col("guess") == i).alias(f"n{i}") for i in range(len(languages))]
-    keys = [by] if parent_key is None else [by, F.first(parent_key).alias(parent_key)]
-    counts = rows.filter(F.col(by).isNotNull()).groupBy(by).agg(*n, *keys[1:])
-    counts = counts.join(parent.withColumnRenamed("shares", "above"), parent_key, "left")
+    rows = rows.filter(F.col(by).isNotNull())
+    if parents is None:
+        counts = rows.groupBy(by).agg(*n)
+    else:
+        counts = rows.groupBy(by).agg(*n, F.min(parent).alias(parent)).join(parents.withColumnRenamed("shares", "above"), parent, "left")
+        above = F.col("above")
     total = sum((F.col(f"n{i}") for i in range(len(languages))), F.lit(0))
-    shares = F.array(*[(F.col(f"n{i}") + smoothing * F.get("above", F.lit(i))) / (total + smoothing) for i in range(len(languages))])
+    shares = F.array(*[(F.col(f"n{i}") + smoothing * F.get(above, F.lit(i))) / (total + smoothing) for i in range(len(languages))])
     return counts.select(by, shares.alias("shares"))
 
 
@@ -174,10 +177,9 @@ def identify(docs: DataFrame, evidence: DataFrame, key: str = "doc_id", text: st
     everywhere = rows.agg(*[F.count_if(F.col("guess") == i) for i in range(len(names))]).first()
     total = sum(everywhere)
     overall = [(n + 1) / (total + len(names)) for n in everywhere]
-    domains = rows.select("guess", "domain", F.lit(0).alias("all"))
-    top = docs.sparkSession.range(1).select(F.lit(0).alias("all"), F.array(*[F.lit(float(p)) for p in overall]).alias("shares"))
-    domain_shares = materialise(_shares(domains, "domain", names, smoothing, top, "all"), "domains")
-    host_shares = materialise(_shares(rows, "host", names, smoothing, domain_shares, "domain"), "hosts").withColumnRenamed("shares", "prior")
+    top = F.array(*[F.lit(float(p)) for p in overall])
+    domain_shares = materialise(_shares(rows, "domain", names, smoothing, above=top), "domains")
+    host_shares = materialise(_shares(rows, "host", names, smoothing, parent="domain", parents=domain_shares), "hosts").withColumnRenamed("shares", "prior")
     fused = rows.join(host_shares, "host", "left").join(_given(rows, "markup", names), "markup", "left").join(_given(rows, "suffix", names), "suffix", "left")
     posterior = F.array(*[
         F.get("ll", F.lit(i)) + F.log(F.coalesce(F.get("prior", F.lit(i)), F.lit(overall[i])))
