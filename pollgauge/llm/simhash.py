@@ -286,11 +286,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     """
     found = materialise(near_duplicates(docs, key, text, shingle, budget), "components")
     gone = found.filter(F.col(key) != F.col("component_id")).select(key).distinct()
-    repeated = materialise(found.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").select(key), "repeated")
-    kept = docs.join(gone, key, "left_anti")
-    singles = kept.join(repeated, key, "left_anti")
+    repeated = found.filter(F.col(key) == F.col("component_id")).groupBy(key).count().filter("count > 1").select(key)
+    repeated = materialise(repeated.join(gone, key, "left_anti"), "repeated")
+    singles = docs.join(materialise(gone.union(repeated), "gone"), key, "left_anti")
     first = W.partitionBy(key).orderBy(F.col(text).asc_nulls_first())
-    doubles = kept.join(repeated, key, "left_semi").withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+    order = "n" + "_" * max(map(len, docs.columns))  # a name that no column has
+    doubles = docs.join(repeated, key, "left_semi").withColumn(order, F.row_number().over(first)).filter(F.col(order) == 1)
     return singles.select(docs.columns).unionByName(doubles.select(docs.columns))
 
 
