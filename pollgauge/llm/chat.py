@@ -29,6 +29,11 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, also where `use` names it inside other lambdas or a filter is pushed in."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _literal(marker: str) -> str:
     return "\\Q" + marker + "\\E"
 
@@ -45,23 +50,21 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     chats = df.select(F.col(conv).alias("conv"), row.alias("row")).groupBy("conv").agg(F.sort_array(F.collect_list("row")).alias("turns"))
-    # First turn of each streak, with a last border behind the end.
-    borders = F.filter(
-        F.sequence(F.lit(0), F.size("turns")),
-        lambda i: (i == 0) | (i == F.size("turns")) | (F.get("turns", i)["role"] != F.get("turns", i - 1)["role"]),
-    )
-    chats = chats.select("conv", "turns", borders.alias("borders"))
-
-    def block(start, k):
-        end = F.get("borders", k + 1)
-        streak = F.slice("turns", start + 1, end - start)
-        return F.struct(
-            F.get("turns", start)["role"].alias("role"),
-            F.transform(streak, lambda t: escape(t["text"])).alias("texts"),
-        )
 
-    blocks = F.transform(F.slice("borders", F.lit(1), F.size("borders") - 1), block)
-    chats = chats.select("conv", blocks.alias("blocks"))
+    def borders(turns):
+        """First turn of each streak, with a last border behind the end."""
+        n = F.size(turns)
+        return F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | (i == n) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"]))
+
+    def block(turns, edges, start, k):
+        streak = F.slice(turns, start + 1, F.get(edges, k + 1) - start)
+        return F.struct(F.get(turns, start)["role"].alias("role"), F.transform(streak, lambda t: escape(t["text"])).alias("texts"))
+
+    def blocks(turns):
+        starts = lambda e: F.slice(e, F.lit(1), F.size(e) - 1)
+        return bound(borders(turns), lambda e: F.transform(starts(e), lambda start, k: block(turns, e, start, k)))
+
+    chats = chats.select("conv", bound(F.col("turns"), blocks).alias("blocks"))
     header = lambda b: F.concat(F.lit(START), F.url_encode(b["role"]), F.lit("\n"))
     formatted = F.array_join(
         F.transform("blocks", lambda b: F.concat(header(b), F.array_join(b["texts"], SEP), F.lit(END))), "",
@@ -101,7 +104,8 @@ def read_turns(formatted: Column) -> Column:
 
 def read_loss_text(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, with nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    part = lambda whole, s: unescape(F.substring(whole, (s["start"] + 1).cast("int"), s["length"].cast("int")))
+    return bound(formatted, lambda whole: F.array_join(F.transform(spans, lambda s: part(whole, s)), ""))
 
 
 def chat_digests(df: DataFrame, conv: str = "conv_id") -> DataFrame:
