@@ -92,7 +92,7 @@ def read_directory(file, size: int) -> list[dict]:
     tail_at = max(0, size - 65_557)
     tail = read_range(file, tail_at, size - tail_at)
     end = tail.rfind(b"PK\5\6")
-    while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
+    while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
         end = tail.rfind(b"PK\5\6", 0, end)  # the signature may also stand in the comment
     if end < 0:
         raise ValueError("no end of central directory: not a ZIP file")
