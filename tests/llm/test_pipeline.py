@@ -42,9 +42,9 @@ def test_stages_on_documents(spark):
         counts.append(after.count())
         if name == "near_duplicates":  # one of each component of what came in
             before = [(r.doc_id, r.text) for r in seen.select("doc_id", "text").collect()]
-            fps = {d: fingerprint(t) for d, t in before}
+            fps = {d: fingerprint(t, corpus_pipeline.SHINGLE) for d, t in before}
             codes = np.array(sorted(set(fps.values())), np.uint64)
-            label = dict(zip(codes.tolist(), plain_labels(codes, 3).tolist()))
+            label = dict(zip(codes.tolist(), plain_labels(codes, corpus_pipeline.BUDGET).tolist()))
             first = {}
             for d in sorted(fps):
                 first.setdefault(label[fps[d]], d)
@@ -56,7 +56,7 @@ def test_stages_on_documents(spark):
 
 
 def test_planted_cases(spark):
-    """Toxic documents and copies go, clean documents stay."""
+    """Toxic documents, copies and near copies go, clean documents stay."""
     docs = table(spark, SF, "documents")
     clean = [(r.doc_id, r.text) for r in docs.join(table(spark, SF, "labels").filter("toxic = 0 AND quality = 1"), "doc_id").filter("n_chars > 1500").orderBy("doc_id").limit(20).collect()]
     bad = ["idiot", "moron", "trash", "scum", "loser"]
@@ -64,6 +64,8 @@ def test_planted_cases(spark):
     for i, (_, text) in enumerate(clean):
         words = text.split(" ")
         planted.append((10_000 + i, text, "en", "p", len(text)))
+        near = [w if k != len(words) // 2 else "changed" for k, w in enumerate(words)]
+        planted.append((30_000 + i, " ".join(near), "en", "p", 0))
         planted.append((20_000 + i, " ".join(w + (" " + bad[k % 5] if k % 25 == 0 else "") for k, w in enumerate(words)), "en", "p", 0))
     mixed = docs.unionByName(spark.createDataFrame(planted, docs.schema)).persist()
     left = mixed
@@ -71,6 +73,7 @@ def test_planted_cases(spark):
         left = stage(spark, left, SF).persist()
     ids = {r.doc_id for r in left.collect()}
     assert not ids & {20_000 + i for i in range(20)} and not ids & {10_000 + i for i in range(20)}
+    assert len(ids & {30_000 + i for i in range(20)}) <= 2
     dropped = sum(1 for d, _ in clean if d not in ids)
     assert dropped <= 4  # clean documents go only as copies of a smaller number
 
