@@ -50,7 +50,7 @@ def joined(texts: list[str | None], lower: bool) -> tuple[np.ndarray, np.ndarray
     return np.frombuffer(b"\n".join(parts) + b"\n", np.uint8), ends
 
 
-def sliced(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+def sliced(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = 300_000) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Cut batches into pieces of about `chars` characters (one text at least), each with its texts."""
     for batch in batches:
         column, start, held, size = batch.column(text), 0, [], 0

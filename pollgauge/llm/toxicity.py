@@ -175,21 +175,33 @@ def labelled_words(docs: DataFrame, labels: DataFrame, key: str, text: str, fit_
             )
 
     schema = f"key {docs.schema[key].dataType.simpleString()}, toxic int, words array<bigint>, counts array<int>"
-    found = materialise(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "words")
+    found = materialise(rows.mapInArrow(run, schema), "words")
     # Screened on Spark, so that the driver gets the words that can take part and no others.
-    label = found.orderBy("key", "row").select("row", "toxic").toArrow().combine_chunks()
-    toxic = label.column("toxic").to_numpy()
-    bad_rows, good_rows = int((toxic == 1).sum()), int((toxic == 0).sum())
-    pairs = found.select("row", "toxic", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("row", "toxic", "w.words", "w.counts")
+    kinds = {r.toxic: r["count"] for r in found.groupBy("toxic").count().collect()}
     with_bad, with_all = F.sum("toxic"), F.count("*")
-    odds = F.log((with_bad + 0.5) / (bad_rows + 1)) - F.log((with_all - with_bad + 0.5) / (good_rows + 1))
-    telling = pairs.groupBy("words").agg(odds.alias("odds"), with_all.alias("n")).filter((F.col("n") >= MIN_ROWS) & (F.abs("odds") >= SCREEN))
-    got = pairs.join(materialise(telling.select("words"), "telling"), "words").select("row", "words", "counts").toArrow().combine_chunks()
-    place = np.argsort(label.column("row").to_numpy(), kind="stable")
-    row = place[np.searchsorted(label.column("row").to_numpy()[place], got.column("row").to_numpy())] if got.num_rows else np.zeros(0, np.int64)
-    order = np.lexsort((got.column("words").to_numpy(), row))
+    odds = F.log((with_bad + 0.5) / (kinds.get(1, 0) + 1)) - F.log((with_all - with_bad + 0.5) / (kinds.get(0, 0) + 1))
+    words = found.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(odds.alias("odds"), with_all.alias("n"))
+    telling = words.filter((F.col("n") >= MIN_ROWS) & (F.abs("odds") >= SCREEN)).select("word").toArrow()
+    kept = np.sort(telling.column("word").to_numpy())
+
+    def screened(batches):
+        for batch in batches:
+            lists, n = batch.column("words"), batch.column("counts")
+            ends, word = lists.offsets.to_numpy(), lists.values.to_numpy()
+            hit = np.isin(word, kept)
+            at = np.r_[0, np.cumsum(hit)][ends].astype(np.int32)
+            columns = [pa.ListArray.from_arrays(at, pa.array(word[hit])), pa.ListArray.from_arrays(at, pa.array(n.values.to_numpy()[hit]))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("toxic"), *columns], names=["key", "toxic", "words", "counts"])
+
+    got = found.mapInArrow(screened, schema).toArrow().combine_chunks()
     prior = float(np.log((bad + 0.5) / (n - bad + 0.5)))
-    return row[order], got.column("words").to_numpy()[order], got.column("counts").to_numpy()[order], toxic, prior
+    if not got.num_rows:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, prior
+    got = got.sort_by([("key", "ascending"), ("toxic", "ascending")]).combine_chunks()
+    lists, counts = got.column("words").combine_chunks(), got.column("counts").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    return np.repeat(np.arange(got.num_rows), sizes), lists.values.to_numpy(), counts.values.to_numpy(), got.column("toxic").to_numpy(), prior
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> OrdinalModel:
