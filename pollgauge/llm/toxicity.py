@@ -57,8 +57,9 @@ class OrdinalModel:
     thresholds: np.ndarray
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros(len(texts))
+        """Scores of texts; one without words is below every threshold."""
         row, word = word_keys(texts)
+        out = np.where(np.bincount(row, minlength=len(texts)) > 0, 0.0, -np.inf)
         if not len(self.words) or not len(word):
             return out
         at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
@@ -215,7 +216,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 def severity(docs: DataFrame, model: OrdinalModel, key: str = "doc_id", text: str = "text", cut: float = CUT) -> DataFrame:
     """key, expected_severity (0 to the number of thresholds), grade (the likeliest) and toxic of every row.
 
-    Null and empty texts have score zero. Rows are taken one by one, so repeated rows and null keys are kept.
+    Texts without words, null ones too, have severity zero. Rows are judged one by one, repeated ones and null keys too.
     """
 
     def run(batches):
