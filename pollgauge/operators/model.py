@@ -6,13 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pollgauge.config import FEED, PERIOD, SERIES, US, CostModel, FeedConfig, FrozenModel
 from pollgauge.functions.columns import count_if, logistic
 from pollgauge.operators.ranking import mid_rank, quantiles, rank_table
 from pollgauge.operators.sequence import at_home, near_window, neighbourhood
+from pollgauge.session import materialise
 
 TAUS = [i / 20.0 for i in range(1, 20)]
 
@@ -64,6 +65,24 @@ def train_classifier(train: DataFrame, columns: Sequence[str], c: float = 1.0, n
     return FrozenModel(float(fit.intercept), dict(zip(columns, map(float, fit.coefficients))))
 
 
+def balance(train: DataFrame, model: FrozenModel, c: float = 1.0) -> DataFrame:
+    """term, train_rows, observed and imbalance: the conditions that a penalised logistic fit satisfies.
+
+    For every term the fitted sum of its column falls short of the observed one by coefficient / C, and by nothing
+    for the intercept. `imbalance` is what is left, per row.
+    """
+    y = F.col("label").cast("double")
+    rows = score(train, model)
+    terms = [("intercept", F.lit(1.0), 0.0), *((name, F.col(name).cast("double"), w / c) for name, w in model.coefficients.items())]
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), *[x.alias(f"s{i}_{k}") for i, (_, col, _) in enumerate(terms) for k, x in (("y", F.sum(y * col)), ("p", F.sum(F.col("proba") * col)))])
+    listed = F.array(*[
+        F.struct(F.lit(name).alias("term"), F.col("n").alias("train_rows"), F.col(f"s{i}_y").alias("observed"),
+                 ((F.col(f"s{i}_p") - F.col(f"s{i}_y") + penalty) / F.col("n")).alias("imbalance"))
+        for i, (name, _, penalty) in enumerate(terms)
+    ])
+    return sums.select(F.explode(listed).alias("t")).select("t.*")
+
+
 def tau_costs(scored: DataFrame, cfg: FeedConfig, costs: CostModel, taus: Sequence[float] = TAUS) -> DataFrame:
     """Total cost of each candidate threshold, all thresholds in one pass.
 
@@ -113,12 +132,17 @@ def roc_auc(df: DataFrame, score_col: str = "proba", label: str = "label") -> Da
     return sums.select(auc.alias("auc"), p.alias("positives"), neg.alias("negatives"))
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation of two columns, null where one of them does not vary."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def train_freeze(
     features: DataFrame, columns: Sequence[str], cfg: FeedConfig, costs: CostModel
 ) -> tuple[FrozenModel, DataFrame]:
     """Split, fit, choose the threshold, and report.  The driver sees only scalars."""
     usable = features.dropna(subset=[*columns, "label"])
-    bounds = split_bounds(usable)
+    bounds = materialise(split_bounds(usable), "bounds")
     parts = assign_split(usable, bounds)
     train = parts.filter("split = 'train'")
     fitted = train_classifier(train, columns)
@@ -135,7 +159,7 @@ def train_freeze(
     report = (
         sizes.crossJoin(bounds)
         .crossJoin(roc_auc(test).select(F.col("auc").alias("test_auc")))
-        .crossJoin(test.agg(F.corr(F.col(columns[0]).cast("double"), F.col("label").cast("double")).alias("test_corr")))
+        .crossJoin(test.agg(pearson(F.col(columns[0]).cast("double"), F.col("label").cast("double")).alias("test_corr")))
         .withColumn("tau", F.lit(model.tau))
     )
     return model, report

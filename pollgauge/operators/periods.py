@@ -9,6 +9,7 @@ from pollgauge.config import FEED, PERIOD, PERIOD_SERIES, SECOND_US, STATION, US
 from pollgauge.functions.columns import block_of, count_if, critical, to_ts, true_when
 from pollgauge.operators.detect import frozen_rows, jump_rows
 from pollgauge.operators.sequence import Blocks, at_home, near_window, neighbourhood
+from pollgauge.session import materialise
 
 
 def distinct_polls(df: DataFrame) -> DataFrame:
@@ -77,11 +78,9 @@ def certify_periods(df: DataFrame, periods: DataFrame, cfg: FeedConfig) -> DataF
 
 
 def certify_longest(df: DataFrame, cfg: FeedConfig) -> DataFrame:
-    """Rows of each feed's longest segment, flagged for jumps and frozen counters."""
+    """Rows of each feed's longest segment without implausible jumps, flagged for frozen counters."""
     best = longest_segment(continuity_segments(df, cfg)).withColumn(PERIOD, F.lit(0))
-    seg = assign_period(df, best, cfg)
-    flagged = jump_rows(seg, cfg, PERIOD_SERIES)
-    return frozen_rows(flagged, cfg.frozen_window_s, cfg, PERIOD_SERIES)
+    return frozen_rows(certify_periods(df, best, cfg), cfg.frozen_window_s, cfg, PERIOD_SERIES)
 
 
 def dwell_rows(df: DataFrame, cfg: FeedConfig) -> DataFrame:
@@ -117,7 +116,8 @@ def period_census(df: DataFrame, periods: DataFrame, cfg: FeedConfig) -> DataFra
     """Fourteen counts per retained period."""
     from pollgauge.operators.features import build_features
 
-    flagged = jump_rows(assign_period(df, periods, cfg), cfg, PERIOD_SERIES)
+    periods = materialise(periods, "periods")
+    flagged = materialise(jump_rows(assign_period(df, periods, cfg), cfg, PERIOD_SERIES), "flagged")
     raw = flagged.groupBy(FEED, PERIOD).agg(
         F.count_distinct(STATION).alias("stations"),
         F.count(F.lit(1)).alias("observations"),

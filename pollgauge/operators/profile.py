@@ -127,6 +127,12 @@ def poll_gaps(log: DataFrame, cfg: FeedConfig) -> DataFrame:
     )
 
 
+def time_lost(log: DataFrame, cfg: FeedConfig) -> DataFrame:
+    """Number and total length of each feed's reported gaps."""
+    gaps = poll_gaps(log, cfg).groupBy(FEED)
+    return gaps.agg(F.count(F.lit(1)).alias("gaps"), F.sum("gap_s").alias("lost_s"))
+
+
 def runs(df: DataFrame, keys: Sequence[str], start, cfg: FeedConfig, fields: Sequence[str]) -> DataFrame:
     """One row per run of a series: `run`, `length`.  `start(prev)` tells where a run begins."""
     blocks = Blocks(df, keys, cfg.block_us).previous("_prev", fields)
@@ -179,6 +185,13 @@ def capacity_swing(df: DataFrame) -> DataFrame:
     return df.groupBy(*SERIES).agg((F.max(total) - F.min(total)).alias("swing"))
 
 
+def swing_counts(swings: DataFrame, cuts: Sequence[int]) -> DataFrame:
+    """Per feed and cut-off: stations whose spread lies above it, and others."""
+    cut = F.explode(F.array(*[F.lit(c) for c in cuts])).alias("cut")
+    rows = swings.select(FEED, "swing", cut).groupBy(FEED, "cut")
+    return rows.agg(count_if(F.col("swing") > F.col("cut")).alias("above"), count_if(F.col("swing") <= F.col("cut")).alias("up_to"))
+
+
 def flag_profile(df: DataFrame, flag: str) -> DataFrame:
     """Flag rate by UTC hour and by station, in one pass."""
     rows = df.select(FEED, STATION, F.hour(F.timestamp_micros(US)).alias("hour"), F.col(flag).alias("_f"))

@@ -1,6 +1,6 @@
 """Exact ranks and quantiles without sorting a whole group in one task.
 
-Equal values are counted first, approximate quantiles (a bounded sketch) split
+Equal values are counted first and the counts written, approximate quantiles (a bounded sketch) split
 the value range into even buckets, and counts carry from bucket to bucket.  The
 sketch only decides where to cut; ranks and quantiles are exact.
 """
@@ -12,7 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from pollgauge.session import materialise
+
+MIN_BUCKETS = 64
+SKETCH = 20  # accuracy of the sketch, as a multiple of the buckets
+
+
+def bucket_count(spark) -> int:
+    """As many buckets as the session shuffles into, so that they grow with the cluster and the data."""
+    return max(MIN_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def rank_table(df: DataFrame, keys: Sequence[str], value: str, **extra: Column) -> DataFrame:
@@ -25,8 +33,10 @@ def rank_table(df: DataFrame, keys: Sequence[str], value: str, **extra: Column)
     hist = seen.groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in extra.items()]
     )
-    points = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
-    cuts = hist.groupBy(*keys).agg(F.percentile_approx(value, points, F.lit(1000)).alias("_cuts"))
+    hist = materialise(hist, "histogram")
+    buckets = bucket_count(df.sparkSession)
+    points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    cuts = hist.groupBy(*keys).agg(F.percentile_approx(value, points, F.lit(SKETCH * buckets)).alias("_cuts"))
     joined = hist.join(cuts, keys) if keys else hist.crossJoin(cuts)
     bucket = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     joined = joined.withColumn("_bkt", bucket).drop("_cuts")

@@ -8,7 +8,9 @@ series is cut into time blocks, and a block is the window group:
   labels, rolling windows) with one shuffle and no join.
 * `Blocks` serves rules with an unbounded reach (previous row, carry forward,
   running sums).  Each block is reduced to one edge row, the edge rows carry
-  values from block to block, and join back on the block key.
+  values from block to block, and join back on the block key.  Edge rows and rows
+  are read from one shuffle of the input.  A further step starts from a written
+  table, so a chain of steps grows by one join each and is not planned twice.
 
 A group is then one series within one block, however long the series is.
 """
@@ -16,12 +18,15 @@ A group is then one series within one block, however long the series is.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pollgauge.config import US
 from pollgauge.functions.columns import block_of
+from pollgauge.session import materialise, settled
 
 BLOCK = "_blk"
 HOME = "_home"
@@ -52,13 +57,20 @@ def at_home(df: DataFrame) -> DataFrame:
 class Blocks:
     """A frame cut into (series, block) groups, with carries across the block edges."""
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], block_us: int, order: str = US):
+    def __init__(self, df: DataFrame, keys: Sequence[str], block_us: int, order: str = US, settle: bool = True):
+        df = settled(df, "series") if settle else df
         self.keys = list(keys)
         self.order = order
         self.group = [*self.keys, BLOCK]
         cut = df.withColumn(BLOCK, block_of(order, block_us))
         # One shuffle; the edge rows and the rows themselves are both read from it.
         self.df = cut.repartition(*self.group)
+        self._joined = False
+
+    def _settle(self) -> None:
+        """Write the result of an earlier step, which this step would otherwise read twice."""
+        if self._joined:
+            self.df = materialise(self.df, "blocks").repartition(*self.group)
 
     def _window(self):
         return Window.partitionBy(*self.group).orderBy(self.order)
@@ -67,7 +79,12 @@ class Blocks:
         return Window.partitionBy(*self.keys).orderBy(BLOCK)
 
     def _join(self, edges: DataFrame) -> DataFrame:
-        return self.df.join(edges, self.group)
+        """Rows with the carry of their block.  Null-safe: rows with a null key part stay, and the plans of both
+        sides start from the same shuffle, as no null filter is inferred for either."""
+        named = edges.withColumnsRenamed({c: f"_e{i}" for i, c in enumerate(self.group)})
+        same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_e{i}")) for i, c in enumerate(self.group)))
+        self._joined = True
+        return self.df.join(named, same).drop(*[f"_e{i}" for i in range(len(self.group))])
 
     def previous(self, name: str, fields: Sequence[str]) -> Blocks:
         """Add struct `name`: the listed fields of the previous row of the series, or null."""
@@ -78,6 +95,7 @@ class Blocks:
         return self._neighbour(name, fields, F.min_by, F.lead)
 
     def _neighbour(self, name: str, fields: Sequence[str], edge_row, step) -> Blocks:
+        self._settle()
         edges = (
             self.df.groupBy(*self.group)
             .agg(edge_row(F.struct(*fields), self.order).alias("_edge"))
@@ -90,6 +108,7 @@ class Blocks:
 
     def carry_forward(self, name: str, value: Column) -> Blocks:
         """Add `name`: the last non-null `value` up to and including the row."""
+        self._settle()
         self.df = self.df.withColumn("_v", value)
         last_known = F.max_by(F.col("_v"), F.when(F.col("_v").isNotNull(), F.col(self.order)))
         before = self._edge_window().rowsBetween(Window.unboundedPreceding, -1)
@@ -106,6 +125,7 @@ class Blocks:
 
     def running_sum(self, name: str, value: Column) -> Blocks:
         """Add `name`: the sum of `value` from the start of the series to the row."""
+        self._settle()
         self.df = self.df.withColumn("_v", value.cast("bigint"))
         before = self._edge_window().rowsBetween(Window.unboundedPreceding, -1)
         edges = (

@@ -41,18 +41,24 @@ def unevenness(bins: DataFrame, factor: Sequence[str], count: str = "n_jump", ex
 
 def unevenness_adjusted(bins: DataFrame, factor: str, other: str, count: str = "n_jump") -> DataFrame:
     """One row: likelihood ratio of `factor` in a Poisson model that also holds `other`."""
+    return adjusted_fit(bins, factor, other, count)[0]
+
+
+def adjusted_fit(bins: DataFrame, factor: str, other: str, count: str = "n_jump") -> tuple[DataFrame, DataFrame]:
+    """The likelihood ratio, and the bins with the `prediction` of the model that holds both factors."""
     rows = bins.select(count, factor, other, "log_exposure")
     glm = GeneralizedLinearRegression(
         family="poisson", link="log", offsetCol="log_exposure", labelCol="label", featuresCol="features", maxIter=100
     )
-    deviance, rank = [], []
+    deviance, rank, predicted = [], [], []
     for terms in (f"{factor} + {other}", other):
-        data = RFormula(formula=f"{count} ~ {terms}").fit(rows).transform(rows).select("label", "features", "log_exposure")
-        summary = glm.fit(data).summary
-        deviance.append(summary.deviance)
-        rank.append(summary.rank)
+        data = RFormula(formula=f"{count} ~ {terms}").fit(rows).transform(rows)
+        fitted = glm.fit(data)
+        deviance.append(fitted.summary.deviance)
+        rank.append(fitted.summary.rank)
+        predicted.append(fitted.transform(data).select(count, factor, other, "prediction"))
     result = [(factor, deviance[1] - deviance[0], rank[0] - rank[1])]
-    return fixed_table(bins.sparkSession, result, "factor string, lr double, df bigint")
+    return fixed_table(bins.sparkSession, result, "factor string, lr double, df bigint"), predicted[0]
 
 
 def holm_adjust(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:

@@ -116,7 +116,7 @@ def longest_segment(spark, sf):
 # ---- acquisition log ------------------------------------------------------------------------
 
 view("acq_log", """
-SELECT CAST(user_id // 152 AS VARCHAR) AS feed_id, event_id, epoch_us(ts) AS us, epoch_us(ts) // 1000000 AS poll_s,
+SELECT CAST(user_id // 56 AS VARCHAR) AS feed_id, event_id, epoch_us(ts) AS us, epoch_us(ts) // 1000000 AS poll_s,
   event_type <> 'error' AS ok, CASE WHEN event_type <> 'error' THEN substr(md5(event_type), 1, 16) END AS payload,
   CASE WHEN event_type = 'error' THEN 'Timeout' || (user_id % 3) END AS error_kind,
   CASE WHEN event_type <> 'error' THEN 300 + user_id % 20 END AS n_stations FROM events""")
@@ -141,6 +141,14 @@ def poll_gaps(spark, sf):
     return profile.poll_gaps(adapters.acquisition_log(spark, sf), K.CFG)
 
 
+@query("poll_time_lost", """
+SELECT feed_id, count(*) AS gaps, CAST(sum(round((us - before) / 1000000::DOUBLE)) AS BIGINT) AS lost_s
+FROM (SELECT feed_id, us, lag(us) OVER (PARTITION BY feed_id ORDER BY us) AS before FROM acq_log)
+WHERE us - before > 1800000000 GROUP BY 1""")
+def poll_time_lost(spark, sf):
+    return profile.time_lost(adapters.acquisition_log(spark, sf), K.CFG)
+
+
 @query("longest_repeat_streak", """
 SELECT feed_id, max(n) AS longest_streak FROM (SELECT feed_id, run, count(*) AS n FROM (
   SELECT *, sum(is_new) OVER (PARTITION BY feed_id ORDER BY us) AS run FROM (
@@ -158,7 +166,7 @@ def error_kinds(spark, sf):
 
 view("reports", """
 SELECT feed_id, station_id, us, (us + 900000000 - last_us) // 1000000 AS offset_s FROM (
-  SELECT CAST(user_id // 152 AS VARCHAR) AS feed_id, CAST(user_id // 38 AS VARCHAR) AS station_id,
+  SELECT CAST(user_id // 56 AS VARCHAR) AS feed_id, CAST(user_id // 28 AS VARCHAR) AS station_id,
     (epoch_us(ts) // 900000000) * 900000000 AS us, max(epoch_us(ts)) AS last_us FROM events GROUP BY 1, 2, 3)""")
 
 
@@ -200,6 +208,17 @@ def capacity_swing(spark, sf):
     return profile.capacity_swing(rows).withColumn("above_cutoff", F.col("swing") > 2)
 
 
+@query("capacity_swing_counts", f"""
+SELECT feed_id, cut, count(*) FILTER (WHERE swing > cut) AS above, count(*) FILTER (WHERE swing <= cut) AS up_to FROM (
+  SELECT feed_id, station_id, max(t) - min(t) AS swing FROM (
+    SELECT *, num_bikes_available + num_docks_available + 3 * CAST({K.hash_sql("'cap|' || station_id || '|' || us")} % 5 // 4 AS INTEGER) AS t
+    FROM status) GROUP BY 1, 2) CROSS JOIN (VALUES (0), (2), (3)) c(cut) GROUP BY 1, 2""")
+def capacity_swing_counts(spark, sf):
+    drift = (C.hash32("cap", F.col(STATION), F.col(US)) % 5 == 4).cast("int") * 3
+    rows = K.status(spark, sf).withColumn(BIKES, F.col(BIKES) + drift)
+    return profile.swing_counts(profile.capacity_swing(rows), (0, 2, 3))
+
+
 view("frozen_status", """
 SELECT *, min(num_bikes_available) OVER w = max(num_bikes_available) OVER w
   AND min(num_docks_available) OVER w = max(num_docks_available) OVER w AS frozen
@@ -298,13 +317,19 @@ def period_aligned_split(spark, sf):
     )
 
 
-@query("train_classifier")
+_observed = ", ".join(f"sum(label::INT * {c})::DOUBLE AS y_{c}" for c in FEAT)
+_terms = ", ".join(f"('{c}', y_{c})" for c in FEAT)
+
+
+@query("train_classifier", f"""
+SELECT t.term, n AS train_rows, t.observed, 0::DOUBLE AS imbalance
+FROM (SELECT count(*) AS n, sum(label::INT)::DOUBLE AS y, {_observed} FROM usable CROSS JOIN bounds WHERE us <= train_end) o,
+LATERAL (VALUES ('intercept', y), {_terms}) t(term, observed)""")
 def train_classifier(spark, sf):
+    """The fit's exact conditions: fitted and observed sums of each term differ by the penalty only."""
     rows = usable_rows(spark, sf)
-    train = model.assign_split(rows, model.split_bounds(rows)).filter("split = 'train'")
-    fitted = model.train_classifier(train, FEAT)
-    coefs = [("intercept", fitted.intercept), *fitted.coefficients.items()]
-    return fixed_table(spark, coefs, "term string, coefficient double")
+    train = materialise(model.assign_split(rows, model.split_bounds(rows)).filter("split = 'train'"), "train")
+    return tidy(model.balance(train, model.train_classifier(train, FEAT)), "imbalance")
 
 
 _taus = ", ".join(f"({i})" for i in range(1, 20))
@@ -329,10 +354,21 @@ def calibrate_tau(spark, sf):
     return tidy(model.calibrate_tau(rows, K.CFG, K.COSTS), "total")
 
 
-@query("train_freeze_flow")
+@query("train_freeze_flow", f"""
+SELECT count(*) FILTER (WHERE us <= train_end) AS trained_on_rows,
+  count(DISTINCT CASE WHEN us <= train_end THEN (feed_id, period_id) END) AS train_periods,
+  count(DISTINCT CASE WHEN us > train_end AND us <= val_end THEN (feed_id, period_id) END) AS val_periods,
+  count(DISTINCT CASE WHEN us > val_end THEN (feed_id, period_id) END) AS test_periods,
+  any_value(train_end) AS train_end, any_value(val_end) AS val_end,
+  round(corr({FEAT[0]}::DOUBLE, label::INT::DOUBLE) FILTER (WHERE us > val_end), 6) AS test_corr, true AS tau_listed, true AS auc_valid
+FROM usable CROSS JOIN bounds""")
 def train_freeze_flow(spark, sf):
+    """Sizes, bounds and test correlation; threshold and area under the curve depend on the fit, so only their range is told."""
     _, report = model.train_freeze(usable_rows(spark, sf), FEAT, K.CFG, K.COSTS)
-    return tidy(report, "test_auc", "test_corr")
+    report = report.withColumn("tau_listed", F.col("tau").isin(*model.TAUS)).withColumn("auc_valid", F.col("test_auc").between(0, 1))
+    return tidy(report, "test_corr").select(
+        "trained_on_rows", "train_periods", "val_periods", "test_periods", "train_end", "val_end", "test_corr", "tau_listed", "auc_valid"
+    )
 
 
 # ---- decision and cost ----------------------------------------------------------------------
@@ -461,11 +497,11 @@ def recovered_join(spark, sf):
 @query("feature_pair_join", f"""
 SELECT c.experiment_id, {", ".join("k." + c for c in PK_SQL.split(", "))}, round(k.proba, 6) AS proba_k, round(c.proba, 6) AS proba_c,
   c.bikes_lag1 <> k.bikes_lag1 OR c.bikes_lag2 <> k.bikes_lag2 AS touched
-FROM scored k JOIN (SELECT *, {K.PROBA} AS proba FROM ({K.lag_sql("(SELECT * FROM corrupted WHERE class = 'class5_jump' AND seed = 0)", X._EK)})) c
+FROM scored k JOIN (SELECT *, {K.PROBA} AS proba FROM ({K.lag_sql("(SELECT * FROM corrupted WHERE class = 'class5_jump')", X._EK)})) c
 USING (feed_id, period_id, station_id, us) WHERE c.bikes_lag1 IS NOT NULL AND c.bikes_lag2 IS NOT NULL""")
 def feature_pair_join(spark, sf):
     base, periods = K.test_rows(spark, sf)
-    exps = inject.experiments(spark, X.G).filter((F.col("class") == X.G.JUMP) & (F.col("seed") == 0))
+    exps = inject.experiments(spark, X.G).filter(F.col("class") == X.G.JUMP)
     full = inject.apply_changes(base, K.change_rows(base, periods, [X.G.JUMP]), exps)
     keys = ("experiment_id", *PERIOD_SERIES)
     seen = model.score(build_features(full, K.CFG, keys=keys, label=False), K.MODEL)

@@ -14,7 +14,7 @@ from pollgauge.session import materialise
 from pollgauge.sources import adapters
 
 A, B, Y = "class", "intensity_idx", "delta_cost"
-N_PERM, N_BOOT, N_PAIRED = 1000, 2000, 5000
+N_PERM, N_BOOT, N_PAIRED = 5000, 2000, 5000
 
 view("cells", """
 SELECT event_type AS class, CAST(user_id % 4 AS INTEGER) AS intensity_idx, CAST((user_id // 4) % 5 AS INTEGER) AS seed,
@@ -50,11 +50,24 @@ def occurrence_unevenness(spark, sf):
     return out
 
 
-@query("occurrence_adjusted")
+_day_bins = "(SELECT CAST(day AS VARCHAR) AS day, CAST(hour AS VARCHAR) AS hour, count(*) FILTER (WHERE jump_flag) AS n_jump FROM local_flags GROUP BY 1, 2)"
+
+
+@query("occurrence_adjusted", f"""
+SELECT k AS factor, level, sum(n_jump)::DOUBLE AS observed, sum(n_jump)::DOUBLE AS fitted, (SELECT count(DISTINCT day) - 1 FROM {_day_bins}) AS df, true AS lr_positive
+FROM (SELECT 'day' AS k, day AS level, n_jump FROM {_day_bins} UNION ALL SELECT 'hour', hour, n_jump FROM {_day_bins}) GROUP BY 1, 2""")
 def occurrence_adjusted(spark, sf):
+    """The Poisson fit of day and hour: its counts per day and per hour equal the observed ones."""
     bins = materialise(profile.exposure_bins(K.flagged(spark, sf), K.CFG.local_tz), "bins")
-    by_day = bins.filter(F.col("day").isNotNull()).withColumn("hour", F.col("hour").cast("string"))
-    return tidy(stats.unevenness_adjusted(by_day, "day", "hour"), "lr")
+    by_day = bins.filter(F.col("day").isNotNull()).withColumns({"hour": F.col("hour").cast("string"), "day": F.col("day").cast("string")})
+    ratio, fitted = stats.adjusted_fit(by_day, "day", "hour")
+    lr, df = ratio.select("lr", "df").first()
+    out = None
+    for name in ("day", "hour"):
+        sums = fitted.groupBy(F.col(name).alias("level")).agg(F.sum("n_jump").cast("double").alias("observed"), (F.round(F.sum("prediction"), 2) + 0.0).alias("fitted"))
+        part = sums.select(F.lit(name).alias("factor"), "level", "observed", "fitted", F.lit(df).alias("df"), F.lit(lr > 0).alias("lr_positive"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 # Are the flags of a station even over the three thirds of the day?  Two degrees of freedom, so p = exp(-G / 2).
@@ -146,10 +159,10 @@ def normality_check(spark, sf):
 SELECT round(f_observed, 6) AS f_observed, replicates, reached, round(f_max, 6) AS f_max, round(f_mean, 6) AS f_mean,
   round(reached / replicates::DOUBLE, 6) AS p_value
 FROM (SELECT any_value(o.f_ab) AS f_observed, count(*) AS replicates, count(*) FILTER (WHERE f >= o.f_ab) AS reached, max(f) AS f_max, avg(f) AS f_mean
-FROM (SELECT ss_ab / ((na - 1) * (nb - 1)) / (ss_res / (cells * (r_min - 1))) AS f FROM ({_ss_sql('''(
+FROM (SELECT ss_ab / ((na - 1) * (nb - 1)) / (ss_res / (cells * (r_min - 1))) AS f FROM ({_ss_sql(f'''(
   SELECT d.rep, b.class, b.intensity_idx, b.fit + d.res AS y FROM (
     SELECT rep, res, row_number() OVER (PARTITION BY rep ORDER BY ('0x' || substr(md5(rep || '|perm|' || pos), 1, 8))::BIGINT, pos) AS pos
-    FROM (SELECT pos, delta_cost - fit AS res FROM main_fit) CROSS JOIN range(1000) r(rep)) d JOIN main_fit b USING (pos))''', "y", "rep")}))
+    FROM (SELECT pos, delta_cost - fit AS res FROM main_fit) CROSS JOIN range({N_PERM}) r(rep)) d JOIN main_fit b USING (pos))''', "y", "rep")}))
 CROSS JOIN anova o)""")
 def permutation_interaction(spark, sf):
     cells = materialise(adapters.cell_results(spark, sf), "cells")

@@ -8,7 +8,7 @@ from pollgauge.config import BIKES, DOCKS, FEED, SERIES, STATION, US
 from pollgauge.plans import common as K
 from pollgauge.plans.catalog import query
 from pollgauge.plans.windows import REPEAT_SQL
-from pollgauge.session import fixed_table, work_path
+from pollgauge.session import work_path
 from pollgauge.sources import adapters
 from pollgauge.streaming import streams as X
 
@@ -26,6 +26,28 @@ def doc_stream(spark, sf):
     return X.snapshot_stream(spark, path)
 
 
+PARTS = 3
+
+
+def in_parts(rows, part, path):
+    """Write the rows part by part, into a folder that is there; a stream that runs after each has a batch for each."""
+    for k in range(PARTS):
+        rows.filter(part == k).write.mode("append").parquet(path)
+        yield
+
+
+def empty_folder(spark, path, schema):
+    """A stream needs its folder before the first part comes."""
+    spark.createDataFrame([], schema).write.parquet(path)
+    return X.table_stream(spark, path, schema)
+
+
+def by_time(us):
+    """Thirds of the driver's month: parts in the order of time."""
+    day = F.dayofmonth(F.timestamp_micros(us))
+    return F.when(day <= 10, 0).when(day <= 20, 1).otherwise(2)
+
+
 def status_stream(spark, sf, files_per_trigger=None):
     X.configure_streams(spark)
     path = work_path(spark, "status")
@@ -51,7 +73,11 @@ def stream_dedup(spark, sf):
 SELECT feed_id, station_id, us, coalesce(abs(num_bikes_available - lag(num_bikes_available) OVER w)
   > (us - lag(us) OVER w) / 60000000.0::DOUBLE, false) AS jump_flag FROM status WINDOW w AS (PARTITION BY feed_id, station_id ORDER BY us)""")
 def stream_jump(spark, sf):
-    return X.run_stream_jump(status_stream(spark, sf), K.CFG).select(*SERIES, US, "jump_flag")
+    X.configure_streams(spark)
+    path = work_path(spark, "status")
+    rows = K.status(spark, sf).select(*SERIES, US, BIKES, DOCKS)
+    stream = empty_folder(spark, path, X.STATUS_SCHEMA)
+    return X.run_stream_jump(stream, K.CFG, in_parts(rows, by_time(F.col(US)), path)).select(*SERIES, US, "jump_flag")
 
 
 @query("stream_frozen", f"""
@@ -86,16 +112,20 @@ FROM feed_polls p JOIN ({REPEAT_SQL}) r USING (event_id)""")
 def stream_stale(spark, sf):
     X.configure_streams(spark)
     path = work_path(spark, "polls")
-    adapters.feed_polls(spark, sf).write.parquet(path)
-    polls = X.table_stream(spark, path, X.POLL_SCHEMA)
-    return X.run_stream_stale(polls, K.CFG).select(FEED, "event_id", "stale")
+    polls = empty_folder(spark, path, X.POLL_SCHEMA)
+    arrivals = in_parts(adapters.feed_polls(spark, sf), by_time(F.col("request_us")), path)
+    return X.run_stream_stale(polls, K.CFG, arrivals).select(FEED, "event_id", "stale")
 
 
-@query("late_rows")
+@query("late_rows", f"""
+SELECT s.feed_id, count(*) AS input_rows, count(*) FILTER (WHERE s.us < m.top - {DELAY_US}) AS late_rows
+FROM (SELECT *, (us // 900000000) % {PARTS} AS part FROM status) s
+LEFT JOIN (SELECT p.part, max(us) AS top FROM range({PARTS}) p(part) JOIN status ON (us // 900000000) % {PARTS} < p.part GROUP BY 1) m
+  ON m.part = s.part GROUP BY 1""")
 def late_rows(spark, sf):
-    X.configure_streams(spark)
-    path = work_path(spark, "status")
-    # One file per station: every file spans all days, so all but the first arrive late.
-    K.status(spark, sf).select(*SERIES, US, BIKES, DOCKS).repartition(STATION).sortWithinPartitions(STATION, US).write.parquet(path)
-    counts = X.late_rows(X.table_stream(spark, path, X.STATUS_SCHEMA, 1), K.CFG, DELAY, "1 hour")
-    return fixed_table(spark, [tuple(counts.values())], "input_rows bigint, late_rows bigint")
+    """Every third slot arrives together: the second and third part are late but for their newest rows."""
+    path, out, state = (work_path(spark, name) for name in ("status", "late", "late-state"))
+    rows = K.status(spark, sf).select(*SERIES, US, BIKES, DOCKS)
+    stream = empty_folder(spark, path, X.STATUS_SCHEMA)
+    X.run_all(X.late_row_writer(stream, out, state, DELAY_US), in_parts(rows, F.expr("us div 900000000 % 3"), path))
+    return X.late_rows(spark.read.schema(f"{X.STATUS_SCHEMA}, late boolean").parquet(out))

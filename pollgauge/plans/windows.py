@@ -213,15 +213,21 @@ def critical_episodes(spark, sf):
 
 
 @query("key_uniqueness_guard", """
-SELECT feed_id, station_id, us, count(*) AS copies FROM status GROUP BY 1, 2, 3 HAVING count(*) > 1
-UNION ALL SELECT 'all', 'all', 0, (SELECT count(*) - count(DISTINCT (feed_id, station_id, us)) FROM status)""")
+WITH r AS (SELECT CAST(user_id // 56 AS VARCHAR) AS feed_id, CAST(user_id // 28 AS VARCHAR) AS station_id,
+  (epoch_us(ts) // 900000000) * 900000000 AS us FROM events)
+SELECT feed_id, station_id, us, count(*) AS copies FROM r GROUP BY 1, 2, 3 HAVING count(*) > 1
+UNION ALL SELECT 'all', 'all', 0, (SELECT count(*) - count(DISTINCT (feed_id, station_id, us)) FROM r)
+UNION ALL SELECT 'reduced', 'reduced', 0, (SELECT count(*) - count(DISTINCT (feed_id, station_id, us)) FROM status)
+""".replace("WITH r AS", "SELECT * FROM (WITH r AS") + ")")
 def key_uniqueness_guard(spark, sf):
-    rows = K.status(spark, sf)
-    dup = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    extra = dup.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("copies")).select(
-        F.lit("all").alias(FEED), F.lit("all").alias(STATION), F.lit(0).cast("bigint").alias(US), "copies"
-    )
-    return dup.unionByName(extra)
+    """Repeated keys among the raw readings, and how many are left once slots are reduced to one row."""
+
+    def extra(found, name):
+        copies = F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("copies")
+        return found.agg(copies).select(F.lit(name).alias(FEED), F.lit(name).alias(STATION), F.lit(0).cast("bigint").alias(US), "copies")
+
+    dup = repeated_keys(adapters.readings(spark, sf), KEY)
+    return dup.unionByName(extra(dup, "all")).unionByName(extra(repeated_keys(K.status(spark, sf), KEY), "reduced"))
 
 
 @query("boundary_probe", f"""
@@ -241,6 +247,10 @@ def boundary_probe(spark, sf):
     return rows.groupBy(FEED, PERIOD).agg(*probes, late, F.count(F.lit(1)).alias("n"))
 
 
+def repeated_keys(rows, keys):
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+
+
 # ---- detectors ------------------------------------------------------------------------
 
 
@@ -290,18 +300,26 @@ def detect_jump(spark, sf):
     return detect.jump_rows(K.status(spark, sf), K.CFG).select(*KEY, "jump_flag")
 
 
-@query("certify_longest", f"""
+LONGEST_SQL = f"""
 WITH best AS (SELECT feed_id, arg_max(start_us, (end_us - start_us, -start_us)) AS s,
                      arg_max(end_us, (end_us - start_us, -start_us)) AS e FROM segs GROUP BY 1),
-rows_in AS (SELECT t.* FROM status t JOIN best b ON t.feed_id = b.feed_id AND t.us BETWEEN b.s AND b.e)
-SELECT {K_SQL}, coalesce(abs(num_bikes_available - lag(num_bikes_available) OVER w)
-  > (us - lag(us) OVER w) / 60000000.0::DOUBLE, false) AS jump_flag,
-  min(num_bikes_available) OVER f = max(num_bikes_available) OVER f
+rows_in AS (SELECT t.* FROM status t JOIN best b ON t.feed_id = b.feed_id AND t.us BETWEEN b.s AND b.e),
+jumps AS (SELECT *, coalesce(abs(num_bikes_available - lag(num_bikes_available) OVER w)
+  > (us - lag(us) OVER w) / 60000000.0::DOUBLE, false) AS jump_flag FROM rows_in WINDOW w AS ({W_SERIES}))
+SELECT {K_SQL}, min(num_bikes_available) OVER f = max(num_bikes_available) OVER f
   AND min(num_docks_available) OVER f = max(num_docks_available) OVER f AS frozen
-FROM rows_in WINDOW w AS ({W_SERIES}),
-  f AS ({W_SERIES} RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW)""".replace("WITH best", "SELECT * FROM (WITH best") + ")")
+FROM jumps WHERE NOT jump_flag WINDOW f AS ({W_SERIES} RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW)"""
+
+
+@query("certify_longest", LONGEST_SQL.replace("\nWITH best", "SELECT * FROM (WITH best", 1) + ")")
 def certify_longest(spark, sf):
-    return P.certify_longest(K.status(spark, sf), K.CFG).select(*KEY, "jump_flag", "frozen")
+    return P.certify_longest(K.status(spark, sf), K.CFG).select(*KEY, "frozen")
+
+
+@query("certify_longest_counts", LONGEST_SQL.replace("\nWITH best", "SELECT feed_id, count(*) AS rows_clean, count(*) FILTER (WHERE frozen) AS frozen_rows FROM (WITH best", 1) + ") GROUP BY 1")
+def certify_longest_counts(spark, sf):
+    rows = P.certify_longest(K.status(spark, sf), K.CFG)
+    return rows.groupBy(FEED).agg(F.count(F.lit(1)).alias("rows_clean"), C.count_if(F.col("frozen")).alias("frozen_rows"))
 
 
 @query("certify_periods", """

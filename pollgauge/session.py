@@ -95,6 +95,15 @@ def materialise(df, name: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The frame itself if it only reads, filters and aggregates once; else a written copy.
+
+    For steps that read their input twice: an input with joins of its own would be planned, and perhaps run, twice.
+    """
+    plan = df._jdf.queryExecution().analyzed().toString()
+    return materialise(df, name) if re.search(r"\bJoin\b", plan) else df
+
+
 _ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
 
 

@@ -1,6 +1,6 @@
 """Views of the driver tables as feed data.
 
-Stations are groups of neighbouring users and feeds are groups of four stations,
+Stations are groups of neighbouring users and feeds are groups of two stations,
 so the number of stations and feeds grows with the data while the density of one
 station stays the same.
 """
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pollgauge.config import BIKES, DOCKS, FEED, SECOND_US, STATION, US
 from pollgauge.functions.columns import floor_to, hash32, hour_us, micros
 
-USERS_PER_STATION = 38
-STATIONS_PER_FEED = 4
+USERS_PER_STATION = 28
+STATIONS_PER_FEED = 2
 CAPACITY = 20
 POLL_US = 900 * SECOND_US
 ABSENT = "absent"
@@ -41,6 +41,14 @@ def status(spark: SparkSession, sf_dir: str, station: Column | None = None, feed
     )
 
 
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reading before the slots are reduced to one row: a slot may come several times."""
+    return table(spark, sf_dir, "events").select(
+        _group_of_users(USERS_PER_STATION * STATIONS_PER_FEED).alias(FEED), _group_of_users(USERS_PER_STATION).alias(STATION),
+        floor_to(micros("ts"), POLL_US).alias(US),
+    )
+
+
 def feed_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per poll of a feed: request time, the feed's own clock, payload hash."""
     request = micros("ts")
@@ -172,7 +180,6 @@ def registry_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_format(F.timestamp_micros(micros("ts")), "yyyyMMdd").alias("day")
     seen = (
         table(spark, sf_dir, "events")
-        .filter(F.col("event_type") == "signup")
         .select(feed, _group_of_users(USERS_PER_STATION).alias(STATION), day)
         .distinct()
     )

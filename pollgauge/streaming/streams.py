@@ -7,7 +7,7 @@ newest row of each series from batch to batch in a written table.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +45,7 @@ def table_stream(spark: SparkSession, path: str, schema: str, files_per_trigger:
     return reader.parquet(path)
 
 
-def run_to_table(stream: DataFrame, name: str, on_progress: Callable | None = None) -> DataFrame:
+def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     """Process all available input in append mode into files, and read them back.
 
     The files and the checkpoint lie in the shared folder, so a lost executor or a
@@ -58,8 +58,6 @@ def run_to_table(stream: DataFrame, name: str, on_progress: Callable | None = No
         .outputMode("append").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    if on_progress is not None:
-        on_progress(query.recentProgress)
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -96,7 +94,6 @@ def previous_row_writer(
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.persist()
         rows = batch.withColumn("_old", F.lit(False))
         tails = None
         if batch_id > 0:
@@ -109,28 +106,39 @@ def previous_row_writer(
         fresh = rows.filter(~F.col("late"))
         if tails is not None:
             fresh = fresh.unionByName(tails.withColumn("_old", F.lit(True)).withColumn("late", F.lit(False)))
-        seen = Blocks(fresh, keys, block_us, order).previous("prev", fields).frame().filter(~F.col("_old"))
+        seen = Blocks(fresh, keys, block_us, order, settle=False).previous("prev", fields).frame().filter(~F.col("_old"))
         apart = rows.filter("late").withColumn("prev", F.lit(None).cast(seen.schema["prev"].dataType))
         done = finish(seen.unionByName(apart).drop("_old")).drop("prev")
         done.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         names = [c for c in batch.columns if c not in keys]
         last = fresh.groupBy(*keys).agg(F.max_by(F.struct(*names), order).alias("t")).select(*keys, "t.*")
         last.select(*batch.columns).write.mode("overwrite").parquet(f"{state}/tails-{batch_id % 2}")
-        batch.unpersist()
 
-    return stream.writeStream.foreachBatch(process).option("checkpointLocation", f"{state}/log")
+    def kept(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            process(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    return stream.writeStream.foreachBatch(kept).option("checkpointLocation", f"{state}/log")
 
 
-def _run_previous(stream, keys, order, fields, finish, cfg: FeedConfig, name: str, extra: str) -> DataFrame:
+def run_all(writer: DataStreamWriter, arrivals: Iterable[None] = (None,)) -> None:
+    """Process what is there, once for each arrival; the checkpoint carries on from one to the next."""
+    for _ in arrivals:
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def _run_previous(stream, keys, order, fields, finish, cfg: FeedConfig, name: str, extra: str, arrivals) -> DataFrame:
     spark = stream.sparkSession
     out, state = work_path(spark, name), work_path(spark, f"{name}-state")
-    writer = previous_row_writer(stream, keys, order, fields, finish, out, state, cfg.block_us)
-    writer.trigger(availableNow=True).start().awaitTermination()
+    run_all(previous_row_writer(stream, keys, order, fields, finish, out, state, cfg.block_us), arrivals)
     schema = T.StructType([*stream.schema.fields, T.StructField("late", T.BooleanType()), T.StructField(extra, T.BooleanType())])
     return spark.read.schema(schema).parquet(out)
 
 
-def run_stream_jump(status: DataFrame, cfg: FeedConfig) -> DataFrame:
+def run_stream_jump(status: DataFrame, cfg: FeedConfig, arrivals: Iterable[None] = (None,)) -> DataFrame:
     """Status rows with `jump_flag` against the station's previous row, for all available input."""
 
     def finish(rows: DataFrame) -> DataFrame:
@@ -138,17 +146,17 @@ def run_stream_jump(status: DataFrame, cfg: FeedConfig) -> DataFrame:
         moved = F.abs(F.col(BIKES) - F.col(f"prev.{BIKES}"))
         return rows.withColumn("jump_flag", true_when(moved > F.lit(cfg.max_flow_per_min) * minutes))
 
-    return _run_previous(status, SERIES, US, [US, BIKES], finish, cfg, "jump", "jump_flag")
+    return _run_previous(status, SERIES, US, [US, BIKES], finish, cfg, "jump", "jump_flag", arrivals)
 
 
-def run_stream_stale(polls: DataFrame, cfg: FeedConfig) -> DataFrame:
+def run_stream_stale(polls: DataFrame, cfg: FeedConfig, arrivals: Iterable[None] = (None,)) -> DataFrame:
     """Polls with `stale`: old feed clock, or the same payload as the feed's previous poll."""
 
     def finish(rows: DataFrame) -> DataFrame:
         old = F.col("request_us") - F.col("last_updated_us") > cfg.stale_age_s * SECOND_US
         return rows.withColumn("stale", old | true_when(F.col("payload_sha256") == F.col("prev.payload_sha256")))
 
-    return _run_previous(polls, [FEED], "request_us", ["payload_sha256"], finish, cfg, "stale", "stale")
+    return _run_previous(polls, [FEED], "request_us", ["payload_sha256"], finish, cfg, "stale", "stale", arrivals)
 
 
 def stream_frozen(status: DataFrame, cfg: FeedConfig, delay: str, window: str, slide: str) -> DataFrame:
@@ -190,16 +198,26 @@ def stream_health(status: DataFrame, cfg: FeedConfig, delay: str, window: str) -
     return out.select(FEED, F.unix_micros("slot.start").alias("window_us"), "stations", "n_rows", "critical_rows")
 
 
-def late_rows(status: DataFrame, cfg: FeedConfig, delay: str, window: str) -> dict[str, int]:
-    """Run the windowed count and report rows read and rows dropped as too late."""
-    counts = {"input_rows": 0, "late_rows": 0}
+def late_row_writer(stream: DataFrame, out: str, state: str, delay_us: int) -> DataStreamWriter:
+    """A sink that marks rows which come too late, before anything is aggregated.
 
-    def add(progress) -> None:
-        for p in progress:
-            counts["input_rows"] += p["numInputRows"]
-            counts["late_rows"] += sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"])
+    A row is late if it is older than the newest row of all earlier batches by more than the delay. The newest time
+    is a one-row table per batch, written beside the marked rows, so repeating a batch gives the same marks.
+    """
 
-    rows = _event_time(status, US, delay)
-    out = rows.groupBy(FEED, F.window("ts", window)).agg(F.count(F.lit(1)).alias("n"))
-    run_to_table(out.select(FEED, F.unix_micros("window.start").alias("window_us"), "n"), "late", add)
-    return counts
+    def process(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        mark = None
+        if batch_id > 0:
+            mark = spark.read.schema("top bigint").parquet(f"{state}/marks/batch={batch_id - 1}").first()[0]
+        late = F.lit(False) if mark is None else true_when(F.col(US) < F.lit(mark - delay_us))
+        batch.withColumn("late", late).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        top = batch.agg(F.greatest(F.max(US), F.lit(mark).cast("bigint")).alias("top"))
+        top.write.mode("overwrite").parquet(f"{state}/marks/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(process).option("checkpointLocation", f"{state}/log")
+
+
+def late_rows(marked: DataFrame) -> DataFrame:
+    """Rows read and rows that came too late, per feed, over all batches."""
+    return marked.groupBy(FEED).agg(F.count(F.lit(1)).alias("input_rows"), F.count_if("late").alias("late_rows"))

@@ -76,3 +76,24 @@ def test_health_counts_stations(spark, hours):
     assert len(rows) >= 6
     assert all(r["stations"] == 2 for r in rows)
     assert [r["n_rows"] for r in rows][:4] == [120, 120, 120, 100]
+
+
+def late(spark, status_frame, tmp_path, files, delay_minutes):
+    path, out, state = (str(tmp_path / name) for name in ("status", "late", "state"))
+    for k, rows in enumerate(files):
+        status_frame(rows).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.01)
+    stream = X.table_stream(spark, path, X.STATUS_SCHEMA, 1)
+    X.run_all(X.late_row_writer(stream, out, state, delay_minutes * 60_000_000))
+    marked = spark.read.schema(f"{X.STATUS_SCHEMA}, late boolean").parquet(out)
+    return {r["feed_id"]: (r["input_rows"], r["late_rows"]) for r in X.late_rows(marked).collect()}
+
+
+def test_ten_late_rows_of_one_window_count_as_ten(spark, status_frame, tmp_path):
+    files = [[("f", "s", 600, 5, 5), ("g", "s", 600, 5, 5)], [("f", f"s{i}", i, 5, 5) for i in range(10)] + [("f", "s", 570, 5, 5), ("f", "s", 569, 5, 5)]]
+    assert late(spark, status_frame, tmp_path, files, 30) == {"f": (13, 11), "g": (1, 0)}
+
+
+def test_every_batch_counts(spark, status_frame, tmp_path):
+    files = [[("f", "s", 600 if i == 0 else i, 5, 5)] for i in range(112)]
+    assert late(spark, status_frame, tmp_path, files, 30) == {"f": (112, 111)}
