@@ -13,7 +13,7 @@ from pollgauge.session import materialise, work_path
 from pollgauge.sources import adapters, snapshots as S
 
 view("hourly", """
-SELECT CAST(user_id // 56 AS VARCHAR) AS feed_id, CAST(user_id // 28 AS VARCHAR) AS station_id,
+SELECT CAST(user_id // 60 AS VARCHAR) AS feed_id, CAST(user_id // 30 AS VARCHAR) AS station_id,
   (epoch_us(ts) // 3600000000) * 3600000000 AS us, CAST(least(20, floor(max(value) / 5)) AS INTEGER) AS num_bikes_available
 FROM events GROUP BY 1, 2, 3""")
 view("docs", f"""
@@ -79,7 +79,7 @@ def acquisition_log_scan(spark, sf):
 @query("poll_snapshot_join", f"""
 SELECT d.feed_id, d.us + 7000000 AS request_us, d.last_updated * 1000000 AS last_updated_us,
   CASE WHEN {K.hash_sql("'fail|' || d.feed_id || '|' || d.us")} % 10 <> 0 THEN substr(md5(CAST(n AS VARCHAR)), 1, 16) END AS payload_sha256
-FROM docs d JOIN (SELECT CAST(user_id // 56 AS VARCHAR) AS feed_id, (epoch_us(ts) // 3600000000) * 3600000000 AS us, count(*) AS n
+FROM docs d JOIN (SELECT CAST(user_id // 60 AS VARCHAR) AS feed_id, (epoch_us(ts) // 3600000000) * 3600000000 AS us, count(*) AS n
   FROM events GROUP BY 1, 2) USING (feed_id, us) WHERE NOT cut""")
 def poll_snapshot_join(spark, sf):
     docs = S.readable(S.snapshot_files(spark, archive(spark, sf)))
@@ -87,7 +87,7 @@ def poll_snapshot_join(spark, sf):
 
 
 view("registry_days", """
-SELECT DISTINCT CAST(user_id // 56 AS VARCHAR) AS feed_id, CAST(user_id // 28 AS VARCHAR) AS station_id,
+SELECT DISTINCT CAST(user_id // 60 AS VARCHAR) AS feed_id, CAST(user_id // 30 AS VARCHAR) AS station_id,
   strftime(ts, '%Y%m%d') AS day FROM events""")
 
 

@@ -79,7 +79,7 @@ def scored(spark, sf) -> DataFrame:
 
 
 view("status", """
-SELECT CAST(user_id // 56 AS VARCHAR) AS feed_id, CAST(user_id // 28 AS VARCHAR) AS station_id,
+SELECT CAST(user_id // 60 AS VARCHAR) AS feed_id, CAST(user_id // 30 AS VARCHAR) AS station_id,
        (epoch_us(ts) // 900000000) * 900000000 AS us,
        CAST(least(20, floor(max(value) / 5)) AS INTEGER) AS num_bikes_available,
        20 - CAST(least(20, floor(max(value) / 5)) AS INTEGER) AS num_docks_available
@@ -135,13 +135,13 @@ view("scored", f"""
 SELECT *, {PROBA} AS proba, {PROBA} >= 0.4::DOUBLE AS decision
 FROM features WHERE bikes_lag1 IS NOT NULL AND bikes_lag2 IS NOT NULL""")
 view("feed_polls", """
-SELECT CAST(user_id // 56 AS VARCHAR) AS feed_id, event_id, epoch_us(ts) AS request_us,
+SELECT CAST(user_id // 60 AS VARCHAR) AS feed_id, event_id, epoch_us(ts) AS request_us,
        epoch_us(ts) - CAST(floor(value) AS BIGINT) * 1000000 AS last_updated_us, md5(event_type) AS payload_sha256
 FROM events""")
 view("registry", """
 SELECT feed_id, station_id, 'Station ' || station_id AS name, 20 AS capacity
-FROM (SELECT DISTINCT CAST(user_id // 56 AS VARCHAR) AS feed_id, CAST(user_id // 28 AS VARCHAR) AS station_id FROM events
-      UNION SELECT DISTINCT CAST(user_id // 56 AS VARCHAR), 'absent-' || CAST(user_id // 56 AS VARCHAR) FROM events)""")
+FROM (SELECT DISTINCT CAST(user_id // 60 AS VARCHAR) AS feed_id, CAST(user_id // 30 AS VARCHAR) AS station_id FROM events
+      UNION SELECT DISTINCT CAST(user_id // 60 AS VARCHAR), 'absent-' || CAST(user_id // 60 AS VARCHAR) FROM events)""")
 view("weather", """
 SELECT * FROM (
   SELECT (epoch_us(ts) // 3600000000) * 3600000000 AS hour_us, avg(value) AS temp_c,

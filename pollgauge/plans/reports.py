@@ -116,7 +116,7 @@ def longest_segment(spark, sf):
 # ---- acquisition log ------------------------------------------------------------------------
 
 view("acq_log", """
-SELECT CAST(user_id // 56 AS VARCHAR) AS feed_id, event_id, epoch_us(ts) AS us, epoch_us(ts) // 1000000 AS poll_s,
+SELECT CAST(user_id // 60 AS VARCHAR) AS feed_id, event_id, epoch_us(ts) AS us, epoch_us(ts) // 1000000 AS poll_s,
   event_type <> 'error' AS ok, CASE WHEN event_type <> 'error' THEN substr(md5(event_type), 1, 16) END AS payload,
   CASE WHEN event_type = 'error' THEN 'Timeout' || (user_id % 3) END AS error_kind,
   CASE WHEN event_type <> 'error' THEN 300 + user_id % 20 END AS n_stations FROM events""")
@@ -166,7 +166,7 @@ def error_kinds(spark, sf):
 
 view("reports", """
 SELECT feed_id, station_id, us, (us + 900000000 - last_us) // 1000000 AS offset_s FROM (
-  SELECT CAST(user_id // 56 AS VARCHAR) AS feed_id, CAST(user_id // 28 AS VARCHAR) AS station_id,
+  SELECT CAST(user_id // 60 AS VARCHAR) AS feed_id, CAST(user_id // 30 AS VARCHAR) AS station_id,
     (epoch_us(ts) // 900000000) * 900000000 AS us, max(epoch_us(ts)) AS last_us FROM events GROUP BY 1, 2, 3)""")
 
 

@@ -213,7 +213,7 @@ def critical_episodes(spark, sf):
 
 
 @query("key_uniqueness_guard", """
-WITH r AS (SELECT CAST(user_id // 56 AS VARCHAR) AS feed_id, CAST(user_id // 28 AS VARCHAR) AS station_id,
+WITH r AS (SELECT CAST(user_id // 60 AS VARCHAR) AS feed_id, CAST(user_id // 30 AS VARCHAR) AS station_id,
   (epoch_us(ts) // 900000000) * 900000000 AS us FROM events)
 SELECT feed_id, station_id, us, count(*) AS copies FROM r GROUP BY 1, 2, 3 HAVING count(*) > 1
 UNION ALL SELECT 'all', 'all', 0, (SELECT count(*) - count(DISTINCT (feed_id, station_id, us)) FROM r)

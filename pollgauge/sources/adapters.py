@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pollgauge.config import BIKES, DOCKS, FEED, SECOND_US, STATION, US
 from pollgauge.functions.columns import floor_to, hash32, hour_us, micros
 
-USERS_PER_STATION = 28
+USERS_PER_STATION = 30
 STATIONS_PER_FEED = 2
 CAPACITY = 20
 POLL_US = 900 * SECOND_US
