@@ -37,6 +37,21 @@ def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mixed((sums[ends] - sums[starts]) * _power("down", INVERSE, len(data))[starts])
 
 
+def shingle_digests(text: str | None, shingle: int, seed: int = 42) -> bytes:
+    """The 8-byte hashes of a text's shingles of words, one after the other; a shorter text is one shingle."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return b""
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.r_[0, ends[:-1] + 1]
+    k = min(shingle, len(words))
+    digest = xxhash.xxh64_digest
+    return b"".join([digest(line[a:b], seed) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1:].tolist())])
+
+
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true values."""
     edges = np.flatnonzero(np.diff(np.r_[False, mask, False].astype(np.int8)))

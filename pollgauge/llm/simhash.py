@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pollgauge.llm.components import components
+from pollgauge.llm.hashing import shingle_digests
+from pollgauge.llm.near_copies import SIMILARITY, similar_components, with_node
 from pollgauge.llm.registry import corpus_query, table
 from pollgauge.session import materialise
 
@@ -34,17 +36,9 @@ TASK_ROWS = 500_000
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """SimHash of a text: a bit is set if it is set in over half the shingle hashes."""
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    hashes = shingle_digests(text, shingle, SEED)
+    if not hashes:
         return 0
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.r_[0, ends[:-1] + 1]
-    k = min(shingle, len(words))
-    digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(line[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1:].tolist())])
     bits = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(bits), 65_536):
@@ -279,20 +273,29 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     return marked.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, budget: int = 3) -> DataFrame:
-    """The rows of `docs` without all but one document of each near-duplicate component: its smallest key stays.
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of `docs` without all but one row of each component of near-duplicates: its smallest key stays.
 
-    Of rows that repeat a key, the one with the smallest text stays. Rows with a null key are kept.
+    Links are pairs of texts whose sets of shingles have a Jaccard similarity of at least `similarity`. Rows are told
+    apart by key and set of shingles, so a repeated key keeps a row in every component where it is the smallest. Of
+    rows that agree in both, the one with the smallest text stays. Rows with a null key are kept.
     """
-    found = materialise(near_duplicates(docs, key, text, shingle, budget), "components")
-    gone = found.filter(F.col(key) != F.col("component_id")).select(key).distinct()
-    repeated = found.filter(F.col(key) == F.col("component_id")).groupBy(key).count().filter("count > 1").select(key)
-    repeated = materialise(repeated.join(gone, key, "left_anti"), "repeated")
-    singles = docs.join(materialise(gone.union(repeated), "gone"), key, "left_anti")
-    first = W.partitionBy(key).orderBy(F.col(text).asc_nulls_first())
-    order = "n" + "_" * max(map(len, docs.columns))  # a name that no column has
-    doubles = docs.join(repeated, key, "left_semi").withColumn(order, F.row_number().over(first)).filter(F.col(order) == 1)
-    return singles.select(docs.columns).unionByName(doubles.select(docs.columns))
+    marked, roots = similar_components(docs, key, text, shingle, similarity)
+    sets = marked.filter("key IS NOT NULL").groupBy("key", "node").agg(F.count("*").alias("copies"))
+    sets = materialise(sets.join(roots, "node", "left").select("key", "node", "copies", F.coalesce("root", "node").alias("root")), "sets")
+    first = sets.groupBy("root").agg(F.min(F.struct("key", "node")).alias("first"))
+    sets = sets.join(first, "root").withColumn("stays", F.struct("key", "node") == F.col("first"))
+    touched = materialise(sets.filter("NOT stays OR copies > 1").select("key", "node", "stays"), "touched")
+    node, order = ("n" + "_" * (k + max(map(len, docs.columns))) for k in (0, 1))  # names that no column has
+    rows = with_node(docs, text, shingle, node)
+    here = lambda t: (rows[key] == t["key"]) & (rows[node] == t["node"])
+    kept = rows.join(touched, here(touched), "left_anti").select(docs.columns)
+    repeated = touched.filter("stays")
+    if repeated.isEmpty():
+        return kept
+    place = F.row_number().over(W.partitionBy(key, node).orderBy(F.col(text).asc_nulls_first()))
+    doubles = rows.join(repeated, here(repeated), "left_semi").withColumn(order, place).filter(F.col(order) == 1)
+    return kept.unionByName(doubles.select(docs.columns))
 
 
 @corpus_query("op8_simhash_components")

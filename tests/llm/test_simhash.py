@@ -106,3 +106,49 @@ def test_keep_one(documents):
     assert kept.columns == docs.columns and kept.schema == docs.schema
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, "a b c d"), (None, "a b c d"), (8, ""), (10, "quite another text of words")], key=str)
     assert keep_one(documents([])).count() == 0
+
+
+def plain_similarity(a, b, k):
+    one, other = (lambda w: {tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))})(a.split()), (lambda w: {tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))})(b.split())
+    return len(one & other) / len(one | other)
+
+
+def edited(words, places, mark):
+    return " ".join(f"{mark}{i}" if i in places else w for i, w in enumerate(words))
+
+
+def test_near_copies_of_low_similarity_link(spark):
+    """Pairs with a similarity of 0.8 to 0.9, most of them beyond six bits of a fingerprint."""
+    rows = []
+    for g in range(40):
+        words = [f"g{g}w{i}" for i in range(200)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, edited(words, {40, 90, 140} if g % 2 else {40, 90, 120, 150}, "x"))]
+        assert 0.8 <= plain_similarity(rows[-2][1], rows[-1][1], 5) < 0.9
+    far = sum((fingerprint(rows[i][1], 5) ^ fingerprint(rows[i + 1][1], 5)).bit_count() > 6 for i in range(0, 80, 2))
+    assert far > 20
+    kept = keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=5)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 80, 2))
+
+
+def test_texts_below_the_similarity_stay(spark):
+    """Pairs of 0.7 to 0.8, some within six bits of a fingerprint."""
+    rows = []
+    for g in range(60):
+        words = [f"g{g}w{i}" for i in range(200)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, edited(words, {30, 60, 90, 120, 150}, "x"))]
+        assert 0.7 < plain_similarity(rows[-2][1], rows[-1][1], 5) < 0.8
+    assert any((fingerprint(rows[i][1], 5) ^ fingerprint(rows[i + 1][1], 5)).bit_count() <= 6 for i in range(0, 120, 2))
+    kept = keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=5)
+    assert kept.count() == 120
+
+
+def test_a_rejected_link_does_not_split_a_group(spark):
+    """Copies of one text drift step by step: neighbours are similar, ends are not, yet all are one group."""
+    rows = []
+    for g in range(8):
+        words = [f"g{g}w{i}" for i in range(200)]
+        rows += [(g * 20 + s, edited(words, {10 * i + 5 for i in range(s)}, "x")) for s in range(12)]
+    assert plain_similarity(rows[0][1], rows[11][1], 5) < 0.8 < plain_similarity(rows[0][1], rows[1][1], 5)
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in keep_one(df, shingle=5).collect()) == [g * 20 for g in range(8)]
