@@ -13,6 +13,7 @@ an ordinary Spark table, are ever read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import struct
@@ -151,7 +152,7 @@ def locate_package(file, size: int) -> Iterator[tuple[str, int, int]]:
             if m["method"] == 8:
                 raw = zlib.decompress(raw, -15)
             if m["name"].endswith(".gz"):
-                raw = zlib.decompress(raw, 31)
+                raw = gzip.decompress(raw)  # all members: block-compressed indexes have one for each block
             for line in raw.split(b"\n"):
                 if line.strip():
                     entry = json.loads(line[line.index(b"{"):])

@@ -105,3 +105,15 @@ def test_packages_outside_the_manifest_are_not_read(spark):
     write_packages(plan_records(pages), folder)  # as an attempt whose executor was lost
     manifest = write_packages(plan_records(pages), folder)
     assert read_records(locate_records(manifest, folder), folder, 2).count() == 1
+
+
+def test_an_index_of_two_gzip_members_is_read_whole():
+    import gzip
+
+    lines = [f'key 1970 {{"offset": "{sum(map(len, RECORDS[:i]))}", "length": "{len(r)}", "filename": "data.warc.gz"}}\n'.encode() for i, r in enumerate(RECORDS)]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("archive/data.warc.gz", b"".join(RECORDS))
+        z.writestr("indexes/index.cdx.gz", gzip.compress(b"".join(lines[:2])) + gzip.compress(b"".join(lines[2:])))
+    raw = out.getvalue()
+    assert len(list(locate_package(io.BytesIO(raw), len(raw)))) == len(RECORDS)
