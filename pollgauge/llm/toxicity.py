@@ -155,13 +155,15 @@ def graded(row, word, count, toxic: np.ndarray, grades: int = GRADES, evidence:
 def labelled_words(docs: DataFrame, labels: DataFrame, key: str, text: str, fit_rows: int) -> tuple:
     """Words of a bounded number of labelled rows, for the fit: arrays row, word, count, and the label of each row.
 
-    A key with several labels is toxic if one of them says so. Also returns the log odds of toxic among all labels.
+    A key with several labels is toxic if one of them says so; one with several rows has the row whose text has the
+    smallest hash, so the bound on keys bounds the rows. Also returns the log odds of toxic among all labels.
     """
     every = materialise(labels.filter(F.col("toxic").isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max("toxic").alias("toxic")), "labelled")
     n, bad = every.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     some = lambda toxic: every.filter(F.col("toxic") == toxic).orderBy(F.xxhash64(key), key).limit(fit_rows)
     chosen = materialise(some(0).unionByName(some(1)), "chosen")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen.select(F.col(key).alias("key"), "toxic")), "key")
+    rows = rows.groupBy("key", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")).select("key", "toxic", "first.text")
 
     def run(batches):
         for part, texts in sliced(batches):

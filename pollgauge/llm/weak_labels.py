@@ -174,7 +174,10 @@ def vote_patterns(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def fit_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS):
-    """The label model over all documents, and the scorer fitted on a bounded sample of them."""
+    """The label model over all documents, and the scorer fitted on a bounded sample of them, one row for each key.
+
+    A key with several rows has, of its texts that are not blank, the one with the smallest hash.
+    """
     seen = vote_patterns(docs, text).orderBy("pattern").collect()
     patterns = np.array([[int(c) for c in r.pattern] for r in seen], np.int8).reshape(len(seen), len(LABELLERS))
     labels = fit_votes(patterns, np.array([r.n for r in seen], float))
@@ -194,8 +197,10 @@ def fit_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", fit_ro
             )
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
+    order = F.struct((F.trim(F.coalesce("text", F.lit(""))) == "").alias("blank"), F.xxhash64("text").alias("h"), "text")
+    rows = rows.groupBy("key").agg(F.min(order).alias("first")).select("key", "first.text")
     schema = f"key {docs.schema[key].dataType.simpleString()}, good double, words bigint, buckets array<bigint>, counts array<bigint>"
-    got = rows.mapInArrow(run, schema).filter("words > 0").orderBy("key").limit(2 * fit_rows).toArrow().combine_chunks()
+    got = rows.mapInArrow(run, schema).filter("words > 0").orderBy("key").toArrow().combine_chunks()
     if not got.num_rows:
         return labels, fit_scorer(*[np.zeros(0, np.int64)] * 5)
     lists, counts = got.column("buckets").combine_chunks(), got.column("counts").combine_chunks()

@@ -92,3 +92,11 @@ def test_messy_rows(spark, documents):
     assert left.schema == docs.schema and left.count() == len(rows) - len(toxic)
     nothing = fit_toxicity(documents([]), labels.limit(0))
     assert severity(documents([]), nothing).collect() == [] and not any(r.toxic for r in severity(docs, nothing).collect())
+
+
+def test_a_repeated_labelled_key_is_fitted_once(spark):
+    from pollgauge.llm.toxicity import labelled_words
+
+    docs = spark.createDataFrame([(1, f"bad word{i % 3} more") for i in range(300)] + [(i, "kind words here") for i in range(2, 12)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 12)], "doc_id bigint, toxic int")
+    assert len(labelled_words(docs, labels, "doc_id", "text", 100)[3]) == 11

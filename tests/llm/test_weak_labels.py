@@ -75,3 +75,13 @@ def test_messy_rows(documents):
     assert sum(r.n for r in vote_patterns(docs).collect()) == len(rows)
     none = documents([])
     assert vote_patterns(none).collect() == [] and score_quality(none, *fit_quality(none)).collect() == []
+
+
+def test_a_hot_key_does_not_displace_others_from_the_fit(spark, monkeypatch):
+    import pollgauge.llm.weak_labels as module
+
+    seen = []
+    monkeypatch.setattr(module, "fit_scorer", lambda row, bucket, count, words, good: seen.append(len(words)))
+    docs = spark.createDataFrame([(0, f"one hot text {i}") for i in range(200)] + [(i, f"another text {i}") for i in range(1, 20)], "doc_id bigint, text string")
+    module.fit_quality(docs, fit_rows=20)
+    assert seen == [20]
