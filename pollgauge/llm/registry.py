@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pollgauge.session import configure
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
-MODULES = ("warc", "toxicity", "pieces", "topk", "packing", "target_ratio", "language", "simhash", "chat", "weak_labels")
+MODULES = ("warc", "toxicity", "pieces", "topk", "packing", "target_ratio", "language", "simhash", "chat", "weak_labels", "whitening", "variants", "word_pieces")
 RUNS: dict[str, QueryFn] = {}
 TWINS: dict[str, str] = {}
 
