@@ -12,11 +12,13 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import tempfile
 import unicodedata
 import uuid
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -28,11 +30,13 @@ from pyspark.sql import functions as F
 from pollgauge.llm.hashing import sliced
 from pollgauge.llm.registry import corpus_query, table
 
-LEXICON_WORDS = 65_536  # bound on the words of the automaton, which every machine holds
+LEXICON_WORDS = 131_072  # bound on the words of the automaton, which every machine holds
 LEAST_COUNT = 2  # occurrences from which a word is worth a place
 WORD_BYTES = 64  # longer words are merged whenever they come
-COUNTED = 400_000  # distinct words that a task counts before it hands them on
+COUNTED = 250_000  # distinct words that a task counts before it hands them on
 MERGED = 100_000  # unseen words that a worker remembers between batches
+SHORT = 32  # symbols up to which looking at all pairs again is faster than a heap
+NO_PAIR = (1 << 60, -1)
 END = "</w>"
 # The tokenizer's own split pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -47,6 +51,15 @@ def byte_signs() -> list[str]:
     return [chr(b) if b in set(plain) else chr(0x100 + rest.index(b)) for b in range(256)]
 
 
+def written_out(end: int) -> re.Pattern:
+    """PATTERN for lower-case characters below `end`, with its classes written out, which the plain module matches faster."""
+    import regex
+
+    signs = [chr(c) for c in range(end)]
+    letter, number, space = ("".join(map(re.escape, filter(regex.compile(c).match, signs))) for c in (r"\p{L}", r"\p{N}", r"\s"))
+    return re.compile(f"[{letter}]+|'(?:s|t|re|ve|m|ll|d)|[{number}]|[^{space}{letter}{number}]+")
+
+
 class WordModel:
     """Vocabulary, merges and special tokens of a word BPE model, and its exact merges."""
 
@@ -70,7 +83,7 @@ class WordModel:
         tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.tokens = [tokens.get(i, "") for i in range(max(tokens) + 1)]
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pattern = regex.compile(PATTERN)
+        self.ascii, self.common = written_out(0x80), written_out(ord(COMMON))
         # Normaliser and splitter of the tokenizer, for texts with rare characters, whose classes differ between versions of Unicode.
         whole = Tokenizer.from_file(file)
         self.normalise, self.split = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
@@ -78,9 +91,10 @@ class WordModel:
 
     def _pieces(self, text: str) -> list[str]:
         if text.isascii():
-            return self.pattern.findall(text.lower())
-        if max(text) < COMMON:
-            return self.pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+            return self.ascii.findall(text.lower())
+        composed = unicodedata.normalize("NFC", text)
+        if max(text) < COMMON and max(composed) < COMMON:
+            return self.common.findall(composed.replace("Σ", "σ").lower())
         normal = self.normalise(text)
         return [normal[a:b] for _, (a, b) in self.split(normal)]
 
@@ -96,6 +110,20 @@ class WordModel:
     def merged(self, word: bytes) -> list[int]:
         """The ids of a word: the pair of the best rank is merged, leftmost first, until none is left."""
         ids = [self.inner[b] for b in word[:-1]] + [self.final[word[-1]]]
+        if len(ids) <= SHORT:
+            get = self.merge.get
+            while len(ids) > 1:
+                pairs = [get(p, NO_PAIR) for p in zip(ids, ids[1:])]
+                best = min(pairs)
+                if best is NO_PAIR:
+                    break
+                i = pairs.index(best)
+                ids[i:i + 2] = best[1:]
+            return ids
+        return self._merged_by_heap(ids)
+
+    def _merged_by_heap(self, ids: list[int]) -> list[int]:
+        """The same for long words, with the pairs in a heap and the symbols in a linked list."""
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         merge, heap = self.merge, []
@@ -122,8 +150,9 @@ class WordModel:
     def encode(self, texts: list[str | None], lexicon: Lexicon | None) -> list[np.ndarray]:
         """The ids of each text."""
         split = [self.words(t or "") for t in texts]
-        place: dict[str, int] = {}
-        flat = np.fromiter((place.setdefault(w, len(place)) for words in split for w in words), np.int64)
+        every = list(chain.from_iterable(split))
+        place = {w: i for i, w in enumerate(dict.fromkeys(every))}
+        flat = np.fromiter(map(place.__getitem__, every), np.int64, len(every))
         distinct = [w.encode("utf-8", "surrogatepass") for w in place]
         if lexicon is None:
             found, sizes, values = np.zeros(len(distinct), bool), np.zeros(len(distinct), np.int64), np.zeros(0, np.int32)
@@ -153,8 +182,9 @@ class WordModel:
 
     def decode(self, ids) -> str:
         """The tokens of the ids, word ends and special tokens included, with one space between."""
-        tokens = self.tokens
-        return " ".join([tokens[i] for i in ids if 0 <= i < len(tokens) and tokens[i]])
+        ids = np.asarray(ids, np.int64)
+        held = (ids >= 0) & (ids < len(self.tokens))
+        return " ".join(map(self.tokens.__getitem__, (ids if held.all() else ids[held]).tolist()))
 
 
 class Builder:
@@ -327,6 +357,14 @@ def compile_lexicon(df: DataFrame, model_file: str | None = None, text: str = "t
     return path.name
 
 
+def encoded(batches, lexicon: str | None, model_file: str | None):
+    """Keys, ids and decoded texts of batches of (key, text), slice by slice."""
+    model, held = word_model(model_file), lexicon_of(lexicon) if lexicon else None
+    for batch, texts in sliced(batches):
+        ids = model.encode(texts, held)
+        yield batch.column("key"), ids, [model.decode(x) for x in ids]
+
+
 def encode_texts(df: DataFrame, lexicon: str | None = None, model_file: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: the key, `ids` and `decoded`.
 
@@ -337,13 +375,10 @@ def encode_texts(df: DataFrame, lexicon: str | None = None, model_file: str | No
     fields = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(batches):
-        model, held = word_model(model_file), lexicon_of(lexicon) if lexicon else None
-        for batch, texts in sliced(batches):
-            ids = model.encode(texts, held)
+        for keys, ids, decoded in encoded(batches, lexicon, model_file):
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-            decoded = pa.array([model.decode(x.tolist()) for x in ids], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), decoded], names=["key", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(decoded, pa.string())], names=["key", "ids", "decoded"])
 
     rows = fields.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, ids array<int>, decoded string")
     return rows.withColumnRenamed("key", key)
@@ -351,26 +386,25 @@ def encode_texts(df: DataFrame, lexicon: str | None = None, model_file: str | No
 
 def token_digests(df: DataFrame, lexicon: str | None = None, model_file: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, `n_tokens`, `ids_sha256` (decimal ids, one space between) and `decoded_sha256` of each row."""
-    encoded = encode_texts(df, lexicon, model_file, key, text)
+    fields = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(batches):
         signs: list[str] = []
-        for batch in batches:
-            column = batch.column("ids")
-            flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            signs.extend(str(i) for i in range(len(signs), int(flat.max(initial=-1)) + 1))
-            digest = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+        digest = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+        for keys, ids, decoded in encoded(batches, lexicon, model_file):
+            signs.extend(map(str, range(len(signs), max((int(x.max(initial=-1)) for x in ids), default=-1) + 1)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(key),
-                    pa.array(np.diff(ends).astype(np.int64)),
-                    pa.array([digest(" ".join([signs[i] for i in flat[a:b].tolist()])) for a, b in zip(ends, ends[1:])], pa.string()),
-                    pa.array([digest(t.as_py()) for t in batch.column("decoded")], pa.string()),
+                    keys,
+                    pa.array([len(x) for x in ids], pa.int64()),
+                    pa.array([digest(" ".join(map(signs.__getitem__, x.tolist()))) for x in ids], pa.string()),
+                    pa.array([digest(t) for t in decoded], pa.string()),
                 ],
-                names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
+                names=["key", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return encoded.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    rows = fields.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return rows.withColumnRenamed("key", key)
 
 
 @corpus_query("op13_word_pieces")

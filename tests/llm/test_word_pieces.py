@@ -82,6 +82,13 @@ def test_long_words(model, library):
     same(model, library, ["a" * 50_000, "!" * 20_000, "".join(rng.choice("abcdefgh") for _ in range(30_000)), "日本" * 5_000, "<|endoftext|>" * 500])
 
 
+def test_both_ways_of_merging_agree(model):
+    rng = random.Random(9)
+    words = [t.removesuffix("</w>").encode() for t in rng.sample(model.tokens[:49_000], 3000)]
+    for word in [a + b for a, b in zip(words, words[1:]) if 0 < len(a + b) <= wp.SHORT]:
+        assert model.merged(word) == model._merged_by_heap([model.inner[b] for b in word[:-1]] + [model.final[word[-1]]])
+
+
 def test_transducer_holds_what_it_was_given(tmp_path):
     rng = random.Random(6)
     entries = {}
