@@ -34,9 +34,7 @@ LEXICON_WORDS = 131_072  # bound on the words of the automaton, which every mach
 LEAST_COUNT = 2  # occurrences from which a word is worth a place
 WORD_BYTES = 64  # longer words are merged whenever they come
 COUNTED = 250_000  # distinct words that a task counts before it hands them on
-MERGED = 100_000  # unseen words that a worker remembers between batches
-SHORT = 32  # symbols up to which looking at all pairs again is faster than a heap
-NO_PAIR = (1 << 60, -1)
+SHORT = 32  # bytes up to which unseen words are merged together
 END = "</w>"
 # The tokenizer's own split pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -79,6 +77,13 @@ class WordModel:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merge.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        keys = np.array([a << 20 | b for a, b in self.merge], np.int64)
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = keys[order], np.array([r for r, _ in self.merge.values()], np.int64)[order]
+        self.pair_ids = np.zeros(len(model["merges"]), np.int64)
+        for r, new in self.merge.values():
+            self.pair_ids[r] = new
+        self.inner_ids, self.final_ids = np.array(self.inner, np.int64), np.array(self.final, np.int64)
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.tokens = [tokens.get(i, "") for i in range(max(tokens) + 1)]
@@ -87,14 +92,14 @@ class WordModel:
         # Normaliser and splitter of the tokenizer, for texts with rare characters, whose classes differ between versions of Unicode.
         whole = Tokenizer.from_file(file)
         self.normalise, self.split = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
-        self.known: dict[bytes, np.ndarray] = {}
 
     def _pieces(self, text: str) -> list[str]:
         if text.isascii():
             return self.ascii.findall(text.lower())
-        composed = unicodedata.normalize("NFC", text)
-        if max(text) < COMMON and max(composed) < COMMON:
-            return self.common.findall(composed.replace("Σ", "σ").lower())
+        if max(text) < COMMON:
+            lower = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            if max(lower) < COMMON:  # composed and lower-case forms may lie beyond
+                return self.common.findall(lower)
         normal = self.normalise(text)
         return [normal[a:b] for _, (a, b) in self.split(normal)]
 
@@ -108,22 +113,8 @@ class WordModel:
         return out
 
     def merged(self, word: bytes) -> list[int]:
-        """The ids of a word: the pair of the best rank is merged, leftmost first, until none is left."""
+        """The ids of a word: the pair of the best rank is merged, leftmost first, until none is left. Pairs are in a heap, symbols in a linked list."""
         ids = [self.inner[b] for b in word[:-1]] + [self.final[word[-1]]]
-        if len(ids) <= SHORT:
-            get = self.merge.get
-            while len(ids) > 1:
-                pairs = [get(p, NO_PAIR) for p in zip(ids, ids[1:])]
-                best = min(pairs)
-                if best is NO_PAIR:
-                    break
-                i = pairs.index(best)
-                ids[i:i + 2] = best[1:]
-            return ids
-        return self._merged_by_heap(ids)
-
-    def _merged_by_heap(self, ids: list[int]) -> list[int]:
-        """The same for long words, with the pairs in a heap and the symbols in a linked list."""
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         merge, heap = self.merge, []
@@ -147,6 +138,52 @@ class WordModel:
                 heapq.heappush(heap, (m[0], h, ids[h], new, m[1]))
         return [x for x in ids if x >= 0]
 
+    def merged_together(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of many words: in each round every word merges its best pair, leftmost first."""
+        short = [i for i, w in enumerate(words) if len(w) <= SHORT]
+        out: list = [None] * len(words)
+        for i, w in enumerate(words):
+            if len(w) > SHORT:
+                out[i] = np.array(self.merged(w), np.int32)
+        if not short:
+            return out
+        size = np.fromiter((len(words[i]) for i in short), np.int64, len(short))
+        width = int(size.max()) + 1
+        inside = np.arange(width) < size[:, None]
+        raw = np.frombuffer(b"".join(words[i] for i in short), np.uint8)
+        ids = np.full((len(short), width), -1, np.int64)
+        ids[inside] = self.inner_ids[raw]
+        rows = np.arange(len(short))
+        ids[rows, size - 1] = self.final_ids[raw[np.cumsum(size) - 1]]
+        rank = self.ranks(ids[:, :-1], ids[:, 1:])
+        live, cells = rows, np.arange(width - 1)
+        while len(live):
+            at = rank[live].argmin(1)
+            best = rank[live, at]
+            some = best < len(self.pair_ids)
+            live, at, best = live[some], at[some], best[some]
+            if not len(live):
+                break
+            # Cells behind the pair move one to the left; only the pairs on either side of the new symbol change.
+            source = cells + (cells > at[:, None])
+            ids[live, at] = self.pair_ids[best]
+            ids[live, :-1] = np.take_along_axis(ids[live], source, 1)
+            rank[live] = np.take_along_axis(np.pad(rank[live], ((0, 0), (0, 1)), constant_values=len(self.pair_ids)), source, 1)
+            rank[live, at] = self.ranks(ids[live, at], ids[live, at + 1])
+            before = at > 0
+            rank[live[before], at[before] - 1] = self.ranks(ids[live[before], at[before] - 1], ids[live[before], at[before]])
+            ids[live, -1] = -1
+        kept = ids >= 0
+        for i, x in zip(short, np.split(ids[kept].astype(np.int32), np.cumsum(kept.sum(1))[:-1])):
+            out[i] = x
+        return out
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids; the number of merges where they do not merge."""
+        key = left << 20 | right & 0xFFFFF
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == key) & (left >= 0) & (right >= 0), self.pair_ranks[at], len(self.pair_ids))
+
     def encode(self, texts: list[str | None], lexicon: Lexicon | None) -> list[np.ndarray]:
         """The ids of each text."""
         split = [self.words(t or "") for t in texts]
@@ -160,16 +197,10 @@ class WordModel:
             found, sizes, values = lexicon.look_up(distinct)
         at = np.cumsum(sizes) - sizes
         more, end = [values], len(values)
-        if len(self.known) > MERGED:
-            self.known.clear()
-        for i in np.flatnonzero(~found).tolist():
-            word = distinct[i]
-            ids = self.known.get(word)
-            if ids is None:
-                special = self.special.get(word.decode("utf-8", "replace")) if word.startswith(b"<|") else None
-                ids = np.array(self.merged(word) if special is None else [special], np.int32)
-                if len(word) <= WORD_BYTES:
-                    self.known[word] = ids
+        unseen = np.flatnonzero(~found).tolist()
+        for i, ids in zip(unseen, self.merged_together([distinct[i] for i in unseen])):
+            special = self.special.get(distinct[i].decode("utf-8", "replace")) if distinct[i].startswith(b"<|") else None
+            ids = ids if special is None else np.array([special], np.int32)
             at[i], sizes[i] = end, len(ids)
             end += len(ids)
             more.append(ids)
@@ -349,8 +380,9 @@ def compile_lexicon(df: DataFrame, model_file: str | None = None, text: str = "t
     spark = df.sparkSession
     frequent = word_counts(df, model_file, text).filter(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(words).select("word")
     model, builder = word_model(model_file), Builder()
-    for word in sorted(w.encode("utf-8", "surrogatepass") for w in frequent.toArrow().column("word").to_pylist()):
-        builder.add(word, tuple(model.merged(word)))
+    listed = sorted(w.encode("utf-8", "surrogatepass") for w in frequent.toArrow().column("word").to_pylist())
+    for word, ids in zip(listed, model.merged_together(listed)):
+        builder.add(word, tuple(ids.tolist()))
     path = Path(tempfile.mkdtemp(prefix="pollgauge-lexicon-")) / f"lexicon-{uuid.uuid4().hex[:12]}.bin"
     builder.save(str(path))
     spark.sparkContext.addFile(str(path))  # served by the driver, also to executors that come later

@@ -82,11 +82,12 @@ def test_long_words(model, library):
     same(model, library, ["a" * 50_000, "!" * 20_000, "".join(rng.choice("abcdefgh") for _ in range(30_000)), "日本" * 5_000, "<|endoftext|>" * 500])
 
 
-def test_both_ways_of_merging_agree(model):
+def test_words_merge_together_as_alone(model):
     rng = random.Random(9)
-    words = [t.removesuffix("</w>").encode() for t in rng.sample(model.tokens[:49_000], 3000)]
-    for word in [a + b for a, b in zip(words, words[1:]) if 0 < len(a + b) <= wp.SHORT]:
-        assert model.merged(word) == model._merged_by_heap([model.inner[b] for b in word[:-1]] + [model.final[word[-1]]])
+    parts = [t.removesuffix("</w>").encode() for t in rng.sample(model.tokens[:49_000], 4000)]
+    words = [w for w in [a + b for a, b in zip(parts, parts[1:])] + [b"a", b"ab" * 20, b"a" * 32, b"a" * 33, b"banana" * 5, *parts] if w]
+    assert [x.tolist() for x in model.merged_together(words)] == [model.merged(w) for w in words]
+    assert model.merged_together([]) == []
 
 
 def test_transducer_holds_what_it_was_given(tmp_path):
@@ -127,14 +128,6 @@ def test_known_and_unseen_words(model, library, tmp_path, sf_texts):
     same(model, library, [t or "" for t in texts], lexicon)
 
 
-def test_memory_is_bounded(library, monkeypatch):
-    monkeypatch.setattr(wp, "MERGED", 10)
-    model = WordModel(FILE)
-    for k in range(5):
-        same(model, library, [f"text number {k} " + " ".join(f"w{k}x{i}y" for i in range(20))])
-        assert len(model.known) < 60
-
-
 def digests(library, text):
     ids = library.encode(text or "", add_special_tokens=False).ids
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
