@@ -15,11 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from pollgauge.llm.components import components
 from pollgauge.llm.hashing import shingle_digests
-from pollgauge.llm.near_copies import SIMILARITY, similar_components, with_node
+from pollgauge.llm.near_copies import SIMILARITY, similar_components, text_hash
 from pollgauge.llm.registry import corpus_query, table
 from pollgauge.session import materialise
 
@@ -277,25 +276,25 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     """The rows of `docs` without all but one row of each component of near-duplicates: its smallest key stays.
 
     Links are pairs of texts whose sets of shingles have a Jaccard similarity of at least `similarity`. Rows are told
-    apart by key and set of shingles, so a repeated key keeps a row in every component where it is the smallest. Of
-    rows that agree in both, the one with the smallest text stays. Rows with a null key are kept.
+    apart by key and text, so a repeated key keeps a row in every component where it is the smallest. Of rows that
+    agree in both, null and empty texts being the same, the smallest stays. Rows with a null key are kept.
     """
     marked, roots = similar_components(docs, key, text, shingle, similarity)
-    sets = marked.filter("key IS NOT NULL").groupBy("key", "node").agg(F.count("*").alias("copies"))
-    sets = materialise(sets.join(roots, "node", "left").select("key", "node", "copies", F.coalesce("root", "node").alias("root")), "sets")
-    first = sets.groupBy("root").agg(F.min(F.struct("key", "node")).alias("first"))
-    sets = sets.join(first, "root").withColumn("stays", F.struct("key", "node") == F.col("first"))
-    touched = materialise(sets.filter("NOT stays OR copies > 1").select("key", "node", "stays"), "touched")
-    node, order = ("n" + "_" * (k + max(map(len, docs.columns))) for k in (0, 1))  # names that no column has
-    rows = with_node(docs, text, shingle, node)
-    here = lambda t: (rows[key] == t["key"]) & (rows[node] == t["node"])
-    kept = rows.join(touched, here(touched), "left_anti").select(docs.columns)
-    repeated = touched.filter("stays")
+    # A component is settled by minima, which are reduced before they are dealt out, so a large one is no hot key.
+    sets = marked.filter("key IS NOT NULL").groupBy("node").agg(F.min(F.struct("key", "x")).alias("first"))
+    named = materialise(sets.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "named")
+    first = named.groupBy("root").agg(F.min("first").alias("first")).select("first.key", "first.x")
+    copies = marked.filter("key IS NOT NULL").groupBy("key", "x").agg(F.count("*").alias("copies"))
+    stays = materialise(copies.join(first, ["key", "x"], "left_semi"), "stays")
+    hash_ = "x" + "_" * max(map(len, docs.columns))  # a name that no column has
+    rows = docs.withColumn(hash_, text_hash(text))
+    here = lambda t: (rows[key] == t["key"]) & (rows[hash_] == t["x"])
+    kept = rows.join(stays.filter("copies = 1"), here(stays), "left_semi").select(docs.columns).unionByName(docs.filter(F.col(key).isNull()))
+    repeated = stays.filter("copies > 1")
     if repeated.isEmpty():
         return kept
-    place = F.row_number().over(W.partitionBy(key, node).orderBy(F.col(text).asc_nulls_first()))
-    doubles = rows.join(repeated, here(repeated), "left_semi").withColumn(order, place).filter(F.col(order) == 1)
-    return kept.unionByName(doubles.select(docs.columns))
+    doubles = rows.join(repeated, here(repeated), "left_semi").groupBy(key, hash_).agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias(hash_ + "row"))
+    return kept.unionByName(doubles.select(F.col(hash_ + "row.*")))
 
 
 @corpus_query("op8_simhash_components")

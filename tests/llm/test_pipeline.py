@@ -1,15 +1,13 @@
 """The pipeline: stage by stage against the operators, planted cases, messy rows."""
 
 import duckdb
-import numpy as np
 import pytest
 
 import __spark_entry__ as contract
 import corpus_pipeline
 from check import compare
 from pollgauge.llm.registry import MODULES, RUNS, TWINS, load_corpus_queries, table
-from pollgauge.llm.simhash import fingerprint
-from test_simhash import plain_labels
+from test_simhash import plain_components, shingles
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -41,13 +39,12 @@ def test_stages_on_documents(spark):
         assert after.columns == columns and after.join(seen, "doc_id", "left_anti").count() == 0
         counts.append(after.count())
         if name == "near_duplicates":  # one of each component of what came in
-            before = [(r.doc_id, r.text) for r in seen.select("doc_id", "text").collect()]
-            fps = {d: fingerprint(t, corpus_pipeline.SHINGLE) for d, t in before}
-            codes = np.array(sorted(set(fps.values())), np.uint64)
-            label = dict(zip(codes.tolist(), plain_labels(codes, corpus_pipeline.BUDGET).tolist()))
+            before = sorted((r.doc_id, r.text) for r in seen.select("doc_id", "text").collect())
+            sets = [shingles(t, corpus_pipeline.SHINGLE) for _, t in before]
+            label = plain_components(sets, 0.8)
             first = {}
-            for d in sorted(fps):
-                first.setdefault(label[fps[d]], d)
+            for (d, _), root in zip(before, label):
+                first.setdefault(root, d)
             assert sorted(r.doc_id for r in after.collect()) == sorted(first.values())
         seen = after
     assert counts[0] > counts[1] >= counts[2] > counts[3]

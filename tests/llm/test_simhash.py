@@ -1,12 +1,15 @@
 """Trie join and components against brute force."""
 
+import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 
 from pollgauge.llm.components import components
+from pollgauge.llm.near_copies import shared_counts, similar_components, spanning_forest
 from pollgauge.llm.simhash import fingerprint, fingerprint_links, keep_one, near_duplicates, trie_links
 
 
@@ -113,6 +116,36 @@ def plain_similarity(a, b, k):
     return len(one & other) / len(one | other)
 
 
+def shingles(text, k):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def plain_components(sets, similarity):
+    """A label for each set: those that pairs of at least this exact Jaccard similarity connect, empty sets being equal."""
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    seen, holders = {}, {}
+    for i, s in enumerate(sets):
+        if frozenset(s) in seen:
+            root[find(i)] = find(seen[frozenset(s)])
+            continue
+        seen[frozenset(s)] = i
+        shared = Counter(j for x in s for j in holders.get(x, ()))
+        for j, n in shared.items():
+            if n / (len(s) + len(sets[j]) - n) >= similarity:
+                root[find(i)] = find(j)
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    return [find(i) for i in range(len(sets))]
+
+
 def edited(words, places, mark):
     return " ".join(f"{mark}{i}" if i in places else w for i, w in enumerate(words))
 
@@ -152,3 +185,59 @@ def test_a_rejected_link_does_not_split_a_group(spark):
     rng = np.random.default_rng(5)
     df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "doc_id bigint, text string")
     assert sorted(r.doc_id for r in keep_one(df, shingle=5).collect()) == [g * 20 for g in range(8)]
+
+
+@pytest.mark.parametrize("nodes, terms", [(512, 1_000_000), (6, 1_000_000), (6, 300), (1, 1)])
+def test_components_with_blocks_of_any_size(spark, nodes, terms):
+    """Chains, groups that never merge and strays, in one block or in many: the components of brute force."""
+    rng = random.Random(nodes)
+    rows = []
+    for g in range(4):
+        words = [f"g{g}w{i}" for i in range(60)]
+        for s in range(14):
+            rows.append(" ".join(edited(words, set(rng.sample(range(60), g)), f"x{s if s % 2 else ''}").split()))
+    rows += ["a b c d e f", "A b c d e  f", "", "one", None] + [" ".join(f"common{i}" for i in range(30)) + " " + " ".join(f"s{k}t{i}" for i in range(12)) for k in range(10)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    marked, roots = similar_components(df, block_nodes=nodes, block_shingles=terms)
+    roots = {r.node: r.root for r in roots.collect()}
+    got = {r.key: roots.get(r.node, r.node) for r in marked.collect()}
+    want = plain_components([shingles(t, 5) for t in rows], 0.8)
+    assert groups(got) == groups(dict(enumerate(want))) and len(groups(got)) < len(rows) - 10
+
+
+def groups(labels):
+    out = {}
+    for k, v in labels.items():
+        out.setdefault(v, set()).add(k)
+    return {frozenset(v) for v in out.values()}
+
+
+def test_forest_of_a_block_connects_what_is_near():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[rng.random(60) < 0.95], rng.integers(0, 2**63, 2, dtype=np.uint64)]) for _ in range(40)] + [rng.integers(0, 2**63, 5, dtype=np.uint64)]
+    counts = shared_counts(sets)
+    assert all(counts[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(41) for j in range(41) if i != j)
+    assert (shared_counts(sets[:7], sets[7:]) == counts[:7, 7:]).all() and shared_counts([sets[40], base[:0]]).sum() == 0
+    near = rng.random((50, 50)) < 0.02
+    near |= near.T
+    edges = spanning_forest(near)
+    assert all(near[a, b] for a, b in edges) and len(edges) == len({frozenset(e) for e in edges}) < 50
+    both = [set(x) for x in edges] + [{i} for i in range(50)]
+    full = [{i, j} for i in range(50) for j in range(i) if near[i, j]]
+    assert len(set(labels_of(both))) == len(set(labels_of(full + [{i} for i in range(50)])))
+
+
+def labels_of(sets):
+    label = list(range(50))
+    for _ in range(50):
+        for s in sets:
+            low = min(label[i] for i in s)
+            for i in s:
+                label[i] = low
+    return label
+
+
+def test_near_duplicates_of_an_empty_table(documents):
+    assert near_duplicates(documents([])).collect() == []
