@@ -9,15 +9,13 @@ SCHEMA = "vec_id bigint, embedding array<float>, label int, id string, v string,
 
 
 def brute(rows, k, is_query):
-    vectors = {}
-    for key, v in rows:
-        if key is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            ints = [int(np.floor(64 * float(np.float32(x)))) for x in v]
-            vectors[key] = min(vectors.get(key, ints), ints)
+    vectors = [(key, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for key, v in rows
+               if key is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q in filter(is_query, vectors):
-        scored = sorted((-sum(a * b for a, b in zip(vectors[q], vectors[c])), c) for c in vectors if c != q)
-        out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scored[:k])]
+    for q, one in vectors:
+        if is_query(q):
+            scored = sorted((-sum(a * b for a, b in zip(one, v)), c) for c, v in vectors if c != q)
+            out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scored[:k])]
     return sorted(out)
 
 
@@ -40,6 +38,23 @@ def test_messy_rows(spark):
     assert run(spark, rows, 20) == brute(rows, 20, lambda q: q % 5 == 0)
 
 
+def test_rows_of_one_key_stay_apart(spark):
+    """The larger vector of a repeated key is the best match; a repeated query asks with each of its vectors, never itself."""
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 0.0]), (5, [0.0, 1.0]), (5, [2.0, 0.0]), (5, [2.0, 0.0])]
+    assert run(spark, rows, 3)[0] == (0, 1, 5, 8192)
+    for options in ({}, {"query_rows": 1, "candidate_rows": 2}):
+        assert run(spark, rows, 4, **options) == brute(rows, 4, lambda q: q % 5 == 0)
+
+
+def test_tiles_agree_with_one_array():
+    rng = np.random.default_rng(8)
+    ids, vectors = rng.integers(0, 60, 100), rng.integers(-2, 3, (100, 5))
+    for queries in (vectors[:30], vectors[:30] * np.array([1, 0, 1, 0, 0])):
+        one = block_top_k(ids[:30], queries, ids, vectors, 7)
+        some = block_top_k(ids[:30], queries, ids, vectors, 7, rows_at_once=4, tile=9)
+        assert [sorted(zip(*map(np.ndarray.tolist, x))) for x in (one, some)][0] == sorted(zip(*map(np.ndarray.tolist, some)))
+
+
 def test_fewer_rows_than_k_and_empty_tables(spark):
     assert run(spark, []) == []
     assert run(spark, [(0, [1.0])]) == []
