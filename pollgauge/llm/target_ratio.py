@@ -17,7 +17,6 @@ from pollgauge.llm.registry import corpus_query, table
 from pollgauge.session import materialise
 
 BUCKETS = 1 << 16
-TARGET_ROWS = 20_000  # bound on the trusted documents whose n-grams form the target
 DEVIATIONS = 6  # standard deviations of held-out trusted scores that a document may fall below their mean
 MIN_RATIO = -0.12  # mean log ratio (nats) from which a document is kept where too few are held out
 MIN_WORDS = 50
@@ -35,6 +34,20 @@ def _between(lo, hi) -> Column:
     return F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.expr("cast(array() as array<int>)"))
 
 
+def _head(array: str, n: Column) -> Column:
+    """The first n elements, none if n is below one."""
+    return F.slice(array, 1, F.greatest(n, F.lit(0)))
+
+
+def _behind(array: str, start: int, n: Column) -> Column:
+    """n elements from place `start`, none if n is below one."""
+    return F.slice(array, start, F.greatest(n, F.lit(0)))
+
+
+def _place(key: Column, low: int) -> Column:
+    return key.bitwiseAND(F.lit(low)).cast("int")
+
+
 def _covered(places: Column) -> Column:
     """Words in the 3-word windows that start at the given places."""
     return F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.array(p, p + 1, p + 2)))))
@@ -49,26 +62,29 @@ def with_repeat_words(df: DataFrame) -> DataFrame:
     """
     low = (1 << PLACE_BITS) - 1
     n = F.size("words")
-    window = lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))
-    keyed = F.transform(_between(F.lit(0), n - 2), lambda i: window(i).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("bigint")))
+    df = df.withColumn("__hash", F.transform("words", lambda w: F.xxhash64(w)))
+    two = F.zip_with(_head("__hash", n - 2), _behind("__hash", 2, n - 2), lambda a, b: F.xxhash64(a, b))
+    windows = F.zip_with(two, _behind("__hash", 3, n - 2), lambda a, b: F.xxhash64(a, b))
+    keyed = F.transform(windows, lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("bigint")))
     df = df.withColumn("__keys", F.when(n <= low, F.sort_array(keyed)).otherwise(F.expr("cast(array() as array<bigint>)")))
-    key = lambda k: F.shiftright(F.get("__keys", k), PLACE_BITS)
-    place = lambda k: F.get("__keys", k).bitwiseAND(F.lit(low)).cast("int")
-    df = df.withColumn("__twice", F.filter(_between(F.lit(1), F.size("__keys")), lambda k: key(k) == key(k - 1)))
+    k = F.size("__keys")
+    # Neighbours that differ in their places only; the one behind holds the larger place.
+    twice = F.zip_with(_head("__keys", k - 1), _behind("__keys", 2, k - 1), lambda a, b: F.when(F.shiftright(a.bitwiseXOR(b), PLACE_BITS) == 0, F.struct(_place(a, low).alias("a"), _place(b, low).alias("b"))))
+    df = df.withColumn("__twice", F.filter(twice, lambda t: t.isNotNull()))
     same = lambda a, b: (F.get("words", a) == F.get("words", b)) & (F.get("words", a + 1) == F.get("words", b + 1)) & (F.get("words", a + 2) == F.get("words", b + 2))
-    df = df.withColumn("__places", F.flatten(F.transform("__twice", lambda k: F.array(place(k - 1), place(k)))))
-    odd = (n > low) | F.exists("__twice", lambda k: ~same(place(k - 1), place(k)))
+    df = df.withColumn("__places", F.flatten(F.transform("__twice", lambda t: F.array(t["a"], t["b"]))))
+    odd = (n > low) | F.exists("__twice", lambda t: ~same(t["a"], t["b"]))
     text = lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))
     windows = F.when(odd, F.sort_array(F.transform(_between(F.lit(0), n - 2), lambda i: F.struct(text(i).alias("w"), i.alias("i")))))
     df = df.withColumn("__windows", windows)
     pair = F.filter(_between(F.lit(1), F.size("__windows")), lambda k: F.get("__windows", k)["w"] == F.get("__windows", k - 1)["w"])
     exact = F.flatten(F.transform(pair, lambda k: F.array(F.get("__windows", k - 1)["i"], F.get("__windows", k)["i"])))
     count = F.when(F.col("__windows").isNotNull(), _covered(exact)).otherwise(_covered(F.col("__places")))
-    return df.withColumn("n_repeat_words", count.cast("bigint")).drop("__keys", "__twice", "__places", "__windows")
+    return df.withColumn("n_repeat_words", count.cast("bigint")).drop("__hash", "__keys", "__twice", "__places", "__windows")
 
 
 def with_base_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed. Null texts have no words.
+    """Adds words (in place of a column of that name), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed. Null texts have no words.
 
     Write the result before filtering on these columns: Spark pushes a filter into the steps, which then repeat.
     """
@@ -87,16 +103,17 @@ def with_base_counts(df: DataFrame, text: str = "text") -> DataFrame:
 def grams(buckets: int) -> Column:
     """Buckets of the unigrams and bigrams of `words`."""
     one = F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    two = F.transform(_between(F.lit(0), F.size("words") - 1), lambda i: F.pmod(F.xxhash64(F.get("words", i), F.get("words", i + 1)), F.lit(buckets)).cast("int"))
+    n = F.size("words") - 1
+    two = F.zip_with(_head("words", n), _behind("words", 2, n), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"))
     return F.concat(one, two)
 
 
 def bucket_ratios(docs: DataFrame, trusted: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
     """bucket, micro: log ratio of the two multinomials (add-one smoothed) in millionths, for every bucket.
 
-    `trusted` has the keys of the target, of a bounded number, so it is broadcast.
+    `trusted` has the keys of the target, any number of them.
     """
-    flagged = docs.select(key, text).join(F.broadcast(trusted.select(key).distinct().withColumn("__target", F.lit(1))), key, "left")
+    flagged = docs.select(key, text).join(trusted.select(key).distinct().withColumn("__target", F.lit(1)), key, "left")
     words = flagged.select(words_of(F.coalesce(F.col(text), F.lit(""))).alias("words"), F.coalesce("__target", F.lit(0)).alias("target"))
     seen = words.select("target", F.explode(grams(buckets)).alias("bucket"))
     counts = materialise(seen.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target")), "buckets")
@@ -113,21 +130,19 @@ def _scored(rows: DataFrame, ratios: Column, buckets: int) -> DataFrame:
     return rows.withColumn("__sum", F.aggregate("__grams", F.lit(0).cast("bigint"), lambda a, b: a + F.get(ratios, b)))
 
 
-def held_out_threshold(docs: DataFrame, held: DataFrame, ratios: Column, key: str, text: str, buckets: int, min_ratio: float) -> int:
-    """Micro-nats below which a document is rejected, from trusted documents that the target does not hold."""
-    words = docs.join(F.broadcast(held), key, "left_semi").select(words_of(F.coalesce(F.col(text), F.lit(""))).alias("words"))
-    score = F.floor(F.col("__sum") / F.col("__n"))
-    scores = _scored(words.filter(F.size("words") >= MIN_WORDS), ratios, buckets).select(score.alias("s"))
-    n, total, squares = scores.agg(F.count("s"), F.sum("s"), F.sum(F.col("s") * F.col("s"))).first()
+def held_out_threshold(scored: DataFrame, held: DataFrame, key: str, min_ratio: float) -> int:
+    """Micro-nats below which a document is rejected, from the scores of trusted documents that the target does not hold."""
+    scores = scored.filter(F.col("n_words") >= MIN_WORDS).join(held.select(key).distinct(), key, "left_semi").select(F.floor(F.col("__sum") / F.col("__n")).alias("s"))
+    n, total, squares = scores.agg(F.count("s"), F.sum("s"), F.sum(F.col("s").cast("decimal(38,0)") * F.col("s"))).first()
     if n < 2:
         return round(min_ratio * 1_000_000)
-    return (total - DEVIATIONS * math.isqrt(max(0, n * squares - total * total))) // n
+    return (total - DEVIATIONS * math.isqrt(max(0, n * int(squares) - total * total))) // n
 
 
 def target_ratio_rules(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, min_ratio: float = MIN_RATIO) -> DataFrame:
     """key, the base counts, `micro_ratio` (mean log ratio in millionths, null without words) and `kept` of every row.
 
-    `trusted` holds a bounded number of keys; half of them, by a hash, are the target and half set the threshold.
+    Half of the trusted keys, by a hash, are the target and half set the threshold.
     Repeated rows count as often as they come; null keys are never trusted. With no trusted rows the target is
     uniform. Other columns are left out.
     """
@@ -135,20 +150,18 @@ def target_ratio_rules(docs: DataFrame, trusted: DataFrame, key: str = "doc_id",
     # One number for each bucket: a table of fixed size, folded into the plan as one array literal.
     listed = [r.micro for r in bucket_ratios(docs, trusted.filter(half == 0), key, text, buckets).orderBy("bucket").collect()]
     ratios = F.split(F.lit(",".join(map(str, listed))), ",").cast("array<bigint>")
-    least = held_out_threshold(docs, trusted.filter(half == 1), ratios, key, text, buckets, min_ratio)
     rows = _scored(with_base_counts(docs.select(key, F.col(text).alias("text"))).drop("text"), ratios, buckets)
+    counts = [key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    # Written: a later filter would be pushed into the steps above and repeat them for every word, and the threshold needs the scores first.
+    scored = materialise(rows.select(*counts, "__n", "__sum"), "scored")
+    least = held_out_threshold(scored, trusted.filter(half == 1), key, min_ratio)
     kept = ~F.col("base_failed") & (F.col("__sum") >= F.lit(least) * F.col("__n"))
-    # Written, because a later filter on these columns would be pushed into the steps above and repeat them for every word.
-    return materialise(rows.select(
-        key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"),
-        F.when(F.col("__n") > 0, F.floor(F.col("__sum") / F.col("__n"))).alias("micro_ratio"),
-    ), "judged")
+    return scored.select(*counts, kept.alias("kept"), F.when(F.col("__n") > 0, F.floor(F.col("__sum") / F.col("__n"))).alias("micro_ratio"))
 
 
-def trusted_rows(labels: DataFrame, key: str = "doc_id", rows: int = TARGET_ROWS) -> DataFrame:
-    """Keys labelled as good, at most `rows` of them, in the order of a hash of the key."""
-    good = labels.filter((F.col("quality") == 1) & F.col(key).isNotNull()).select(key).distinct()
-    return good.orderBy(F.xxhash64(key), key).limit(rows)
+def trusted_rows(labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """All keys labelled as good."""
+    return labels.filter((F.col("quality") == 1) & F.col(key).isNotNull()).select(key).distinct()
 
 
 @corpus_query("op6_target_ratio")
