@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pollgauge.config import BIKES, DOCKS, PERIOD, PERIOD_SERIES, SECOND_US, STATION, US, FeedConfig, FrozenModel
+from pollgauge.config import BIKES, DOCKS, FEED, PERIOD, PERIOD_SERIES, SECOND_US, STATION, US, FeedConfig, FrozenModel
 from pollgauge.functions.columns import hash32, local_ts, logistic, true_when
 from pollgauge.operators.features import with_label, with_lags
 from pollgauge.operators.sequence import Blocks, at_home, near_window, neighbourhood
@@ -189,16 +189,17 @@ def scenario_candidates(clean: DataFrame, corrupted: DataFrame, cfg: FeedConfig,
 
 
 def first_n_per_kind(candidates: DataFrame, n: int) -> DataFrame:
-    """At most `n` flips and `n` others, one per station, in hash order; flips choose first."""
-    rest = [c for c in candidates.columns if c not in (STATION, "flip")]
-    firsts = candidates.groupBy(STATION, "flip").agg(
+    """At most `n` flips and `n` others, one per station of a feed, in hash order; flips choose first."""
+    station = [FEED, STATION]
+    rest = [c for c in candidates.columns if c not in (*station, "flip")]
+    firsts = candidates.groupBy(*station, "flip").agg(
         F.min_by(F.struct(*rest), F.struct("draw", US)).alias("x")
-    ).select(STATION, "flip", "x.*")
-    flips = firsts.filter("flip").orderBy("draw", STATION).limit(n)
-    others = firsts.filter("NOT flip").join(flips.select(STATION), STATION, "left_anti").orderBy("draw", STATION).limit(n)
+    ).select(*station, "flip", "x.*")
+    flips = firsts.filter("flip").orderBy("draw", *station).limit(n)
+    others = firsts.filter("NOT flip").join(flips.select(*station), station, "left_anti").orderBy("draw", *station).limit(n)
     picked = flips.unionByName(others)
     # At most 2n rows from here on.
-    order = Window.partitionBy("flip").orderBy("draw", STATION)
+    order = Window.partitionBy("flip").orderBy("draw", *station)
     return picked.withColumn("kind_rank", F.row_number().over(order)).withColumn(
         "scenario_id", F.concat(F.when(F.col("flip"), "F").otherwise("N"), F.col("kind_rank"))
     )

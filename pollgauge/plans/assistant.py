@@ -149,11 +149,11 @@ WHERE k.label IS NOT NULL AND k.bikes_lag1 IS NOT NULL AND k.bikes_lag2 IS NOT N
   AND (k.bikes_lag1 <> c.bikes_lag1 OR k.bikes_lag2 <> c.bikes_lag2) AND (c.jf OR c.f1 OR c.f2) AND NOT (k.jf OR k.f1 OR k.f2)
   AND (round(k.proba, 3) >= 0.4::DOUBLE) = (k.proba >= 0.4::DOUBLE) AND (round(c.proba, 3) >= 0.4::DOUBLE) = (c.proba >= 0.4::DOUBLE)""")
 view("firsts", """
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station_id, flip ORDER BY draw, us) AS rn FROM candidates) WHERE rn = 1""")
-view("picked_flips", "SELECT *, row_number() OVER (ORDER BY draw, station_id) AS kind_rank FROM firsts WHERE flip QUALIFY kind_rank <= 4")
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feed_id, station_id, flip ORDER BY draw, us) AS rn FROM candidates) WHERE rn = 1""")
+view("picked_flips", "SELECT *, row_number() OVER (ORDER BY draw, feed_id, station_id) AS kind_rank FROM firsts WHERE flip QUALIFY kind_rank <= 4")
 view("picked_others", """
-SELECT *, row_number() OVER (ORDER BY draw, station_id) AS kind_rank FROM firsts
-WHERE NOT flip AND station_id NOT IN (SELECT station_id FROM picked_flips) QUALIFY kind_rank <= 4""")
+SELECT *, row_number() OVER (ORDER BY draw, feed_id, station_id) AS kind_rank FROM firsts
+WHERE NOT flip AND (feed_id, station_id) NOT IN (SELECT (feed_id, station_id) FROM picked_flips) QUALIFY kind_rank <= 4""")
 view("picked", """
 SELECT *, 'F' || kind_rank AS scenario_id FROM picked_flips UNION ALL SELECT *, 'N' || kind_rank FROM picked_others""")
 

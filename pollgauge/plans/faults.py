@@ -12,6 +12,7 @@ from pollgauge.operators.repair import safeguard_repair
 from pollgauge.plans import common as K
 from pollgauge.plans.catalog import query, view
 from pollgauge.session import materialise, work_path
+from pollgauge.sources import delta_store
 
 PK = (*PERIOD_SERIES, US)
 CHANGE_COLS = (*EXPERIMENT, *PK, "removed", BIKES, DOCKS, "true_available")
@@ -309,28 +310,47 @@ def injection_invariants(spark, sf):
     return per.groupBy("class").agg(*[F.sum(n).alias(n) for n in names])
 
 
-@query("injected_sink", "SELECT class, intensity_idx, seed, count(*) AS n FROM corrupted_kept GROUP BY 1, 2, 3")
-def injected_sink(spark, sf):
+def grid_store(spark, sf, *classes):
+    """The grid, or some of its classes, as a written delta store."""
     base, periods = K.test_rows(spark, sf)
     exps = inject.experiments(spark, G)
-    full = inject.apply_changes(base, K.change_rows(base, periods), exps)
-    path = work_path(spark, "injected")
-    inject.write_injected(full.filter(~F.col("removed")), path)
-    back = spark.read.parquet(path).filter(F.col("data_status") == inject.SYNTHETIC)
-    return back.groupBy("class", "intensity_idx", "seed").agg(F.count(F.lit(1)).alias("n"))
+    path = work_path(spark, "grid")
+    delta_store.write_store(base, K.change_rows(base, periods, classes or None), exps.filter(F.col("class").isin(*classes)) if classes else exps, path)
+    return path
+
+
+@query("injected_sink", "SELECT class, intensity_idx, seed, count(*) AS n FROM corrupted_kept GROUP BY 1, 2, 3")
+def injected_sink(spark, sf):
+    lines = delta_store.manifest(spark, grid_store(spark, sf))
+    return lines.filter(F.col("data_status") == inject.SYNTHETIC).select("class", "intensity_idx", "seed", F.col("corrupted_rows").alias("n"))
+
+
+@query("injected_manifest", """
+SELECT e.experiment_id, e.class, e.intensity_idx, e.seed, (SELECT count(*) FROM base) AS clean_rows,
+  count(c.us) FILTER (WHERE c.removed) AS removed_rows, count(c.us) FILTER (WHERE NOT c.removed) AS altered_rows,
+  (SELECT count(*) FROM base) - count(c.us) FILTER (WHERE c.removed) AS corrupted_rows, 'complete' AS status
+FROM exps e LEFT JOIN changes c USING (experiment_id) GROUP BY 1, 2, 3, 4""")
+def injected_manifest(spark, sf):
+    return delta_store.manifest(spark, grid_store(spark, sf)).select(
+        *EXPERIMENT, "clean_rows", "removed_rows", "altered_rows", "corrupted_rows", "status"
+    )
 
 
 @query("injected_scan", """
 SELECT feed_id, period_id, station_id, us, num_bikes_available, num_docks_available FROM corrupted_kept
 WHERE class = 'class5_jump' AND intensity_idx = 2 AND seed = 0 AND period_id >= 60""")
 def injected_scan(spark, sf):
-    base, periods = K.test_rows(spark, sf)
-    exps = inject.experiments(spark, G).filter(F.col("class") == G.JUMP)
-    full = inject.apply_changes(base, K.change_rows(base, periods, [G.JUMP]), exps)
-    path = work_path(spark, "injected")
-    inject.write_injected(full.filter(~F.col("removed")), path)
-    ours = spark.read.parquet(path).filter((F.col("class") == G.JUMP) & (F.col("intensity_idx") == 2) & (F.col("seed") == 0))
-    return ours.filter(F.col(PERIOD) >= 60).select(*PK, BIKES, DOCKS)
+    rows = delta_store.read_experiment(spark, grid_store(spark, sf, G.JUMP), G.JUMP, 2, 0, F.col(PERIOD) >= 60)
+    return rows.select(*PK, BIKES, DOCKS)
+
+
+@query("injected_removals", """
+SELECT feed_id, period_id, station_id, us, num_bikes_available, num_docks_available, true_available FROM corrupted_kept
+WHERE class = 'class1_dropout' AND intensity_idx = 3 AND seed = 1""")
+def injected_removals(spark, sf):
+    """An experiment whose changes are tombstones."""
+    rows = delta_store.read_experiment(spark, grid_store(spark, sf, G.DROPOUT), G.DROPOUT, 3, 1)
+    return rows.select(*PK, BIKES, DOCKS, "true_available")
 
 
 @query("changed_rows_diff", """
@@ -349,15 +369,15 @@ def changed_rows_diff(spark, sf):
 
 
 @query("exposure_diff", """
-SELECT e.experiment_id, b.station_id, count(*) FILTER (WHERE c.us IS NULL OR c.num_bikes_available IS NULL) AS gone,
+SELECT e.experiment_id, b.feed_id, b.station_id, count(*) FILTER (WHERE c.us IS NULL OR c.num_bikes_available IS NULL) AS gone,
   count(*) FILTER (WHERE c.num_bikes_available <> b.num_bikes_available OR c.num_docks_available <> b.num_docks_available) AS altered
 FROM base b CROSS JOIN (SELECT * FROM exps WHERE class <> 'class6_silent') e LEFT JOIN corrupted_kept c
   ON c.experiment_id = e.experiment_id AND c.feed_id = b.feed_id AND c.period_id = b.period_id
-  AND c.station_id = b.station_id AND c.us = b.us GROUP BY 1, 2 HAVING gone > 0 OR altered > 0""")
+  AND c.station_id = b.station_id AND c.us = b.us GROUP BY 1, 2, 3 HAVING gone > 0 OR altered > 0""")
 def exposure_diff(spark, sf):
     gone = F.col("removed") | F.col(BIKES).isNull()
     rows = changes_of(spark, sf).filter(F.col("class") != G.SILENT)
-    return rows.groupBy("experiment_id", STATION).agg(
+    return rows.groupBy("experiment_id", *SERIES).agg(
         C.count_if(gone).alias("gone"), C.count_if(~gone).alias("altered")
     )
 
@@ -390,17 +410,21 @@ SELECT experiment_id, part, count(*) AS n, CAST(sum(num_bikes_available) AS BIGI
 GROUP BY 1, 2""")
 def union_periods(spark, sf):
     base, periods = K.test_rows(spark, sf)
-    exps = inject.experiments(spark, G).filter(F.col("class") == G.DROPOUT)
-    picked = inject.chosen_periods(base, periods, G).select(FEED, "seed", PERIOD)
-    full = inject.apply_changes(base, K.change_rows(base, periods, [G.DROPOUT]), exps)
-    inside = full.join(picked, [FEED, "seed", PERIOD]).filter(~F.col("removed")).withColumn("part", F.lit("corrupted"))
-    rest = (
-        base.crossJoin(F.broadcast(exps.select(*EXPERIMENT)))
-        .join(picked, [FEED, "seed", PERIOD], "left_anti")
-        .withColumn("part", F.lit("rest"))
+    exps = inject.experiments(spark, G).filter(F.col("class") == G.DROPOUT).select(*EXPERIMENT)
+    picked = materialise(inject.chosen_periods(base, periods, G).select(FEED, "seed", PERIOD), "picked")
+    changes = K.change_rows(base, periods, [G.DROPOUT])
+    # The corrupted part is the drawn periods only; of what stays outside, periods are counted before experiments multiply them.
+    keys = ["experiment_id", *PK]
+    inside = base.join(picked, [FEED, PERIOD]).join(F.broadcast(exps), "seed").join(changes.select(*keys, "removed"), keys, "left")
+    corrupted = inside.filter(~F.coalesce("removed", F.lit(False))).groupBy("experiment_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(BIKES).alias("bikes")
+    )
+    totals = base.groupBy(FEED, PERIOD).agg(F.count(F.lit(1)).alias("n"), F.sum(BIKES).alias("bikes"))
+    rest = totals.crossJoin(F.broadcast(exps)).join(picked, [FEED, "seed", PERIOD], "left_anti").groupBy("experiment_id").agg(
+        F.sum("n").alias("n"), F.sum("bikes").alias("bikes")
     )
-    both = rest.unionByName(inside, allowMissingColumns=True)
-    return both.groupBy("experiment_id", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(BIKES).alias("bikes"))
+    part = lambda rows, name: rows.select("experiment_id", F.lit(name).alias("part"), "n", "bikes")
+    return part(rest, "rest").unionByName(part(corrupted, "corrupted"))
 
 
 # ---- repair ------------------------------------------------------------------------------

@@ -46,3 +46,11 @@ def test_stability_and_duplicates(spark):
     assert A.answer_stability(df).first()["stable_share"] == 0.5
     assert A.duplicate_answers(df).count() == 0
     assert A.duplicate_answers(df.union(df)).filter(F.col("copies") == 2).count() == 4
+
+
+def test_feeds_that_share_a_station_name_choose_apart(spark):
+    rows = [(f, s, 1, us, us * 7 % 5, flip) for f in ("f", "g") for s in ("a", "b", "c") for us, flip in ((1, True), (2, False), (3, True))]
+    df = spark.createDataFrame(rows, "feed_id string, station_id string, period_id int, us bigint, draw bigint, flip boolean")
+    got = A.first_n_per_kind(df, 4).collect()
+    assert len({(r.feed_id, r.station_id) for r in got}) == len(got) == 6
+    assert sum(r.flip for r in got) == 4 and sorted(r.scenario_id for r in got) == ["F1", "F2", "F3", "F4", "N1", "N2"]
