@@ -70,7 +70,12 @@ def block_top_k(query_ids, queries, ids, vectors, k: int, rows_at_once: int = RO
     tiles = []
     for at in range(0, len(ids), tile):
         part = vectors[at:at + tile].astype(kind)
-        tiles.append((at, len(part), [(p := np.flatnonzero(part[:, t]), part[p, t]) for t in range(terms)]))
+        postings = []
+        for t in range(terms):
+            where = np.flatnonzero(part[:, t])
+            # A term that most candidates have is added along the whole array, its zeros with it; only a rare one is scattered.
+            postings.append((None, np.ascontiguousarray(part[:, t])) if 4 * len(where) > len(part) else (where, part[where, t]))
+        tiles.append((at, len(part), postings))
     out_q, out_c, out_s = [], [], []
     for at in range(0, len(query_ids), rows_at_once):
         block, block_ids = queries[at:at + rows_at_once, :terms].astype(kind), query_ids[at:at + rows_at_once]
@@ -81,11 +86,10 @@ def block_top_k(query_ids, queries, ids, vectors, k: int, rows_at_once: int = RO
         for start, size, postings in tiles:
             scores, products = np.zeros((len(block), size), kind), buffer[:, :size]
             for t, (where, weights) in enumerate(postings):
-                rows = np.flatnonzero(block[:, t])
-                if len(where) == size and len(rows) == len(block):
+                if where is None:
                     np.multiply(block[:, t, None], weights, out=products)
                     scores += products
-                elif len(where) and len(rows):
+                elif len(where) and len(rows := np.flatnonzero(block[:, t])):
                     scores[np.ix_(rows, where)] += block[rows, t, None] * weights
             for r in np.flatnonzero((own_lo < start + size) & (own_hi > start)):
                 scores[r, max(own_lo[r] - start, 0):own_hi[r] - start] = low
