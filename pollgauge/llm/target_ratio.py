@@ -111,9 +111,9 @@ def grams(buckets: int) -> Column:
 def bucket_ratios(docs: DataFrame, trusted: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
     """bucket, micro: log ratio of the two multinomials (add-one smoothed) in millionths, for every bucket.
 
-    `trusted` has the keys of the target, any number of them.
+    `trusted` has the keys of the target, any number of them, so the join is a sort-merge one at every size.
     """
-    flagged = docs.select(key, text).join(trusted.select(key).distinct().withColumn("__target", F.lit(1)), key, "left")
+    flagged = docs.select(key, text).join(trusted.select(key).distinct().withColumn("__target", F.lit(1)).hint("merge"), key, "left")
     words = flagged.select(words_of(F.coalesce(F.col(text), F.lit(""))).alias("words"), F.coalesce("__target", F.lit(0)).alias("target"))
     seen = words.select("target", F.explode(grams(buckets)).alias("bucket"))
     counts = materialise(seen.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target")), "buckets")
