@@ -8,16 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import RFormula
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pollgauge.functions.columns import count_if, hash32
 from pollgauge.operators.ranking import mid_rank, rank_table
-from pollgauge.session import fixed_table
+from pollgauge.session import fixed_table, materialise
 
 RANK_SLICE = 4096
+ROUNDS_A_TABLE = 4  # rounds of proportional fitting between two written tables
 
 
 def unevenness(bins: DataFrame, factor: Sequence[str], count: str = "n_jump", exposure: str = "n_obs") -> DataFrame:
@@ -39,26 +38,64 @@ def unevenness(bins: DataFrame, factor: Sequence[str], count: str = "n_jump", ex
     return out.withColumn("dispersion", dispersion).withColumn("g_scaled", F.col("g") / F.nullif(dispersion, F.lit(0.0)))
 
 
-def unevenness_adjusted(bins: DataFrame, factor: str, other: str, count: str = "n_jump") -> DataFrame:
-    """One row: likelihood ratio of `factor` in a Poisson model that also holds `other`."""
-    return adjusted_fit(bins, factor, other, count)[0]
-
+def two_factor_fit(
+    bins: DataFrame, a: Sequence[str], b: Sequence[str], count: str = "n_jump", exposure: str = "n_obs",
+    tolerance: float = 1e-9, rounds: int = 500,
+) -> DataFrame:
+    """Levels of both factors, `y`, `n` and `prediction` of the Poisson model count ~ a + b with exposure as offset.
 
-def adjusted_fit(bins: DataFrame, factor: str, other: str, count: str = "n_jump") -> tuple[DataFrame, DataFrame]:
-    """The likelihood ratio, and the bins with the `prediction` of the model that holds both factors."""
-    rows = bins.select(count, factor, other, "log_exposure")
-    glm = GeneralizedLinearRegression(
-        family="poisson", link="log", offsetCol="log_exposure", labelCol="label", featuresCol="features", maxIter=100
+    Iterative proportional fitting: the rate of a level is its count over the exposure weighted with the rates of
+    the other factor, for `a` and `b` in turn, until `ROUNDS_A_TABLE` rounds move less than `tolerance` of all counts.
+    Each half of a round is one join and one grouped sum, so neither factor has a bound on its levels; a written table
+    of rates after those rounds cuts the lineage. Bins with a null level or without exposure take no part, repeated bins add up, and a level without counts
+    is predicted as zero. A fit that has not settled after `rounds` is an error.
+    """
+    cells = bins.dropna(subset=[*a, *b]).groupBy(*a, *b).agg(F.sum(count).alias("y"), F.sum(exposure).cast("double").alias("n"))
+    cells = materialise(cells.filter("n > 0"), "bins")
+
+    def ratio(weight: Column) -> Column:
+        return F.coalesce(F.sum("y") / F.nullif(F.sum(F.col("n") * weight), F.lit(0.0)), F.lit(0.0))
+
+    def fitted_rates(by: Sequence[str], other: Sequence[str], rates: DataFrame) -> DataFrame:
+        return cells.join(rates, list(other)).groupBy(*by).agg(ratio(F.col("rate")).alias("rate"), F.sum("y").alias("_y"))
+
+    rates = materialise(cells.groupBy(*b).agg(ratio(F.lit(1.0)).alias("rate")), "rates")
+    for _ in range(0, rounds, ROUNDS_A_TABLE):
+        fitted = rates
+        for _ in range(ROUNDS_A_TABLE):
+            of_a = fitted_rates(a, b, fitted.select(*b, "rate")).select(*a, "rate")
+            fitted = fitted_rates(b, a, of_a)
+        fitted = fitted.join(rates.withColumnRenamed("rate", "before"), list(b))
+        moved = F.when(F.col("rate") > 0, F.col("_y") * F.abs(F.col("before") / F.nullif(F.col("rate"), F.lit(0.0)) - 1))
+        written = materialise(fitted.withColumn("moved", moved), "rates")
+        change, total = written.agg(F.coalesce(F.sum("moved"), F.lit(0.0)), F.coalesce(F.sum("_y"), F.lit(0))).first()
+        rates = written.select(*b, "rate")
+        if change <= tolerance * total:
+            break
+    else:
+        raise RuntimeError(f"the two-factor fit has not settled after {rounds} rounds")
+    of_a = fitted_rates(a, b, rates).select(*a, F.col("rate").alias("rate_a"))
+    both = cells.join(rates.withColumnRenamed("rate", "rate_b"), list(b)).join(of_a, list(a))
+    return both.select(*a, *b, "y", "n", (F.col("n") * F.col("rate_a") * F.col("rate_b")).alias("prediction"))
+
+
+def adjusted_ratio(fitted: DataFrame, factor: Sequence[str], other: Sequence[str]) -> DataFrame:
+    """One row: bins, likelihood ratio of `factor` beside `other`, its df, and the moment dispersion.
+
+    `fitted` comes from `two_factor_fit`. The model without `factor` follows the rate of each level of `other`; both
+    models fit the total, so the ratio is a sum over bins with counts. df is levels less one, which holds where the
+    bins link all levels.
+    """
+    margin = fitted.groupBy(*other).agg(F.sum("y").alias("_y"), F.sum("n").alias("_n"))
+    rows = fitted.join(margin, list(other)).withColumn("e", F.col("n") * F.col("_y") / F.col("_n"))
+    term = F.when(F.col("y") > 0, F.col("y") * F.log(F.col("prediction") / F.nullif(F.col("e"), F.lit(0.0)))).otherwise(F.lit(0.0))
+    miss = F.col("y") - F.col("prediction")
+    sums = rows.agg(
+        F.count(F.lit(1)).alias("n_bins"), (F.lit(2.0) * F.sum(term)).alias("lr"),
+        (F.sum(miss * miss - F.col("prediction")) / F.nullif(F.sum(F.col("prediction") * F.col("prediction")), F.lit(0.0))).alias("dispersion"),
     )
-    deviance, rank, predicted = [], [], []
-    for terms in (f"{factor} + {other}", other):
-        data = RFormula(formula=f"{count} ~ {terms}").fit(rows).transform(rows)
-        fitted = glm.fit(data)
-        deviance.append(fitted.summary.deviance)
-        rank.append(fitted.summary.rank)
-        predicted.append(fitted.transform(data).select(count, factor, other, "prediction"))
-    result = [(factor, deviance[1] - deviance[0], rank[0] - rank[1])]
-    return fixed_table(bins.sparkSession, result, "factor string, lr double, df bigint"), predicted[0]
+    levels = fitted.select(*factor).distinct().agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).alias("lr_df"))
+    return sums.crossJoin(levels).select("n_bins", "lr", "lr_df", "dispersion")
 
 
 def holm_adjust(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:

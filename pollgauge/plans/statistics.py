@@ -50,24 +50,84 @@ def occurrence_unevenness(spark, sf):
     return out
 
 
-_day_bins = "(SELECT CAST(day AS VARCHAR) AS day, CAST(hour AS VARCHAR) AS hour, count(*) FILTER (WHERE jump_flag) AS n_jump FROM local_flags GROUP BY 1, 2)"
+# Rounds of proportional fitting in the twins; the operator stops by itself.
+SQL_ROUNDS = 30
+
+
+def _two_factor_sql(a: str, b: str) -> str:
+    """Bins with both levels, y, n and mu: proportional fitting with its rounds written out."""
+    grouped = f"SELECT {a}, {b}, count(*) FILTER (WHERE jump_flag)::DOUBLE AS y, count(*)::DOUBLE AS n FROM local_flags GROUP BY {a}, {b}"
+
+    def rates(by: str, other: str, source: str) -> str:
+        return f"SELECT {by}, coalesce(sum(y) / nullif(sum(n * rate), 0), 0) AS rate FROM bins JOIN {source} USING ({other}) GROUP BY {by}"
+
+    steps = [f"b0 AS MATERIALIZED (SELECT {b}, sum(y) / sum(n) AS rate FROM bins GROUP BY {b})"]
+    for k in range(1, SQL_ROUNDS + 1):
+        steps += [f"a{k} AS MATERIALIZED ({rates(a, b, f'b{k - 1}')})", f"b{k} AS MATERIALIZED ({rates(b, a, f'a{k}')})"]
+    steps.append(f"last_a AS MATERIALIZED ({rates(a, b, f'b{SQL_ROUNDS}')})")
+    return f"""(WITH bins AS MATERIALIZED ({grouped}), {", ".join(steps)}
+SELECT bins.*, n * l.rate * r.rate AS mu FROM bins JOIN last_a l USING ({a}) JOIN b{SQL_ROUNDS} r USING ({b}))"""
+
+
+def _ratio_sql(name: str, factor: str, other: str, fitted: str) -> str:
+    return f"""
+SELECT '{name}' AS factor, count(*) AS n_bins, round(2 * sum(CASE WHEN y > 0 THEN y * ln(mu / e) ELSE 0 END), 4) AS lr,
+  count(DISTINCT ({factor})) - 1 AS lr_df, round(sum((y - mu) * (y - mu) - mu) / sum(mu * mu), 6) AS dispersion
+FROM (SELECT *, n * (sum(y) OVER w) / (sum(n) OVER w) AS e FROM {fitted} WINDOW w AS (PARTITION BY {other}))"""
+
+
+view("station_hour_fit", "SELECT * FROM " + _two_factor_sql("feed_id, station_id", "hour"))
+view("day_hour_fit", "SELECT * FROM " + _two_factor_sql("day", "hour"))
+
+
+def _fits(spark, sf):
+    """Fitted bins of (station, hour) and of (day, hour)."""
+    bins = materialise(profile.exposure_bins(K.flagged(spark, sf), K.CFG.local_tz), "bins")
+    return (
+        materialise(stats.two_factor_fit(bins.filter(F.col(STATION).isNotNull()), [FEED, STATION], ["hour"]), "fit"),
+        materialise(stats.two_factor_fit(bins.filter(F.col("day").isNotNull()), ["day"], ["hour"]), "fit"),
+    )
+
+
+@query("occurrence_ratios", " UNION ALL ".join([
+    _ratio_sql("station_id", "feed_id, station_id", "hour", "station_hour_fit"),
+    _ratio_sql("hour", "hour", "feed_id, station_id", "station_hour_fit"),
+    _ratio_sql("day", "day", "hour", "day_hour_fit"),
+]))
+def occurrence_ratios(spark, sf):
+    """Likelihood ratios of station and hour, each beside the other, and of day beside hour."""
+    by_station, by_day = _fits(spark, sf)
+    station, out = [FEED, STATION], None
+    for name, fitted, factor, other in (
+        ("station_id", by_station, station, ["hour"]), ("hour", by_station, ["hour"], station), ("day", by_day, ["day"], ["hour"])
+    ):
+        part = stats.adjusted_ratio(fitted, factor, other).select(
+            F.lit(name).alias("factor"), "n_bins", F.round("lr", 4).alias("lr"), "lr_df", F.round("dispersion", 6).alias("dispersion")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_levels_sql = """
+SELECT '{0}' AS factor, CAST({0} AS VARCHAR) AS level, sum(y) AS observed, round(sum(mu), 2) + 0.0::DOUBLE AS fitted FROM day_hour_fit GROUP BY {0}"""
 
 
 @query("occurrence_adjusted", f"""
-SELECT k AS factor, level, sum(n_jump)::DOUBLE AS observed, sum(n_jump)::DOUBLE AS fitted, (SELECT count(DISTINCT day) - 1 FROM {_day_bins}) AS df, true AS lr_positive
-FROM (SELECT 'day' AS k, day AS level, n_jump FROM {_day_bins} UNION ALL SELECT 'hour', hour, n_jump FROM {_day_bins}) GROUP BY 1, 2""")
+SELECT v.*, r.lr_df AS df, r.lr FROM ({_levels_sql.format("day")} UNION ALL {_levels_sql.format("hour")}) v
+CROSS JOIN ({_ratio_sql("day", "day", "hour", "day_hour_fit")}) r""")
 def occurrence_adjusted(spark, sf):
     """The Poisson fit of day and hour: its counts per day and per hour equal the observed ones."""
     bins = materialise(profile.exposure_bins(K.flagged(spark, sf), K.CFG.local_tz), "bins")
-    by_day = bins.filter(F.col("day").isNotNull()).withColumns({"hour": F.col("hour").cast("string"), "day": F.col("day").cast("string")})
-    ratio, fitted = stats.adjusted_fit(by_day, "day", "hour")
-    lr, df = ratio.select("lr", "df").first()
+    fitted = materialise(stats.two_factor_fit(bins.filter(F.col("day").isNotNull()), ["day"], ["hour"]), "fit")
+    ratio = stats.adjusted_ratio(fitted, ["day"], ["hour"]).select(F.col("lr_df").alias("df"), F.round("lr", 4).alias("lr"))
     out = None
     for name in ("day", "hour"):
-        sums = fitted.groupBy(F.col(name).alias("level")).agg(F.sum("n_jump").cast("double").alias("observed"), (F.round(F.sum("prediction"), 2) + 0.0).alias("fitted"))
-        part = sums.select(F.lit(name).alias("factor"), "level", "observed", "fitted", F.lit(df).alias("df"), F.lit(lr > 0).alias("lr_positive"))
+        sums = fitted.groupBy(F.col(name).cast("string").alias("level")).agg(
+            F.sum("y").cast("double").alias("observed"), (F.round(F.sum("prediction"), 2) + 0.0).alias("fitted")
+        )
+        part = sums.select(F.lit(name).alias("factor"), "level", "observed", "fitted")
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.crossJoin(ratio)
 
 
 # Are the flags of a station even over the three thirds of the day?  Two degrees of freedom, so p = exp(-G / 2).

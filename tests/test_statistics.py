@@ -107,3 +107,66 @@ def test_evenness_of_equal_rates_is_zero(spark):
     bins = spark.createDataFrame([("a", 10, 100), ("b", 20, 200), ("c", 5, 50)], "k string, n_jump int, n_obs int")
     got = stats.unevenness(bins, ["k"]).first()
     assert got["g"] == pytest.approx(0.0, abs=1e-9) and got["df"] == 2
+
+
+# Published flags and rows by local day and hour: fixed values, the first three days that hold a full hour.
+DAY_HOUR = {
+    "2026-07-25": [(22, 236, 17920), (23, 204, 18560)],
+    "2026-07-26": [
+        (0, 276, 18880), (1, 269, 18880), (2, 190, 18880), (3, 159, 18880), (4, 48, 5760), (12, 195, 16320),
+        (13, 223, 18880), (14, 193, 18880), (15, 253, 18560), (16, 174, 12480), (20, 198, 17280), (21, 215, 18880),
+        (22, 159, 17920),
+    ],
+    "2026-07-29": [
+        (9, 1, 640), (10, 333, 18880), (11, 388, 18880), (12, 384, 18560), (13, 451, 18880), (14, 218, 13120),
+        (15, 130, 7680), (16, 340, 18880), (17, 385, 18560), (18, 200, 7040), (22, 52, 4480), (23, 199, 18560),
+    ],
+}
+
+
+def poisson_deviance(y, n, *factors):
+    """Deviance of y ~ factors with offset log(n), by Newton steps on a dense design."""
+    columns = [np.ones(len(y))]
+    for f in factors:
+        columns += [(np.array(f) == level).astype(float) for level in sorted(set(f))[1:]]
+    x, beta = np.stack(columns, 1), None
+    mu = y + 0.5
+    for _ in range(200):
+        z = np.log(mu / n) + (y - mu) / mu
+        beta = np.linalg.lstsq(x * np.sqrt(mu)[:, None], z * np.sqrt(mu), rcond=None)[0]
+        mu = n * np.exp(x @ beta)
+    return 2 * sum(a * np.log(a / m) if a else 0.0 for a, m in zip(y, mu)), mu
+
+
+def test_adjusted_ratios_of_the_published_counts_match_newton_steps(spark):
+    flat = [(d, h, y, n) for d, rows in DAY_HOUR.items() for h, y, n in rows]
+    days, hours = [r[0] for r in flat], [r[1] for r in flat]
+    y, n = (np.array([r[i] for r in flat], float) for i in (2, 3))
+    # A bin in two parts, a bin without a level and one without exposure change nothing.
+    given = [(d, h, k - 10, m - 100) if i == 3 else (d, h, k, m) for i, (d, h, k, m) in enumerate(flat)]
+    given += [(*flat[3][:2], 10, 100), (None, 3, 5, 10), ("2026-07-30", 1, 0, 0)]
+    bins = spark.createDataFrame(given, "day string, hour int, n_jump long, n_obs long")
+    fitted = stats.two_factor_fit(bins, ["day"], ["hour"])
+    full, mu = poisson_deviance(y, n, days, hours)
+    got = {(r["day"], r["hour"]): r["prediction"] for r in fitted.collect()}
+    assert len(got) == len(flat)
+    for d, h, m in zip(days, hours, mu):
+        assert got[d, h] == pytest.approx(m, rel=1e-6)
+    for factor, other, levels in (("day", hours, set(days)), ("hour", days, set(hours))):
+        row = stats.adjusted_ratio(fitted, [factor], ["hour" if factor == "day" else "day"]).first()
+        assert row["lr"] == pytest.approx(poisson_deviance(y, n, other)[0] - full, rel=1e-6)
+        assert (row["n_bins"], row["lr_df"]) == (len(flat), len(levels) - 1)
+        assert row["dispersion"] == pytest.approx(float(np.sum((y - mu) ** 2 - mu) / np.sum(mu**2)), rel=1e-5)
+
+
+def test_fit_of_levels_without_flags_and_of_no_bins(spark):
+    schema = "a string, b string, n_jump long, n_obs long"
+    rows = [("x", "p", 4, 10), ("x", "q", 2, 10), ("y", "p", 0, 10), ("y", "q", 0, 20), ("z", "p", 2, 5), ("z", "q", 1, 5)]
+    fitted = stats.two_factor_fit(spark.createDataFrame(rows, schema), ["a"], ["b"])
+    got = {(r["a"], r["b"]): r["prediction"] for r in fitted.collect()}
+    assert got["y", "p"] == got["y", "q"] == 0.0
+    assert got["x", "p"] == pytest.approx(4.0) and got["z", "q"] == pytest.approx(1.0)
+    assert stats.adjusted_ratio(fitted, ["b"], ["a"]).first()["lr"] > 0
+    empty = stats.two_factor_fit(spark.createDataFrame([], schema), ["a"], ["b"])
+    assert empty.count() == 0
+    assert stats.adjusted_ratio(empty, ["a"], ["b"]).first()["n_bins"] == 0
