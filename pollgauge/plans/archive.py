@@ -48,6 +48,24 @@ def corrupt_snapshot_report(spark, sf):
     return S.corrupt_snapshot_report(spark, path, S.snapshot_files(spark, path))
 
 
+@query("lost_snapshot_files", f"""
+SELECT feed_id, request, CASE WHEN harm = 0 THEN 'broken gzip' WHEN harm = 1 THEN 'empty' ELSE 'malformed' END AS reason
+FROM (SELECT *, {K.hash_sql("'harm|' || feed_id || '|' || us")} % 40 AS harm FROM docs) WHERE harm < 2 OR cut""")
+def lost_snapshot_files(spark, sf):
+    """Snapshots of an archive that hold no usable text, by name and reason: torn gzip, no bytes, JSON cut off."""
+    docs = adapters.snapshot_docs(spark, sf)
+    at = F.unix_timestamp("request", S.REQUEST_FORMAT) * 1_000_000 - 7_000_000
+    harm = C.hash32("harm", F.col(FEED), at) % 40
+    docs = materialise(docs.withColumn("damage", F.when(harm == 0, "torn").when(harm == 1, "empty")), "docs")
+    path = work_path(spark, "archive")
+    S.write_archive(docs.filter("damage IS NULL"), path)
+    S.write_broken(docs.filter("damage IS NOT NULL"), path)
+    lost = materialise(S.lost_files(spark, path, S.snapshot_files(spark, path)), "lost")
+    S.require_read(lost)
+    feed = F.regexp_extract("name", f"{FEED}=([^/]*)", 1).alias(FEED)
+    return lost.select(feed, F.regexp_extract("name", S.REQUEST_NAME, 1).alias("request"), "reason")
+
+
 def parsed_docs(spark, sf):
     """The snapshot texts parsed in place, without the file round trip."""
     docs = adapters.snapshot_docs(spark, sf).filter(~F.col("cut")).select(FEED, "request", "value")

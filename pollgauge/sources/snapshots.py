@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import gzip
+import zlib
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pollgauge.config import BIKES, DOCKS, FEED, SECOND_US, STATION, US
+from pollgauge.session import materialise
 
 STATION_STATUS = T.StructType(
     [
@@ -60,7 +66,7 @@ def _with(schema: T.StructType, *names: str) -> T.StructType:
 def snapshot_files(spark: SparkSession, path: str, feed_column: bool = True) -> DataFrame:
     """One row per readable or malformed file: content, file path, request name.
 
-    Files that cannot be decompressed are skipped here; `corrupt_snapshot_report` counts them.
+    Files that cannot be decompressed are skipped here; `lost_files` names them.
     """
     schema = _with(SNAPSHOT, BAD, *([FEED] if feed_column else []))
     docs = (
@@ -80,20 +86,96 @@ def readable(docs: DataFrame) -> DataFrame:
     return docs.filter(good)
 
 
+def _root(spark: SparkSession, path: str):
+    """Hadoop file system, qualified path and its address as pyarrow takes it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    uri = system.makeQualified(folder).toUri()
+    return system, folder, uri.getPath().rstrip("/"), f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getRawPath().rstrip('/')}"
+
+
+def archive_files(spark: SparkSession, path: str) -> DataFrame:
+    """`name` (path below the archive) and `length` of every file, empty ones too.
+
+    Spark's readers leave empty files out of their listings, so each top folder (a feed) is listed by a task. Names
+    that begin with a dot or an underscore are hidden, as for the readers.
+    """
+    system, folder, _, address = _root(spark, path)
+    tops = [(s.getPath().getName(), s.isDirectory()) for s in system.listStatus(folder)]
+    folders = ["", *sorted(name for name, is_folder in tops if is_folder and name[0] not in "._")]
+
+    def listed(batches):
+        store, base = fs.FileSystem.from_uri(address)
+        for batch in batches:
+            for top in batch["top"]:
+                found = store.get_file_info(fs.FileSelector(f"{base}/{top}" if top else base, recursive=bool(top)))
+                names = [(f.path[len(base):].lstrip("/"), f.size) for f in found if f.type == fs.FileType.File]
+                shown = [row for row in names if not any(part[0] in "._" for part in row[0].split("/"))]
+                yield pd.DataFrame(shown, columns=["name", "length"]).astype({"name": "object", "length": "int64"})
+
+    rows = spark.createDataFrame([(f,) for f in folders], "top string").repartition(min(len(folders), 200))
+    return rows.mapInPandas(listed, "name string, length bigint")
+
+
+def lost_files(spark: SparkSession, path: str, docs: DataFrame) -> DataFrame:
+    """`name`, `length` and `reason` of every archive file that gave no usable snapshot.
+
+    `docs` is `snapshot_files` of the same folder. Reasons: `empty` (no bytes, or a gzip of none), `broken gzip`,
+    `malformed` (read, but no snapshot) and `unread` (intact, yet the reader gave no row: a passing read error that
+    `ignoreCorruptFiles` hid, or bytes that could not be read now). Only files without a usable snapshot are opened.
+    """
+    _, _, base, address = _root(spark, path)
+    plain = F.url_decode(F.replace(F.regexp_replace("file_path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
+    good = F.col("last_updated").isNotNull() & F.col("data.stations").isNotNull()
+    read = docs.groupBy(F.substr(plain, F.lit(len(base) + 2)).alias("name")).agg(F.max(good).alias("usable"))
+    missed = archive_files(spark, path).join(read, "name", "left").filter(~F.coalesce("usable", F.lit(False)))
+
+    def opened(batches):
+        store, root = fs.FileSystem.from_uri(address)
+
+        def state(name: str, length: int) -> str:
+            if length == 0:
+                return "empty"
+            if not name.endswith(".gz"):
+                return "intact"
+            try:
+                with store.open_input_stream(f"{root}/{name}", compression=None) as raw, gzip.GzipFile(fileobj=raw) as text:
+                    size = 0
+                    while part := text.read(1 << 20):
+                        size += len(part)
+                return "intact" if size else "empty"
+            except (EOFError, gzip.BadGzipFile, zlib.error):
+                return "broken gzip"
+            except OSError:
+                return "unread"
+
+        for batch in batches:
+            yield batch.assign(state=[state(n, size) for n, size in zip(batch["name"], batch["length"])])
+
+    states = missed.select("name", "length", F.col("usable").isNotNull().alias("seen")).mapInPandas(
+        opened, "name string, length bigint, seen boolean, state string"
+    )
+    reason = F.when(F.col("state") != "intact", F.col("state")).when(F.col("seen"), "malformed").otherwise("unread")
+    return states.select("name", "length", reason.alias("reason"))
+
+
+def require_read(lost: DataFrame) -> None:
+    """Raise where a file was lost for no fault of its own. `lost` comes from `lost_files`, best as a written table."""
+    unread = [r["name"] for r in lost.filter("reason = 'unread'").select("name").orderBy("name").limit(10).collect()]
+    if unread:
+        raise RuntimeError(f"intact snapshot files gave no row, first names: {', '.join(unread)}")
+
+
 def corrupt_snapshot_report(spark: SparkSession, path: str, docs: DataFrame) -> DataFrame:
     """One row: listed files, files with a usable snapshot, and the difference.
 
-    A broken gzip or an empty file never reaches the reader, so the listing comes
-    from the file system (one call), not from the scan.  The folder must hold
-    snapshots only.
+    The folder must hold snapshots only. A file lost to a passing read error is no corrupt file but an error.
     """
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    listed = int(fs.getContentSummary(folder).getFileCount())
-    usable = readable(docs).select("file_path").distinct().agg(F.count(F.lit(1)).alias("usable"))
-    return usable.select(
-        F.lit(listed).cast("bigint").alias("listed"), "usable", (F.lit(listed) - F.col("usable")).alias("corrupt")
+    lost = materialise(lost_files(spark, path, docs), "lost")
+    require_read(lost)
+    listed = archive_files(spark, path).agg(F.count(F.lit(1)).alias("listed"))
+    return listed.crossJoin(lost.agg(F.count(F.lit(1)).alias("corrupt"))).select(
+        "listed", (F.col("listed") - F.col("corrupt")).alias("usable"), "corrupt"
     )
 
 
@@ -196,3 +278,21 @@ def write_archive(docs: DataFrame, path: str) -> None:
     docs.select(FEED, F.col("request").alias("poll"), "value").repartition(FEED, "poll").write.options(
         **quiet
     ).partitionBy(FEED, "poll").text(path)
+
+
+def write_broken(docs: DataFrame, path: str) -> None:
+    """Add snapshots that cannot be read: `damage` is `torn` (a gzip cut in half) or `empty` (no bytes)."""
+    _, _, _, address = _root(docs.sparkSession, path)
+
+    def put(batches):
+        store, base = fs.FileSystem.from_uri(address)
+        for batch in batches:
+            for feed, poll, value, damage in zip(batch[FEED], batch["request"], batch["value"], batch["damage"]):
+                whole = gzip.compress(value.encode(), mtime=0)
+                folder = f"{base}/{FEED}={feed}/poll={poll}"
+                store.create_dir(folder, recursive=True)
+                with store.open_output_stream(f"{folder}/part-broken.txt.gz", compression=None) as out:
+                    out.write(whole[: len(whole) // 2] if damage == "torn" else b"")
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    docs.select(FEED, "request", "value", "damage").mapInPandas(put, "n bigint").write.format("noop").mode("overwrite").save()

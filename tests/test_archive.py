@@ -1,6 +1,8 @@
 import gzip
 import json
 
+import pytest
+
 from pollgauge.sources import snapshots as S
 
 
@@ -33,6 +35,36 @@ def test_archive_with_broken_files(spark, tmp_path):
     ]
     report = S.corrupt_snapshot_report(spark, str(tmp_path), S.snapshot_files(spark, str(tmp_path))).first()
     assert (report["listed"], report["usable"], report["corrupt"]) == (6, 3, 3)
+    docs = S.snapshot_files(spark, str(tmp_path))
+    lost = {r["name"]: r["reason"] for r in S.lost_files(spark, str(tmp_path), docs).collect()}
+    assert lost == {
+        "feed_id=f/20260101T000300Z.json.gz": "broken gzip",
+        "feed_id=f/20260101T000400Z.json.gz": "malformed",
+        "feed_id=f/20260101T000500Z.json.gz": "empty",
+    }
+
+
+def test_an_intact_file_without_rows_is_an_error(spark, tmp_path):
+    day = tmp_path / "feed_id=a +%b"
+    day.mkdir()
+    for minute in (0, 1):
+        text = poll(1_767_225_600 + 60 * minute, [(1, 5, 10)])
+        (day / f"20260101T00{minute:02}00Z.json.gz").write_bytes(gzip.compress(text.encode()))
+    (day / "20260101T000200Z.json.gz").write_bytes(gzip.compress(b""))
+    (day / "_hidden").write_bytes(b"")
+    docs = S.snapshot_files(spark, str(tmp_path))
+    lost = S.lost_files(spark, str(tmp_path), docs)
+    assert [(r["name"], r["reason"]) for r in lost.collect()] == [("feed_id=a +%b/20260101T000200Z.json.gz", "empty")]
+    S.require_read(lost)
+    # As if the reader had passed over the second file.
+    some = S.lost_files(spark, str(tmp_path), docs.filter("request != '20260101T000100Z'"))
+    with pytest.raises(RuntimeError, match="20260101T000100Z"):
+        S.require_read(some)
+
+
+def test_an_empty_archive_loses_nothing(spark, tmp_path):
+    assert S.archive_files(spark, str(tmp_path)).count() == 0
+    assert S.lost_files(spark, str(tmp_path), S.snapshot_files(spark, str(tmp_path), feed_column=False)).count() == 0
 
 
 def test_log_keeps_error_text_out_of_the_hash(spark, tmp_path):
