@@ -106,6 +106,26 @@ class Blocks:
         self.df = self._join(edges).withColumn(name, F.coalesce(inside, F.col("_carry"))).drop("_carry")
         return self
 
+    def ahead(self, name: str, value: Column, steps: int) -> Blocks:
+        """Add `name`: `value` of the row `steps` rows ahead in the series, whatever the elapsed time; null beyond its end.
+
+        A block's edge row holds its first `steps` values, so those of as many following blocks reach any row.
+        """
+        self._settle()
+        self.df = self.df.withColumn("_v", F.struct(value.alias("v")))
+        place = F.row_number().over(self._window())
+        first = (
+            self.df.withColumn("_at", place).filter(F.col("_at") <= steps)
+            .groupBy(*self.group).agg(F.sort_array(F.collect_list(F.struct("_at", "_v"))).alias("_first"))
+        )
+        behind = self._edge_window().rowsBetween(1, steps)
+        edges = first.withColumn("_carry", F.slice(F.flatten(F.collect_list("_first").over(behind)), 1, steps)["_v"]).drop("_first")
+        left = F.count(F.lit(1)).over(Window.partitionBy(*self.group)) - place
+        self.df = self.df.withColumns({"_inside": F.lead("_v", steps).over(self._window()), "_left": left})
+        beyond = F.get("_carry", (F.lit(steps - 1) - F.col("_left")).cast("int"))
+        self.df = self._join(edges).withColumn(name, F.coalesce("_inside", beyond)["v"]).drop("_inside", "_left", "_carry", "_v")
+        return self
+
     def carry_forward(self, name: str, value: Column) -> Blocks:
         """Add `name`: the last non-null `value` up to and including the row."""
         self._settle()
@@ -153,13 +173,8 @@ def previous_row(df, keys, fields, block_us, name="prev", order=US) -> DataFrame
 
 
 def shift_rows(df: DataFrame, keys: Sequence[str], steps: int, value: str, name: str, block_us: int) -> DataFrame:
-    """`value` of the row `steps` rows ahead in the series, whatever the elapsed time.
-
-    The reach is unbounded, so rows are numbered and matched by number.
-    """
-    numbered = Blocks(df, keys, block_us).running_sum("_n", F.lit(1)).frame()
-    ahead = numbered.select(*keys, (F.col("_n") - steps).alias("_n"), F.col(value).alias(name))
-    return numbered.join(ahead, [*keys, "_n"], "left").drop("_n")
+    """`value` of the row `steps` rows ahead in the series, whatever the elapsed time."""
+    return Blocks(df, keys, block_us).ahead(name, F.col(value), steps).frame()
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence, name: str) -> DataFrame:

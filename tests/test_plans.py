@@ -37,6 +37,12 @@ def test_chains_do_not_multiply(spark, name):
     assert exchanges <= 10 and scans <= 4
 
 
+def test_a_lead_needs_no_row_number_join(spark):
+    text = used(plan(load_queries()["silent_label"].run(spark, SF), final=True))
+    assert len(re.findall(r"Scan parquet", text)) <= 2
+    assert len(re.findall(r"(?<!Reused)Exchange (?:hash|range|Single)", text)) <= 4
+
+
 def test_null_keys_stay(spark):
     rows = [(None, 1, 5), (None, 2, 6), (None, 200, 7), ("a", 1, 1), ("a", 150, 2)]
     df = spark.createDataFrame(rows, "k string, us bigint, v int")

@@ -76,6 +76,23 @@ def test_shift_rows_has_no_time_limit(frame, series):
     same(got["x"], series.sort_values(["k", "us"]).groupby("k")["v"].shift(-4).reset_index(drop=True))
 
 
+@pytest.mark.parametrize("steps, block", [(1, BLOCK), (9, 3), (9, 10_000), (70, BLOCK)])
+def test_a_lead_reaches_over_short_blocks(frame, series, steps, block):
+    got = ordered(shift_rows(frame, ["k"], steps, "v", "x", block))
+    same(got["x"], series.sort_values(["k", "us"]).groupby("k")["v"].shift(-steps).reset_index(drop=True))
+
+
+def test_a_lead_keeps_null_values_and_null_keys(spark):
+    rows = [(None, 1, 5), (None, 200, None), (None, 300, 7), ("a", 1, None), ("a", 2, 3), ("a", 3, None), ("a", 4, 9)]
+    df = spark.createDataFrame(rows, "k string, us bigint, v int")
+    got = shift_rows(df, ["k"], 2, "v", "x", BLOCK).orderBy("k", "us").collect()
+    assert [(r.k, r.us, r.v, r.x) for r in got] == [
+        (None, 1, 5, 7), (None, 200, None, None), (None, 300, 7, None),
+        ("a", 1, None, None), ("a", 2, 3, 9), ("a", 3, None, None), ("a", 4, 9, None),
+    ]
+    assert shift_rows(df.limit(0), ["k"], 2, "v", "x", BLOCK).count() == 0
+
+
 def test_number_rows(frame, series):
     got = ordered(number_rows(frame, ["k"], F.expr("us div 100"), ["us"], "n"))
     same(got["n"], series.sort_values(["k", "us"]).groupby("k").cumcount().add(1).reset_index(drop=True))
