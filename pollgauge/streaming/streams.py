@@ -2,7 +2,8 @@
 
 Batch twins live in `pollgauge.operators`.  Aggregations, sessions and dedup are
 built-in streaming operators.  The previous-row rules (jump, stale) carry the
-newest row of each series from batch to batch in a written table.
+newest row of each series from batch to batch in a written table, of which a
+batch reads and writes the parts that its series fall into.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pollgauge.sources.snapshots import SNAPSHOT, flatten_stations, readable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATUS_SCHEMA = f"{FEED} string, {STATION} string, {US} bigint, {BIKES} int, {DOCKS} int"
+TAIL_BUCKETS = 256  # parts of the carried state
 POLL_SCHEMA = f"{FEED} string, event_id bigint, request_us bigint, last_updated_us bigint, payload_sha256 string"
 
 
@@ -76,28 +78,83 @@ def stream_dedup(docs: DataFrame, delay: str) -> DataFrame:
     return good.withWatermark("ts", delay).dropDuplicatesWithinWatermark([FEED, "last_updated"])
 
 
+class SeriesTails:
+    """The newest row of each series, in buckets of a hash of its key.
+
+    A batch reads the buckets that its series fall into and writes those again, as a version named by the batch, so
+    state read and written grows with the series that a batch touches. An index of at most `TAIL_BUCKETS` rows per
+    batch names the version that holds each bucket. A repeated batch starts from the index before it and writes the
+    same version again; what an index of two batches ago held and no later one does is removed.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, keys: Sequence[str], batch_id: int):
+        self.spark, self.folder, self.batch_id = spark, folder, batch_id
+        self.bucket = F.pmod(F.xxhash64(*keys), F.lit(TAIL_BUCKETS)).cast("int")
+        self.held = self._index(batch_id - 1)
+
+    def _file(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _index(self, batch_id: int) -> dict[int, int]:
+        path = f"{self.folder}/index/batch={batch_id}"
+        where, system = self._file(path)
+        if batch_id < 0 or not system.exists(where):
+            return {}
+        return {r["bucket"]: r["version"] for r in self.spark.read.schema("bucket int, version bigint").parquet(path).collect()}
+
+    def _path(self, bucket: int, version: int) -> str:
+        return f"{self.folder}/version={version}/series_bucket={bucket}"
+
+    def touched(self, batch: DataFrame) -> list[int]:
+        """Buckets of the batch's series, at most `TAIL_BUCKETS` numbers."""
+        return sorted(r[0] for r in batch.select(self.bucket).distinct().collect())
+
+    def read(self, buckets: Sequence[int], schema: T.StructType) -> DataFrame | None:
+        """Rows of these buckets, or None where none was written before."""
+        paths = [self._path(b, self.held[b]) for b in buckets if b in self.held]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else None
+
+    def write(self, rows: DataFrame, buckets: Sequence[int]) -> None:
+        """Write `rows`, the newest of all series in these buckets, and the index of this batch."""
+        parted = rows.withColumn("series_bucket", self.bucket).repartition("series_bucket")
+        parted.write.mode("overwrite").partitionBy("series_bucket").parquet(f"{self.folder}/version={self.batch_id}")
+        now = {**self.held, **{b: self.batch_id for b in buckets}}
+        index = self.spark.createDataFrame(sorted(now.items()), "bucket int, version bigint").coalesce(1)
+        index.write.mode("overwrite").parquet(f"{self.folder}/index/batch={self.batch_id}")
+        self._prune()
+
+    def _prune(self) -> None:
+        # The batch before this one is committed, so nothing starts from the index before it any more.
+        before = self._index(self.batch_id - 2)
+        gone = [self._path(b, v) for b, v in before.items() if self.held.get(b) != v]
+        for path in [*gone, f"{self.folder}/index/batch={self.batch_id - 2}"] if before else []:
+            where, system = self._file(path)
+            system.delete(where, True)
+
+
 def previous_row_writer(
     stream: DataFrame, keys: Sequence[str], order: str, fields: Sequence[str],
     finish: Callable[[DataFrame], DataFrame], out: str, state: str, block_us: int,
 ) -> DataStreamWriter:
     """A sink for rules that look at the previous row of a series.
 
-    Each micro-batch is joined by the newest row that each series had before (a
-    small written table) and goes through the batch operator, so one busy series
+    Each micro-batch is joined by the newest row that its series had before
+    (`SeriesTails`) and goes through the batch operator, so one busy series
     is still spread over time blocks.  Rows older than their series' newest row
     arrive too late to have a valid predecessor; they are kept, marked `late`,
     and take no part in the sequence.
 
-    A batch writes its own folder and one of two state slots, so repeating a
-    batch after a failure gives the same result.
+    A batch writes its own folder and its own version of the buckets it touches,
+    so repeating a batch after a failure gives the same result.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        store = SeriesTails(batch.sparkSession, f"{state}/tails", keys, batch_id)
+        buckets = store.touched(batch)
         rows = batch.withColumn("_old", F.lit(False))
-        tails = None
-        if batch_id > 0:
-            tails = spark.read.schema(batch.schema).parquet(f"{state}/tails-{(batch_id - 1) % 2}")
+        tails = store.read(buckets, batch.schema)
+        if tails is not None:
             newest = tails.select(*keys, F.col(order).alias("_newest"))
             rows = rows.join(newest, list(keys), "left").withColumn("late", true_when(F.col(order) <= F.col("_newest")))
             rows = rows.drop("_newest")
@@ -112,7 +169,7 @@ def previous_row_writer(
         done.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         names = [c for c in batch.columns if c not in keys]
         last = fresh.groupBy(*keys).agg(F.max_by(F.struct(*names), order).alias("t")).select(*keys, "t.*")
-        last.select(*batch.columns).write.mode("overwrite").parquet(f"{state}/tails-{batch_id % 2}")
+        store.write(last.select(*batch.columns), buckets)
 
     def kept(batch: DataFrame, batch_id: int) -> None:
         batch.persist()

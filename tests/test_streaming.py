@@ -3,6 +3,7 @@
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from pollgauge.config import FeedConfig
 from pollgauge.operators.detect import detect_stale, jump_rows
@@ -59,6 +60,61 @@ def test_late_row_is_kept_and_marked(spark, status_frame, tmp_path):
     assert not any(r["jump_flag"] for r in got)
 
 
+def test_state_written_grows_with_touched_series(spark, status_frame, tmp_path):
+    path, out, state = (str(tmp_path / name) for name in ("status", "out", "state"))
+    batches = [
+        [("f", f"s{i}", 0, 5, 5) for i in range(120)],
+        [("f", "s3", 10, 6, 4)],
+        [("f", "s3", 11, 20, 0), ("f", "new", 11, 1, 1)],
+        [("f", "s7", 12, 5, 5)],
+    ]
+    for rows in batches:
+        status_frame(rows).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
+    stream = X.table_stream(spark, path, X.STATUS_SCHEMA, 1)
+
+    def finish(rows):
+        return rows.withColumn("before", F.col("prev.num_bikes_available"))
+
+    keys = ["feed_id", "station_id"]
+    X.run_all(X.previous_row_writer(stream, keys, "us", ["num_bikes_available"], finish, out, state, CFG.block_us))
+    got = {(r["station_id"], (r["us"] - status_frame.start) // 60_000_000): r["before"] for r in spark.read.parquet(out).collect()}
+    assert (got["s3", 10], got["s3", 11], got["new", 11], got["s7", 12]) == (5, 6, None, 5)
+
+    def buckets(version):
+        return sorted(p.name for p in (tmp_path / "state" / "tails" / f"version={version}").glob("series_bucket=*"))
+
+    assert len(buckets(0)) > 40
+    # Batch 1 touches the bucket of s3 alone, batch 2 that one and the bucket of the new series.
+    assert len(buckets(2)) == 2 and len(buckets(3)) == 1
+    # The bucket of s3 in version 1 went when batch 3 began; that of version 0 went one batch before.
+    assert buckets(1) == []
+    store = X.SeriesTails(spark, f"{state}/tails", keys, 4)
+    held = store.read(sorted(store.held), stream.schema)
+    assert held.count() == 121
+    assert {r["station_id"]: r["num_bikes_available"] for r in held.filter("station_id IN ('s3', 's7', 'new', 's9')").collect()} == {
+        "s3": 20, "s7": 5, "new": 1, "s9": 5,
+    }
+
+
+def test_a_repeated_batch_writes_the_same_state(spark, status_frame, tmp_path):
+    keys, folder = ["feed_id", "station_id"], str(tmp_path / "tails")
+    first = status_frame([("f", f"s{i}", 0, i, 5) for i in range(5)])
+    second = status_frame([("f", "s1", 1, 9, 9)])
+    for batch_id, rows in ((0, first), (1, second), (1, second)):
+        store = X.SeriesTails(spark, folder, keys, batch_id)
+        touched = store.touched(rows)
+        old = store.read(touched, rows.schema)
+        assert (old is None) == (batch_id == 0)
+        if old is not None:
+            assert old.filter("station_id = 's1'").first()["num_bikes_available"] == 1
+            rows = rows.unionByName(old.filter("station_id != 's1'"))
+        store.write(rows, touched)
+    store = X.SeriesTails(spark, folder, keys, 2)
+    held = {r["station_id"]: r["num_bikes_available"] for r in store.read(sorted(store.held), first.schema).collect()}
+    assert held == {"s0": 0, "s1": 9, "s2": 2, "s3": 3, "s4": 4}
+
+
 def test_sessions_over_batches(spark, hours):
     df, path = hours
     X.configure_streams(spark)
