@@ -75,7 +75,6 @@ class FeedConfig:
 # A feed polled every 15 minutes, with the same ratios as the 60-second defaults.
 QUARTER_HOURLY = FeedConfig(
     cadence_s=900,
-    lags=(1, 2),
     horizon=4,
     max_gap_s=1350,
     repair_window_s=2700,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pollgauge.config import BIKES, DOCKS, FEED, PERIOD, PERIOD_SERIES, SECOND_US, STATION, US, FeedConfig, FrozenModel
 from pollgauge.functions.columns import hash32, local_ts, logistic, true_when
-from pollgauge.operators.features import with_label, with_lags
+from pollgauge.operators.features import weather_join, with_calendar, with_label, with_lags
 from pollgauge.operators.sequence import Blocks, at_home, near_window, neighbourhood
 from pollgauge.session import fixed_table
 
@@ -130,7 +130,7 @@ def _reading(k: int, cfg: FeedConfig, bikes: Column, docks: Column, us: Column,
 
 
 def side_view(
-    rows: DataFrame, cfg: FeedConfig, model: FrozenModel, keys: Sequence[str] = PERIOD_SERIES
+    rows: DataFrame, cfg: FeedConfig, model: FrozenModel, weather: DataFrame | None = None, keys: Sequence[str] = PERIOD_SERIES
 ) -> DataFrame:
     """Flags, lags, score, decision and label of one side, with its recent readings as one array.
 
@@ -159,7 +159,8 @@ def side_view(
         )
     items.append(_reading(0, cfg, F.col(BIKES), F.col(DOCKS), F.col(US), F.col("jump_flag")))
     out = at_home(near.withColumn("readings", F.array(*items)))
-    out = out.drop(*[f"_past{k}" for k in cfg.lags]).withColumn("proba", logistic(model))
+    out = with_calendar(out.drop(*[f"_past{k}" for k in cfg.lags]))
+    out = (out if weather is None else weather_join(out, weather)).withColumn("proba", logistic(model))
     return out.withColumn("decision", F.col("proba") >= model.tau)
 
 

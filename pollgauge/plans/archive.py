@@ -136,14 +136,14 @@ def certified_periods_scan(spark, sf):
 
 
 @query("frozen_config_scan", """
-SELECT 0.4::DOUBLE AS tau, 4 AS n_features, (SELECT count(*) FROM usable, bounds WHERE us <= train_end) AS trained_on_rows,
+SELECT 0.4::DOUBLE AS tau, 12 AS n_features, (SELECT count(*) FROM usable, bounds WHERE us <= train_end) AS trained_on_rows,
   train_end, val_end, test_end FROM bounds""")
 def frozen_config_scan(spark, sf):
-    rows = materialise(K.features(spark, sf).dropna(subset=[*K.CFG.feature_columns, "label"]), "usable")
+    rows = materialise(K.features(spark, sf).dropna(subset=[*K.INPUTS, "label"]), "usable")
     bounds = model.split_bounds(rows)
     trained = model.assign_split(rows, bounds).agg(C.count_if(F.col("split") == "train").alias("trained_on_rows"))
     config = bounds.crossJoin(trained).select(
-        F.lit(K.MODEL.tau).alias("tau"), F.array(*[F.lit(c) for c in K.CFG.feature_columns]).alias("feature_cols"),
+        F.lit(K.MODEL.tau).alias("tau"), F.array(*[F.lit(c) for c in K.INPUTS]).alias("feature_cols"),
         "trained_on_rows", "train_end", "val_end", "test_end",
     )
     path = work_path(spark, "config")

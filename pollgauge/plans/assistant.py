@@ -16,7 +16,7 @@ PK = (*PERIOD_SERIES, US)
 KEYS = ", ".join(A.ANSWER_KEYS)
 
 view("spots", """
-SELECT station_id || '-' || us AS scenario_id, num_bikes_available AS b, num_docks_available AS d FROM flagged WHERE jump_flag""")
+SELECT feed_id || '-' || station_id || '-' || us AS scenario_id, num_bikes_available AS b, num_docks_available AS d FROM flagged WHERE jump_flag""")
 view("answer_cells", f"""
 SELECT *, {K.hash_sql("'answer|' || model || '|' || rep || '|' || scenario_id || '|' || condition || '|' || config")} AS h,
   {K.hash_sql("'p|' || scenario_id")} % 100 AS p, {K.hash_sql("'flip|' || scenario_id")} AS drawn
@@ -109,7 +109,7 @@ def answer_stability(spark, sf):
 _FLAG = """coalesce(abs(num_bikes_available - lag(num_bikes_available) OVER w) > (us - lag(us) OVER w) / 60000000.0::DOUBLE, false) AS jf"""
 _W = "WINDOW w AS (PARTITION BY feed_id, period_id, station_id ORDER BY us)"
 _EXTRA = ", ".join(
-    ["*"] + [f"lag({c}, {k}) OVER w AS {n}{k}" for k in (1, 2) for c, n in (("us", "u"), ("jf", "f"))]
+    ["*"] + [f"lag({c}, {k}) OVER w AS {n}{k}" for k in (1, 2, 5, 15) for c, n in (("us", "u"), ("jf", "f"))]
 )
 
 
@@ -131,22 +131,27 @@ def _hhmm(us: str) -> str:
 @query("reading_window", f"""
 SELECT feed_id, period_id, station_id, us, 0 AS polls_ago, {_hhmm("us")} AS time, num_bikes_available AS bikes, num_docks_available AS docks, jf AS jump_flag FROM side_all
 UNION ALL SELECT feed_id, period_id, station_id, us, 1, {_hhmm("u1")}, bikes_lag1, docks_lag1, f1 FROM side_all WHERE us - u1 <= 1350000000
-UNION ALL SELECT feed_id, period_id, station_id, us, 2, {_hhmm("u2")}, bikes_lag2, docks_lag2, f2 FROM side_all WHERE us - u2 <= 2700000000""")
+UNION ALL SELECT feed_id, period_id, station_id, us, 2, {_hhmm("u2")}, bikes_lag2, docks_lag2, f2 FROM side_all WHERE us - u2 <= 2700000000
+UNION ALL SELECT feed_id, period_id, station_id, us, 5, {_hhmm("u5")}, bikes_lag5, docks_lag5, f5 FROM side_all WHERE us - u5 <= 6750000000
+UNION ALL SELECT feed_id, period_id, station_id, us, 15, {_hhmm("u15")}, bikes_lag15, docks_lag15, f15 FROM side_all WHERE us - u15 <= 20250000000""")
 def reading_window(spark, sf):
-    rows = A.side_view(K.certified(spark, sf), K.CFG, K.MODEL)
+    rows = A.side_view(K.certified(spark, sf), K.CFG, K.MODEL, adapters.weather(spark, sf))
     return rows.select(*PK, F.explode("readings").alias("r")).filter("r IS NOT NULL").select(*PK, "r.*")
 
 
+_PAST = ", ".join(
+    f"k.bikes_lag{k} AS kb{k}, k.docks_lag{k} AS kk{k}, k.u{k} AS ku{k}, c.bikes_lag{k} AS cb{k}, c.docks_lag{k} AS ck{k}, c.f{k}" for k in (1, 2, 5, 15)
+)
 view("candidates", f"""
 SELECT k.feed_id, k.period_id, k.station_id, k.us, k.proba >= 0.4::DOUBLE AS kd, c.proba >= 0.4::DOUBLE AS cd,
   (k.proba >= 0.4::DOUBLE) <> (c.proba >= 0.4::DOUBLE) AS flip, round(k.proba, 3) AS kp, round(c.proba, 3) AS cp,
-  k.bikes_lag1 AS kb1, k.docks_lag1 AS kk1, k.bikes_lag2 AS kb2, k.docks_lag2 AS kk2, k.u1 AS ku1, k.u2 AS ku2,
+  {_PAST},
   k.num_bikes_available AS kb0, k.num_docks_available AS kk0,
-  c.bikes_lag1 AS cb1, c.docks_lag1 AS ck1, c.bikes_lag2 AS cb2, c.docks_lag2 AS ck2, c.num_bikes_available AS cb0, c.num_docks_available AS ck0,
-  c.jf AS f0, c.f1, c.f2, {K.hash_sql("'0|scenario|' || k.station_id || '|' || k.period_id")} AS draw
+  c.num_bikes_available AS cb0, c.num_docks_available AS ck0, c.jf AS f0, {K.hash_sql("'0|scenario|' || k.station_id || '|' || k.period_id")} AS draw
 FROM side_k k JOIN side_c c USING (feed_id, period_id, station_id, us)
-WHERE k.label IS NOT NULL AND k.bikes_lag1 IS NOT NULL AND k.bikes_lag2 IS NOT NULL AND c.bikes_lag1 IS NOT NULL AND c.bikes_lag2 IS NOT NULL
-  AND (k.bikes_lag1 <> c.bikes_lag1 OR k.bikes_lag2 <> c.bikes_lag2) AND (c.jf OR c.f1 OR c.f2) AND NOT (k.jf OR k.f1 OR k.f2)
+WHERE k.label IS NOT NULL AND k.proba IS NOT NULL AND c.proba IS NOT NULL
+  AND (k.bikes_lag1 <> c.bikes_lag1 OR k.bikes_lag2 <> c.bikes_lag2 OR k.bikes_lag5 <> c.bikes_lag5 OR k.bikes_lag15 <> c.bikes_lag15)
+  AND (c.jf OR c.f1 OR c.f2 OR c.f5 OR c.f15) AND NOT (k.jf OR k.f1 OR k.f2 OR k.f5 OR k.f15)
   AND (round(k.proba, 3) >= 0.4::DOUBLE) = (k.proba >= 0.4::DOUBLE) AND (round(c.proba, 3) >= 0.4::DOUBLE) = (c.proba >= 0.4::DOUBLE)""")
 view("firsts", """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feed_id, station_id, flip ORDER BY draw, us) AS rn FROM candidates) WHERE rn = 1""")
@@ -163,8 +168,9 @@ def candidate_rows(spark, sf):
     exps = inject.experiments(spark, X.G).filter(F.col("experiment_id") == EXPERIMENT)
     changes = inject.inject_jump(base, exps, X.G)
     hit = inject.apply_changes(base, changes, exps).select(*base.columns)
-    clean = A.side_view(base, K.CFG, K.MODEL)
-    return materialise(A.scenario_candidates(clean, A.side_view(hit, K.CFG, K.MODEL), K.CFG, K.MODEL.tau), "candidates")
+    weather = adapters.weather(spark, sf)
+    clean = A.side_view(base, K.CFG, K.MODEL, weather)
+    return materialise(A.scenario_candidates(clean, A.side_view(hit, K.CFG, K.MODEL, weather), K.CFG, K.MODEL.tau), "candidates")
 
 
 @query("scenario_select", """
@@ -188,7 +194,7 @@ def _line(side: str, k: int, flag: str) -> str:
 
 
 def _text(side: str) -> str:
-    lines = " || chr(10) || ".join(_line(side, k, f"f{k}") for k in (2, 1, 0))
+    lines = " || chr(10) || ".join(_line(side, k, f"f{k}") for k in (15, 5, 2, 1, 0))
     return f"""
 'STATION Station ' || station_id || ' (id ' || station_id || ') - ' || strftime(timezone('Europe/Rome', timezone('UTC', make_timestamp(us))), '%Y-%m-%d %H:%M')
   || ' local time' || chr(10) || 'Recent polls (bikes available / free docks):' || chr(10) || {lines} || chr(10)

@@ -20,7 +20,16 @@ from pollgauge.sources import adapters
 CFG = QUARTER_HOURLY
 COSTS = CostModel()
 GRID = FaultGrid().scaled(15)
-MODEL = FrozenModel(0.4, {"bikes_lag1": -0.15, "bikes_lag2": -0.02}, 0.4)
+MODEL = FrozenModel(
+    -0.4,
+    {
+        "bikes_lag1": -0.15, "bikes_lag2": -0.02, "bikes_lag5": -0.01, "bikes_lag15": -0.01,
+        "docks_lag1": 0.02, "docks_lag2": 0.01, "docks_lag5": 0.01, "docks_lag15": 0.01,
+        "hour": 0.02, "weekday": 0.04, "temp_c": 0.01, "precip_mm": 0.001,
+    },
+    0.4,
+)
+INPUTS = list(MODEL.coefficients)
 # Frozen split bounds of the driver data: 2024-01-24 00:00 and 2024-01-31 00:00 UTC.
 VAL_END_US = 1_706_054_400_000_000
 TEST_END_US = 1_706_659_200_000_000
@@ -71,19 +80,23 @@ def certified(spark, sf) -> DataFrame:
 
 
 def features(spark, sf) -> DataFrame:
-    return build_features(certified(spark, sf), CFG)
+    return build_features(certified(spark, sf), CFG, adapters.weather(spark, sf))
 
 
 def scored(spark, sf) -> DataFrame:
     return score(features(spark, sf), MODEL)
 
 
+view("received", """
+SELECT CAST(3 * (user_id // 240) + CASE WHEN s = 0 THEN 0 WHEN s < 4 THEN 1 ELSE 2 END AS VARCHAR) AS feed_id,
+       CAST(s - CASE WHEN s = 0 THEN 0 WHEN s < 4 THEN 1 ELSE 4 END AS VARCHAR) AS station_id, ts, value
+FROM (SELECT *, (event_id + k) % 8 AS s FROM events CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) t(k))""")
+
 view("status", """
-SELECT CAST(user_id // 60 AS VARCHAR) AS feed_id, CAST(user_id // 30 AS VARCHAR) AS station_id,
-       (epoch_us(ts) // 900000000) * 900000000 AS us,
+SELECT feed_id, station_id, (epoch_us(ts) // 900000000) * 900000000 AS us,
        CAST(least(20, floor(max(value) / 5)) AS INTEGER) AS num_bikes_available,
        20 - CAST(least(20, floor(max(value) / 5)) AS INTEGER) AS num_docks_available
-FROM events GROUP BY 1, 2, 3""")
+FROM received GROUP BY 1, 2, 3""")
 
 view("poll_flags", """
 SELECT feed_id, us,
@@ -116,32 +129,34 @@ view("certified", "SELECT * EXCLUDE (jump_flag) FROM flagged WHERE NOT jump_flag
 
 
 def lag_sql(source: str, keys: str, extra: str = "*") -> str:
-    """Features and label of `source` as a SELECT, for the two lags of the feed."""
+    """Features, weather and label of `source` as a SELECT, for the four lags of the feed."""
+    lags = ",\n  ".join(
+        f"CASE WHEN us - lag(us, {k}) OVER w <= {k * 1_350_000_000} THEN lag(num_{n}_available, {k}) OVER w END AS {n}_lag{k}"
+        for k in (1, 2, 5, 15) for n in ("bikes", "docks")
+    )
     return f"""
 SELECT {extra}, num_bikes_available <= 2 OR num_docks_available <= 2 AS critical,
-  CASE WHEN us - lag(us, 1) OVER w <= 1350000000 THEN lag(num_bikes_available, 1) OVER w END AS bikes_lag1,
-  CASE WHEN us - lag(us, 1) OVER w <= 1350000000 THEN lag(num_docks_available, 1) OVER w END AS docks_lag1,
-  CASE WHEN us - lag(us, 2) OVER w <= 2700000000 THEN lag(num_bikes_available, 2) OVER w END AS bikes_lag2,
-  CASE WHEN us - lag(us, 2) OVER w <= 2700000000 THEN lag(num_docks_available, 2) OVER w END AS docks_lag2,
+  {lags},
   CAST(hour(make_timestamp(us)) AS INTEGER) AS hour, CAST(isodow(make_timestamp(us)) - 1 AS INTEGER) AS weekday,
   CASE WHEN (lead(us, 4) OVER w) - us <= 5400000000
        THEN lead(num_bikes_available <= 2 OR num_docks_available <= 2, 4) OVER w END AS label
-FROM {source} WINDOW w AS (PARTITION BY {keys} ORDER BY us)"""
+FROM (SELECT s_.*, w_.temp_c, w_.precip_mm FROM {source} s_ LEFT JOIN weather w_ ON (s_.us // 3600000000) * 3600000000 = w_.hour_us)
+WINDOW w AS (PARTITION BY {keys} ORDER BY us)"""
 
 
 view("features", lag_sql("certified", "feed_id, period_id, station_id"))
-PROBA = "1 / (1 + exp(-(0.4::DOUBLE - 0.15::DOUBLE * bikes_lag1 - 0.02::DOUBLE * bikes_lag2)))"
-view("scored", f"""
-SELECT *, {PROBA} AS proba, {PROBA} >= 0.4::DOUBLE AS decision
-FROM features WHERE bikes_lag1 IS NOT NULL AND bikes_lag2 IS NOT NULL""")
+_TERMS = " + ".join(f"({w})::DOUBLE * {name}" for name, w in MODEL.coefficients.items())
+PROBA = f"1 / (1 + exp(-(({MODEL.intercept})::DOUBLE + {_TERMS})))"
+# A row that lacks an input, weather too, is not scored.
+PRESENT = " AND ".join(f"{c} IS NOT NULL" for c in INPUTS)
+view("scored", f"SELECT *, {PROBA} AS proba, {PROBA} >= 0.4::DOUBLE AS decision FROM features WHERE {PRESENT}")
 view("feed_polls", """
 SELECT CAST(user_id // 60 AS VARCHAR) AS feed_id, event_id, epoch_us(ts) AS request_us,
        epoch_us(ts) - CAST(floor(value) AS BIGINT) * 1000000 AS last_updated_us, md5(event_type) AS payload_sha256
 FROM events""")
 view("registry", """
 SELECT feed_id, station_id, 'Station ' || station_id AS name, 20 AS capacity
-FROM (SELECT DISTINCT CAST(user_id // 60 AS VARCHAR) AS feed_id, CAST(user_id // 30 AS VARCHAR) AS station_id FROM events
-      UNION SELECT DISTINCT CAST(user_id // 60 AS VARCHAR), 'absent-' || CAST(user_id // 60 AS VARCHAR) FROM events)""")
+FROM (SELECT DISTINCT feed_id, station_id FROM received UNION SELECT DISTINCT feed_id, 'absent-' || feed_id FROM received)""")
 view("weather", """
 SELECT * FROM (
   SELECT (epoch_us(ts) // 3600000000) * 3600000000 AS hour_us, avg(value) AS temp_c,

@@ -12,6 +12,7 @@ from pollgauge.operators.repair import safeguard_repair
 from pollgauge.plans import common as K
 from pollgauge.plans.catalog import query, view
 from pollgauge.session import materialise, work_path
+from pollgauge.sources import adapters
 from pollgauge.sources import delta_store
 
 PK = (*PERIOD_SERIES, US)
@@ -137,7 +138,7 @@ view("corrupted_kept", "SELECT * FROM corrupted WHERE NOT removed")
 _EK = "experiment_id, feed_id, period_id, station_id"
 view("corrupted_scored", f"""
 SELECT {_EK}, us, {K.PROBA} AS proba, {K.PROBA} >= 0.4::DOUBLE AS decision
-FROM ({K.lag_sql("corrupted_kept", _EK)}) WHERE bikes_lag1 IS NOT NULL AND bikes_lag2 IS NOT NULL""")
+FROM ({K.lag_sql("corrupted_kept", _EK)}) WHERE {K.PRESENT}""")
 view("repair_flags", f"""
 SELECT *, CASE WHEN class = 'class2_frozen' THEN
     min(num_bikes_available) OVER f = max(num_bikes_available) OVER f
@@ -155,7 +156,7 @@ SELECT * FROM (SELECT experiment_id, class, intensity_idx, seed, feed_id, period
 WHERE num_bikes_available IS NOT NULL AND num_docks_available IS NOT NULL""")
 view("recovered_scored", f"""
 SELECT {_EK}, us, {K.PROBA} AS proba, {K.PROBA} >= 0.4::DOUBLE AS decision
-FROM ({K.lag_sql("recovered", _EK)}) WHERE bikes_lag1 IS NOT NULL AND bikes_lag2 IS NOT NULL""")
+FROM ({K.lag_sql("recovered", _EK)}) WHERE {K.PRESENT}""")
 view("true_labels", f"""
 SELECT {_EK}, us, lead(true_available <= 2 OR num_docks_available <= 2, 4)
   OVER (PARTITION BY experiment_id, feed_id, station_id ORDER BY us) AS true_label
@@ -210,7 +211,7 @@ def changes_of(spark, sf, *classes):
 
 def experiment_results(spark, sf):
     base, periods = K.test_rows(spark, sf)
-    clean = materialise(evaluate.clean_scores(base, K.CFG, K.MODEL), "clean")
+    clean = materialise(evaluate.clean_scores(base, K.CFG, K.MODEL, adapters.weather(spark, sf)), "clean")
     changes = materialise(K.change_rows(base, periods), "changes")
     return evaluate.evaluate_experiments(clean, changes, inject.experiments(spark, G), K.CFG, K.MODEL, K.COSTS)
 

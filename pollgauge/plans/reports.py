@@ -16,7 +16,7 @@ from pollgauge.sources import adapters
 
 PK = (*PERIOD_SERIES, US)
 PK_SQL = "feed_id, period_id, station_id, us"
-FEAT = K.CFG.feature_columns
+FEAT = K.INPUTS
 tidy = X.tidy
 
 # ---- collection and periods ---------------------------------------------------------------
@@ -29,7 +29,7 @@ def collection_profile(spark, sf):
     return profile.collection_profile(K.status(spark, sf))
 
 
-view("usable", "SELECT * FROM features WHERE bikes_lag1 IS NOT NULL AND bikes_lag2 IS NOT NULL AND label IS NOT NULL")
+view("usable", f"SELECT * FROM features WHERE {K.PRESENT} AND label IS NOT NULL")
 view("census", """
 SELECT p.feed_id, p.period_id, p.day, p.start_us, p.end_us, p.duration_h, p.polls, r.stations, r.observations,
   r.jump_rows_excluded, k.frozen_rows_flagged_kept, k.observations_clean, k.observations_forecastable,
@@ -447,20 +447,20 @@ def _full_copies(spark, sf, fault_class):
     base, periods = K.test_rows(spark, sf)
     exps = inject.experiments(spark, X.G).filter(F.col("class") == fault_class)
     full = inject.apply_changes(base, K.change_rows(base, periods, [fault_class]), exps)
-    clean = model.score(build_features(base, K.CFG), K.MODEL).filter(F.col("label").isNotNull())
+    clean = model.score(build_features(base, K.CFG, adapters.weather(spark, sf)), K.MODEL).filter(F.col("label").isNotNull())
     return base, materialise(full, "full"), clean, exps
 
 
-def _scored_copies(rows):
+def _scored_copies(rows, weather):
     keys = ("experiment_id", *PERIOD_SERIES)
-    return model.score(build_features(rows, K.CFG, keys=keys, label=False), K.MODEL).select(*keys, US, "proba", "decision")
+    return model.score(build_features(rows, K.CFG, weather, keys=keys, label=False), K.MODEL).select(*keys, US, "proba", "decision")
 
 
 @query("clean_vs_corrupted", """
 SELECT experiment_id, feed_id, period_id, station_id, us, d_clean, d_corrupted, missing FROM merged WHERE class = 'class1_dropout'""")
 def clean_vs_corrupted(spark, sf):
     _, full, clean, exps = _full_copies(spark, sf, X.G.DROPOUT)
-    seen = _scored_copies(full.filter(~F.col("removed"))).select("experiment_id", *PK, F.col("decision").alias("_d"))
+    seen = _scored_copies(full.filter(~F.col("removed")), adapters.weather(spark, sf)).select("experiment_id", *PK, F.col("decision").alias("_d"))
     rows = clean.select(*PK, F.col("decision").alias("d_clean")).crossJoin(F.broadcast(exps.select("experiment_id")))
     return rows.join(seen, ["experiment_id", *PK], "left").select(
         "experiment_id", *PK, "d_clean", C.true_when(F.col("_d")).alias("d_corrupted"), F.col("_d").isNull().alias("missing")
@@ -486,8 +486,9 @@ def recovered_join(spark, sf):
 
     _, full, clean, exps = _full_copies(spark, sf, X.G.JUMP)
     keys = ("experiment_id", *PERIOD_SERIES)
-    seen = _scored_copies(full).select(*keys, US, F.col("decision").alias("_c"))
-    mended = _scored_copies(safeguard_repair(full, X.G.JUMP, K.CFG, keys)).select(*keys, US, F.col("decision").alias("_r"))
+    weather = adapters.weather(spark, sf)
+    seen = _scored_copies(full, weather).select(*keys, US, F.col("decision").alias("_c"))
+    mended = _scored_copies(safeguard_repair(full, X.G.JUMP, K.CFG, keys), weather).select(*keys, US, F.col("decision").alias("_r"))
     rows = clean.select(*PK).crossJoin(F.broadcast(exps.select("experiment_id")))
     joined = rows.join(seen, [*keys, US], "left").join(mended, [*keys, US], "left")
     c = C.true_when(F.col("_c"))
@@ -496,16 +497,17 @@ def recovered_join(spark, sf):
 
 @query("feature_pair_join", f"""
 SELECT c.experiment_id, {", ".join("k." + c for c in PK_SQL.split(", "))}, round(k.proba, 6) AS proba_k, round(c.proba, 6) AS proba_c,
-  c.bikes_lag1 <> k.bikes_lag1 OR c.bikes_lag2 <> k.bikes_lag2 AS touched
+  c.bikes_lag1 <> k.bikes_lag1 OR c.bikes_lag2 <> k.bikes_lag2 OR c.bikes_lag5 <> k.bikes_lag5 OR c.bikes_lag15 <> k.bikes_lag15 AS touched
 FROM scored k JOIN (SELECT *, {K.PROBA} AS proba FROM ({K.lag_sql("(SELECT * FROM corrupted WHERE class = 'class5_jump')", X._EK)})) c
-USING (feed_id, period_id, station_id, us) WHERE c.bikes_lag1 IS NOT NULL AND c.bikes_lag2 IS NOT NULL""")
+USING (feed_id, period_id, station_id, us) WHERE c.proba IS NOT NULL""")
 def feature_pair_join(spark, sf):
     base, periods = K.test_rows(spark, sf)
     exps = inject.experiments(spark, X.G).filter(F.col("class") == X.G.JUMP)
     full = inject.apply_changes(base, K.change_rows(base, periods, [X.G.JUMP]), exps)
     keys = ("experiment_id", *PERIOD_SERIES)
-    seen = model.score(build_features(full, K.CFG, keys=keys, label=False), K.MODEL)
-    clean = model.score(build_features(base, K.CFG), K.MODEL)
+    weather = adapters.weather(spark, sf)
+    seen = model.score(build_features(full, K.CFG, weather, keys=keys, label=False), K.MODEL)
+    clean = model.score(build_features(base, K.CFG, weather), K.MODEL)
     return feature_pairs(clean, seen)
 
 
@@ -545,7 +547,7 @@ def end_to_end(spark, sf):
     base = materialise(K.certified(spark, sf), "base")
     exps = inject.experiments(spark, X.G).filter((F.col("class") == X.G.JUMP) & (F.col("seed") == 0))
     changes = materialise(inject.inject_jump(base, exps, X.G), "changes")
-    clean = materialise(evaluate.clean_scores(base, K.CFG, K.MODEL), "clean")
+    clean = materialise(evaluate.clean_scores(base, K.CFG, K.MODEL, adapters.weather(spark, sf)), "clean")
     rows = evaluate.evaluate_experiments(clean, changes, exps, K.CFG, K.MODEL, K.COSTS)
     return tidy(rows, "delta_cost").select(
         "intensity_idx", "n_rows", "n_flips", "n_dispatches_clean", "n_dispatches_corrupted", "delta_cost"

@@ -16,6 +16,7 @@ from pollgauge.sources import adapters
 
 KEY = [*SERIES, US]
 PKEY = [*PERIOD_SERIES, US]
+LAGS_SQL = "bikes_lag1, docks_lag1, bikes_lag2, docks_lag2, bikes_lag5, docks_lag5, bikes_lag15, docks_lag15"
 K_SQL = "feed_id, station_id, us"
 PK_SQL = "feed_id, period_id, station_id, us"
 W_SERIES = "PARTITION BY feed_id, station_id ORDER BY us"
@@ -61,16 +62,16 @@ def hour_floor(spark, sf):
 
 
 @query("forecastable_filter", f"""
-SELECT {PK_SQL}, bikes_lag1, docks_lag1, bikes_lag2, docks_lag2, label FROM features
-WHERE bikes_lag1 IS NOT NULL AND bikes_lag2 IS NOT NULL AND label IS NOT NULL""")
+SELECT {PK_SQL}, {LAGS_SQL}, label FROM features
+WHERE {K.PRESENT} AND label IS NOT NULL""")
 def forecastable_filter(spark, sf):
-    cols = K.CFG.feature_columns
-    return forecastable(K.features(spark, sf), cols).select(*PKEY, *cols, "label")
+    cols = K.INPUTS
+    return forecastable(K.features(spark, sf), cols).select(*PKEY, *K.CFG.feature_columns, "label")
 
 
 @query("labelled_rows_only", f"SELECT {PK_SQL}, label FROM features WHERE label IS NOT NULL")
 def labelled_rows_only(spark, sf):
-    return K.features(spark, sf).filter(F.col("label").isNotNull()).select(*PKEY, "label")
+    return build_features(K.certified(spark, sf), K.CFG).filter(F.col("label").isNotNull()).select(*PKEY, "label")
 
 
 @query("test_period_filter", f"""
@@ -112,7 +113,7 @@ def exclude_flagged(spark, sf):
 
 
 @query("gap_checked_lag", f"""
-SELECT {K_SQL}, bikes_lag1, docks_lag1, bikes_lag2, docks_lag2
+SELECT {K_SQL}, {LAGS_SQL}
 FROM ({K.lag_sql("status", "feed_id, station_id")})""")
 def gap_checked_lag(spark, sf):
     rows = build_features(K.status(spark, sf), K.CFG, keys=SERIES, label=False)
@@ -233,11 +234,13 @@ def key_uniqueness_guard(spark, sf):
 @query("boundary_probe", f"""
 SELECT feed_id, period_id, count(*) FILTER (WHERE rn <= 1 AND bikes_lag1 IS NOT NULL) AS early_lag1,
   count(*) FILTER (WHERE rn <= 2 AND bikes_lag2 IS NOT NULL) AS early_lag2,
+  count(*) FILTER (WHERE rn <= 5 AND bikes_lag5 IS NOT NULL) AS early_lag5,
+  count(*) FILTER (WHERE rn <= 15 AND bikes_lag15 IS NOT NULL) AS early_lag15,
   count(*) FILTER (WHERE rd <= 4 AND label IS NOT NULL) AS late_labels, count(*) AS n
 FROM (SELECT *, row_number() OVER ({W_PERIOD}) AS rn, row_number() OVER ({W_PERIOD} DESC) AS rd FROM features)
 GROUP BY 1, 2""")
 def boundary_probe(spark, sf):
-    numbered = Blocks(K.features(spark, sf), PERIOD_SERIES, K.CFG.block_us).running_sum("rn", F.lit(1)).frame()
+    numbered = Blocks(build_features(K.certified(spark, sf), K.CFG), PERIOD_SERIES, K.CFG.block_us).running_sum("rn", F.lit(1)).frame()
     totals = numbered.groupBy(*PERIOD_SERIES).agg(F.max("rn").alias("_rows"))
     rows = numbered.join(totals, list(PERIOD_SERIES)).withColumn("rd", F.col("_rows") - F.col("rn") + 1)
     probes = [
@@ -356,9 +359,9 @@ def registry_anti(spark, sf):
 
 
 @query("build_features", f"""
-SELECT {PK_SQL}, critical, bikes_lag1, docks_lag1, bikes_lag2, docks_lag2, hour, weekday,
+SELECT {PK_SQL}, critical, {LAGS_SQL}, hour, weekday,
        round(temp_c, 6) AS temp_c, precip_mm, label
-FROM features f LEFT JOIN weather w ON (f.us // 3600000000) * 3600000000 = w.hour_us""")
+FROM features""")
 def build_features_query(spark, sf):
     rows = build_features(K.certified(spark, sf), K.CFG, adapters.weather(spark, sf))
     return rows.select(

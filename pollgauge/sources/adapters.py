@@ -1,8 +1,10 @@
 """Views of the driver tables as feed data.
 
-Stations are groups of neighbouring users and feeds are groups of two stations,
-so the number of stations and feeds grows with the data while the density of one
-station stays the same.
+An area is 240 neighbouring users.  Its readings reach six of its eight stations each,
+and its stations form three feeds of one, three and four stations, named alike in every
+feed.  So stations and feeds grow with the data, the density of a station stays the same,
+and most rows lie in periods long enough for the longest lag.  Polls, logs and documents
+need no such density: their feeds are two groups of thirty users.
 """
 
 from __future__ import annotations
@@ -13,6 +15,9 @@ from pyspark.sql import functions as F
 from pollgauge.config import BIKES, DOCKS, FEED, SECOND_US, STATION, US
 from pollgauge.functions.columns import floor_to, hash32, hour_us, micros
 
+USERS_PER_AREA = 240
+STATIONS_PER_AREA = 8
+REACH = 6  # stations of its area that a reading reaches
 USERS_PER_STATION = 30
 STATIONS_PER_FEED = 2
 CAPACITY = 20
@@ -28,14 +33,29 @@ def _group_of_users(size: int) -> Column:
     return F.expr(f"cast(user_id div {size} as string)")
 
 
+def received(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reading at each station that it reaches, with the station's feed."""
+    places = F.sequence(F.col("event_id"), F.col("event_id") + (REACH - 1))
+    place = F.explode(F.transform(places, lambda p: p % STATIONS_PER_AREA)).alias("place")
+    # The first place is a feed, the next three are one, and the last four.
+    feed = F.when(F.col("place") == 0, 0).when(F.col("place") < 4, 1).otherwise(2)
+    first = F.when(F.col("place") == 0, 0).when(F.col("place") < 4, 1).otherwise(4)
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "value", place)
+    return rows.select(
+        (F.expr(f"user_id div {USERS_PER_AREA}") * 3 + feed).cast("string").alias(FEED),
+        (F.col("place") - first).cast("string").alias(STATION), "ts", "value",
+    )
+
+
 def status(spark: SparkSession, sf_dir: str, station: Column | None = None, feed: Column | None = None) -> DataFrame:
     """Quarter-hourly status rows: the fullest reading of the slot, capacity 20."""
-    st = _group_of_users(USERS_PER_STATION) if station is None else station
-    fd = _group_of_users(USERS_PER_STATION * STATIONS_PER_FEED) if feed is None else feed
+    if station is None:
+        rows = received(spark, sf_dir)
+    else:
+        rows = table(spark, sf_dir, "events").select(feed.alias(FEED), station.alias(STATION), "ts", "value")
     bikes = F.least(F.lit(CAPACITY), F.floor(F.max("value") / 5)).cast("int")
     return (
-        table(spark, sf_dir, "events")
-        .groupBy(fd.alias(FEED), st.alias(STATION), floor_to(micros("ts"), POLL_US).alias(US))
+        rows.groupBy(FEED, STATION, floor_to(micros("ts"), POLL_US).alias(US))
         .agg(bikes.alias(BIKES))
         .withColumn(DOCKS, F.lit(CAPACITY) - F.col(BIKES))
     )
@@ -63,14 +83,7 @@ def feed_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every station of the feed, one that never reports, and their capacity."""
-    seen = (
-        table(spark, sf_dir, "events")
-        .select(
-            _group_of_users(USERS_PER_STATION * STATIONS_PER_FEED).alias(FEED),
-            _group_of_users(USERS_PER_STATION).alias(STATION),
-        )
-        .distinct()
-    )
+    seen = received(spark, sf_dir).select(FEED, STATION).distinct()
     absent = seen.select(FEED, F.concat_ws("-", F.lit(ABSENT), FEED).alias(STATION)).distinct()
     return (
         seen.unionByName(absent)
@@ -141,7 +154,7 @@ def snapshot_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(bikes.alias(BIKES), F.floor(F.max(micros("ts")) / SECOND_US).alias("last_reported"))
     )
     entry = F.struct(STATION, BIKES, (F.lit(CAPACITY) - F.col(BIKES)).alias(DOCKS), "last_reported")
-    # A snapshot document holds the stations of one feed, four here.
+    # A snapshot document holds the stations of one feed, two here.
     docs = rows.groupBy(FEED, US).agg(F.sort_array(F.collect_list(entry)).alias("stations"))
     late = F.when(hash32("late", F.col(FEED), F.col(US)) % 5 == 0, 3600).otherwise(0)
     updated = ((F.col(US) / SECOND_US).cast("bigint") - late).alias("last_updated")
@@ -193,7 +206,7 @@ def registry_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answers(flagged: DataFrame) -> DataFrame:
     """Replies to every flagged row under each condition and configuration; some are malformed."""
     spots = flagged.filter("jump_flag").select(
-        F.concat_ws("-", STATION, US).alias("scenario_id"), F.col(BIKES).alias("b"), F.col(DOCKS).alias("d")
+        F.concat_ws("-", FEED, STATION, US).alias("scenario_id"), F.col(BIKES).alias("b"), F.col(DOCKS).alias("d")
     )
     cells = (
         spots.withColumn("model", F.explode(F.array(F.lit("m1"), F.lit("m2"))))
