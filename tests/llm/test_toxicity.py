@@ -1,9 +1,18 @@
 """Ordinal regression: gradients, order of grades, held-out accuracy, messy rows."""
 
+import math
+import re
+import sys
+from collections import Counter
+from pathlib import Path
+
 import numpy as np
 
 from pollgauge.llm.registry import table
-from pollgauge.llm.toxicity import OrdinalModel, drop_toxic, fit_ordinal, fit_toxicity, graded, logistic, severity, word_keys
+from pollgauge.llm.toxicity import CUT, OrdinalModel, drop_toxic, fit_ordinal, fit_toxicity, graded, logistic, severity, toxicity_severity, word_keys
+
+sys.path.insert(0, str(Path(__file__).parent))
+from plain import plain_hash, signed, spread  # noqa: E402
 
 
 def loss(model, row, word, count, grade, grades=3):
@@ -100,3 +109,26 @@ def test_a_repeated_labelled_key_is_fitted_once(spark):
     docs = spark.createDataFrame([(1, f"bad word{i % 3} more") for i in range(300)] + [(i, "kind words here") for i in range(2, 12)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 12)], "doc_id bigint, toxic int")
     assert len(labelled_words(docs, labels, "doc_id", "text", 100)[3]) == 11
+
+
+def plain_severity(text, weights, thresholds):
+    """Severity of one text, word by word, with the fitted weights by feature."""
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").lower().encode())
+    seen = Counter(signed(plain_hash(w)) for w in words)
+    seen.update(signed(spread((plain_hash(w[:n]) + n) & (1 << 64) - 1)) for w in words for n in (4, 5, 6, 7) if len(w) > n)
+    score = math.fsum(weights.get(k, 0.0) * math.log1p(n) for k, n in seen.items()) if words else -math.inf
+    above = [1 / (1 + math.exp(min(t - score, 700))) for t in thresholds]
+    share = [a - b for a, b in zip([1.0, *above], [*above, 0.0])]
+    return sum(above), share.index(max(share)), above[0] >= CUT
+
+
+def test_query_against_plain_python(spark, sf_texts):
+    """Every row of the query at sf0.01; the fit is taken as given."""
+    sf = "/root/testdata/sf0.01"
+    model = fit_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    weights = dict(zip(model.words.tolist(), model.weights.tolist()))
+    want = {d: plain_severity(text, weights, model.thresholds.tolist()) for d, text, *_ in sf_texts}
+    got = {r.doc_id: r for r in toxicity_severity(spark, sf).collect()}
+    assert got.keys() == want.keys() and len(weights) > 0 and any(w[2] for w in want.values())
+    for d, (expected, grade, toxic) in want.items():
+        assert abs(got[d].expected_severity - expected) < 1e-9 and (got[d].grade, got[d].toxic) == (grade, toxic)
