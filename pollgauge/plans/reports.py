@@ -37,9 +37,9 @@ SELECT p.feed_id, p.period_id, p.day, p.start_us, p.end_us, p.duration_h, p.poll
 FROM periods p JOIN (SELECT feed_id, period_id, count(DISTINCT station_id) AS stations, count(*) AS observations,
     count(*) FILTER (WHERE jump_flag) AS jump_rows_excluded FROM flagged GROUP BY 1, 2) r USING (feed_id, period_id)
 JOIN (SELECT feed_id, period_id, count(*) FILTER (WHERE frozen) AS frozen_rows_flagged_kept, count(*) AS observations_clean,
-    count(*) FILTER (WHERE bikes_lag1 IS NOT NULL AND bikes_lag2 IS NOT NULL AND label IS NOT NULL) AS observations_forecastable,
+    count(*) FILTER (WHERE bikes_lag1 IS NOT NULL AND bikes_lag2 IS NOT NULL AND bikes_lag5 IS NOT NULL AND bikes_lag15 IS NOT NULL AND label IS NOT NULL) AS observations_forecastable,
     count(*) FILTER (WHERE critical) AS critical_observations,
-    count(*) FILTER (WHERE bikes_lag1 IS NOT NULL AND bikes_lag2 IS NOT NULL AND label) AS label_positive
+    count(*) FILTER (WHERE bikes_lag1 IS NOT NULL AND bikes_lag2 IS NOT NULL AND bikes_lag5 IS NOT NULL AND bikes_lag15 IS NOT NULL AND label) AS label_positive
   FROM (SELECT *, min(num_bikes_available) OVER f = max(num_bikes_available) OVER f
            AND min(num_docks_available) OVER f = max(num_docks_available) OVER f AS frozen FROM features
         WINDOW f AS (PARTITION BY feed_id, period_id, station_id ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW))
