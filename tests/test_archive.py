@@ -76,3 +76,43 @@ def test_log_keeps_error_text_out_of_the_hash(spark, tmp_path):
 
     rows = parse_log(S.acquisition_log_scan(spark, str(tmp_path))).orderBy("ts").collect()
     assert [(r["payload"], r["error_kind"]) for r in rows] == [("abcd", None), (None, "Timeout")]
+
+
+def test_an_archive_has_a_folder_for_each_feed_and_is_read_by_tasks(spark, tmp_path):
+    at = 1_767_225_600
+    docs = [("a +%b", f"20260101T00{m:02}00Z", poll(at + 60 * m, [(1, m, 10)])) for m in range(12)]
+    docs += [(None, "20260101T000000Z", poll(at, [(1, 5, 5)])), ("c/d", None, poll(at, [(1, 6, 6)]))]
+    docs += [("e", "20260101T000000Z", t) for t in (poll(at, [(1, 7, 7)]), poll(at + 1, [(1, 8, 8)]), None)]
+    path = str(tmp_path / "archive")
+    S.write_archive(spark.createDataFrame(docs, "feed_id string, request string, value string"), path)
+    assert sorted(p.name for p in (tmp_path / "archive").iterdir()) == [
+        "feed_id=__HIVE_DEFAULT_PARTITION__", "feed_id=a +%25b", "feed_id=c%2Fd", "feed_id=e",
+    ]
+    assert not [p for p in (tmp_path / "archive").glob("*/*") if p.is_dir()]
+    files = S.snapshot_files(spark, path)
+    # A Spark file index holds every file on the driver; here the files are rows.
+    assert "FileScan json" not in files._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["feed_id"] or "", r["request"], r["last_updated"]) for r in files.collect())
+    assert got == sorted(
+        [("a +%b", f"20260101T00{m:02}00Z", at + 60 * m) for m in range(12)]
+        + [("", "20260101T000000Z", at), ("c/d", "", at), ("e", "20260101T000000Z", at)]
+    )
+    assert S.lost_files(spark, path, files).count() == 0
+
+
+def test_texts_that_do_not_decode_and_whole_texts_of_torn_files(spark, tmp_path):
+    import bz2
+
+    day = tmp_path / "feed_id=f"
+    day.mkdir()
+    text = poll(1_767_225_600, [(1, 5, 10)])
+    (day / "20260101T000000Z.json.gz").write_bytes(gzip.compress(text.encode())[:-8])  # the sum at the end is gone
+    (day / "20260101T000100Z.json").write_bytes(b"\xff" + text.encode())
+    (day / "20260101T000200Z.json.bz2").write_bytes(bz2.compress(text.encode("utf-16")))
+    (day / "20260101T000300Z.json").write_bytes(f"[{text}, {text}]".encode())
+    files = S.snapshot_files(spark, str(tmp_path))
+    got = sorted((r["request"], r["last_updated"]) for r in files.collect())
+    at = 1_767_225_600
+    assert got == [("20260101T000000Z", at), ("20260101T000100Z", None), ("20260101T000200Z", at), ("20260101T000300Z", at), ("20260101T000300Z", at)]
+    lost = {r["name"]: r["reason"] for r in S.lost_files(spark, str(tmp_path), files).collect()}
+    assert lost == {"feed_id=f/20260101T000100Z.json": "malformed"}
