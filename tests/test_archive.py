@@ -116,3 +116,13 @@ def test_texts_that_do_not_decode_and_whole_texts_of_torn_files(spark, tmp_path)
     assert got == [("20260101T000000Z", at), ("20260101T000100Z", None), ("20260101T000200Z", at), ("20260101T000300Z", at), ("20260101T000300Z", at)]
     lost = {r["name"]: r["reason"] for r in S.lost_files(spark, str(tmp_path), files).collect()}
     assert lost == {"feed_id=f/20260101T000100Z.json": "malformed"}
+
+
+def test_a_broken_registry_file_is_an_error(spark, tmp_path):
+    (tmp_path / "feed_id=f").mkdir()
+    text = json.dumps({"data": {"stations": [{"station_id": "1", "name": "x", "capacity": 3}]}})
+    (tmp_path / "feed_id=f" / "20260101.json.gz").write_bytes(gzip.compress(text.encode()))
+    assert [tuple(r)[2:] for r in S.registry_scan(spark, str(tmp_path)).collect()] == [("1", "x", 3)]
+    (tmp_path / "feed_id=f" / "20260102.json.gz").write_bytes(gzip.compress(text.encode())[:30])
+    with pytest.raises(Exception, match="end-of-stream"):
+        S.registry_scan(spark, str(tmp_path)).collect()
