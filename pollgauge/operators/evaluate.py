@@ -5,7 +5,7 @@ rows, and a changed row can reach only as far as the longest valid lag plus one
 episode gap.  So these experiments are rescored only in the time blocks that a
 change can reach, and all other rows keep their clean result.  Frozen and jump
 faults are followed by a repair that acts on every row, so these experiments
-are rescored in full.  A silent fault changes no decision, only the outcome.
+are rescored in full, side by side in the clean rows.  A silent fault changes no decision, only the outcome.
 """
 
 from __future__ import annotations
@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pollgauge.config import (
-    BIKES, DOCKS, PERIOD_SERIES, SECOND_US, US, CostModel, FaultGrid, FeedConfig, FrozenModel,
+    BIKES, DOCKS, PERIOD_SERIES, US, CostModel, FaultGrid, FeedConfig, FrozenModel,
 )
 from pollgauge.functions.columns import block_of, count_if, logistic, true_when
 from pollgauge.operators.cost import recovery_rate, total_cost
-from pollgauge.operators.detect import frozen_rows
 from pollgauge.operators.features import build_features, with_lags
-from pollgauge.operators.inject import EXPERIMENT, VALUES, apply_changes
-from pollgauge.operators.sequence import BLOCK, HOME, Blocks, at_home, near_window, neighbourhood
+from pollgauge.operators.inject import EXPERIMENT, VALUES, ids_of, side_by_side
+from pollgauge.operators.repair import safeguard_repair
+from pollgauge.operators.sequence import BLOCK, HOME, at_home, near_window, neighbourhood
 from pollgauge.session import materialise
 
 SERIES_OF_EXPERIMENT = ("experiment_id", *PERIOD_SERIES)
@@ -60,11 +60,11 @@ def clean_totals(clean: DataFrame) -> DataFrame:
     )
 
 
-def _rescore(near: DataFrame, cfg: FeedConfig, model: FrozenModel, repaired: bool) -> DataFrame:
+def _rescore(near: DataFrame, cfg: FeedConfig, model: FrozenModel) -> DataFrame:
     """Sums per experiment over the home rows of `near`.
 
-    Removed rows (and rows that the repair drops) form window groups of their own,
-    so the lags of the remaining rows skip them while the rows stay in the frame.
+    Removed rows form window groups of their own, so the lags of the remaining rows
+    skip them while the rows stay in the frame.
     """
     # All windows below group by (series, block) and more, so this shuffle serves them all.
     rows = near.repartition(*SERIES_OF_EXPERIMENT, BLOCK)
@@ -73,17 +73,14 @@ def _rescore(near: DataFrame, cfg: FeedConfig, model: FrozenModel, repaired: boo
     proba = F.when(~F.col("removed"), logistic(model, "c_"))
     rows = rows.withColumn("c_proba", proba)
     rows = rows.withColumn("c_decision", true_when(F.col("c_proba") >= model.tau))
-    if repaired:
-        kept = Window.partitionBy(*SERIES_OF_EXPERIMENT, BLOCK, "dropped").orderBy(US)
-        rows = with_lags(rows, cfg, kept, "r_bikes", "r_docks", "r_")
-        r_proba = F.when(~F.col("dropped"), logistic(model, "r_"))
-        rows = rows.withColumn("r_decision", F.coalesce(r_proba >= model.tau, F.col("c_decision")))
     rows = rows.filter("counted")
     among = Window.partitionBy(*SERIES_OF_EXPERIMENT, BLOCK).orderBy(US)
     rows = rows.withColumn("c_start", _starts("c_decision", among, cfg))
-    if repaired:
-        rows = rows.withColumn("r_start", _starts("r_decision", among, cfg))
-    home = rows.filter(HOME)
+    return _sums(rows.filter(HOME), repaired=False)
+
+
+def _sums(home: DataFrame, repaired: bool) -> DataFrame:
+    """Sums per experiment of counted rows; `r_` columns are there if `repaired`."""
     label, was = F.col("label"), F.col("decision")
 
     def extra(cond):
@@ -126,39 +123,60 @@ def local_effects(clean: DataFrame, changes: DataFrame, cfg: FeedConfig, model:
         .withColumn("c_bikes", F.when(hit, F.col(f"new.{BIKES}")).otherwise(F.col(BIKES)))
         .withColumn("c_docks", F.when(hit, F.col(f"new.{DOCKS}")).otherwise(F.col(DOCKS)))
     )
-    return _rescore(rows, cfg, model, repaired=False)
+    return _rescore(rows, cfg, model)
+
+
+def repaired_decisions(
+    clean: DataFrame, changes: DataFrame, fault_class: str, ids: list[str], cfg: FeedConfig, model: FrozenModel
+) -> DataFrame:
+    """Counted rows with `c_decision` and `r_decision`, before and after the repair: arrays in the order of `ids`.
+
+    Frozen and jump faults remove no row, so their experiments share the clean rows' times and lie side by side. The
+    repair drops rows at the start of a series only, where a null reading stands for no row. Complete at `HOME` rows.
+    """
+    n = len(ids)
+    rows = side_by_side(_carried(clean), changes.filter(F.col("class") == fault_class), ids)
+    near = safeguard_repair(rows, fault_class, cfg, copies=n)
+    near = near.withColumns({f"r_{name}": F.transform("good", lambda g: g[name]) for name in ("bikes", "docks")})
+    near = near.withColumn("dropped", F.transform("good", lambda g: g.isNull())).drop("good")
+    near = neighbourhood(near, _reach_us(cfg), 0, cfg.block_us).repartition(*PERIOD_SERIES, BLOCK)
+    places = F.array(*[F.lit(i) for i in range(n)])
+    w = near_window(PERIOD_SERIES)
+    rows = with_lags(with_lags(near, cfg, w, "c_bikes", "c_docks", "c_"), cfg, w, "r_bikes", "r_docks", "r_")
+    rows = rows.filter("counted").withColumn("c_proba", F.transform(places, lambda i: logistic(model, "c_", i)))
+    rows = rows.withColumn("c_decision", F.transform("c_proba", lambda p: true_when(p >= model.tau)))
+    mended = lambda i: F.when(~F.get("dropped", i), logistic(model, "r_", i) >= model.tau)
+    return rows.withColumn("r_decision", F.transform(places, lambda i: F.coalesce(mended(i), F.get("c_decision", i))))
 
 
 def repaired_effects(
     clean: DataFrame, changes: DataFrame, exps: DataFrame, cfg: FeedConfig, model: FrozenModel
 ) -> DataFrame:
     """Sums of the frozen and jump experiments, before and after the repair."""
-    carried = _carried(clean)
     parts = []
     for fault_class in (FaultGrid.FROZEN, FaultGrid.JUMP):
-        ours = exps.filter(F.col("class") == fault_class)
-        rows = apply_changes(carried, changes.filter(F.col("class") == fault_class), ours)
-        rows = rows.drop("true_available", *EXPERIMENT[1:])
-        if fault_class == FaultGrid.FROZEN:
-            flagged = frozen_rows(rows, cfg.repair_window_s, cfg, SERIES_OF_EXPERIMENT)
-            blocks = Blocks(flagged, SERIES_OF_EXPERIMENT, cfg.block_us)
-            flag = F.col("frozen")
-        else:
-            blocks = Blocks(rows, SERIES_OF_EXPERIMENT, cfg.block_us).previous("_prev", [US, BIKES])
-            minutes = (F.col(US) - F.col("_prev.us")) / F.lit(60.0 * SECOND_US)
-            moved = F.abs(F.col(BIKES) - F.col(f"_prev.{BIKES}"))
-            flag = true_when(moved > F.lit(cfg.max_flow_per_min) * minutes)
-        mended = blocks.carry_forward("_good", F.when(~flag, F.struct(BIKES, DOCKS))).frame()
-        parts.append(
-            mended.withColumn("dropped", F.col("_good").isNull())
-            .withColumn("r_bikes", F.col(f"_good.{BIKES}"))
-            .withColumn("r_docks", F.col(f"_good.{DOCKS}"))
-            .withColumn("c_bikes", F.col(BIKES))
-            .withColumn("c_docks", F.col(DOCKS))
-            .drop("_good", "_prev", "frozen", BIKES, DOCKS)
-        )
-    rows = reduce(DataFrame.unionByName, parts)
-    return _rescore(neighbourhood(rows, _reach_us(cfg), 0, cfg.block_us), cfg, model, repaired=True)
+        ids = ids_of(exps, fault_class)
+        if ids:
+            parts.append(_sums_side_by_side(repaired_decisions(clean, changes, fault_class, ids, cfg, model), ids, cfg))
+    none = clean.limit(0).selectExpr("*", "'' AS experiment_id", "decision AS c_decision", "proba AS c_proba", "start AS c_start")
+    return reduce(DataFrame.unionByName, parts) if parts else _sums(none, repaired=False)
+
+
+def _sums_side_by_side(rows: DataFrame, ids: list[str], cfg: FeedConfig) -> DataFrame:
+    w = near_window(PERIOD_SERIES)
+    joined = (F.col(US) - F.lag(US).over(w)) <= cfg.max_gap_us
+    clean = ["label", "decision", "proba", "start"]
+    rows = rows.select(
+        HOME, *clean, "c_proba", "c_decision", "r_decision", true_when(joined).alias("_joined"),
+        F.lag("c_decision").over(w).alias("_c"), F.lag("r_decision").over(w).alias("_r"),
+    ).filter(HOME)
+    began = lambda now, was, i: F.get(now, i) & ~(F.col("_joined") & true_when(F.get(was, i)))
+    each = F.transform(F.array(*[F.lit(i) for i in range(len(ids))]), lambda i: F.struct(
+        i.alias("experiment_id"), *[F.get(c, i).alias(c) for c in ("c_proba", "c_decision", "r_decision")],
+        began("c_decision", "_c", i).alias("c_start"), began("r_decision", "_r", i).alias("r_start"),
+    ))
+    sums = _sums(rows.select(*clean, F.explode(each).alias("e")).select(*clean, "e.*"), repaired=True)
+    return sums.withColumn("experiment_id", F.get(F.array(*[F.lit(i) for i in ids]), F.col("experiment_id")))
 
 
 def silent_effects(clean: DataFrame, changes: DataFrame, cfg: FeedConfig) -> DataFrame:

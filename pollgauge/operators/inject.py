@@ -257,6 +257,31 @@ def apply_changes(base: DataFrame, changes: DataFrame, exps: DataFrame) -> DataF
     )
 
 
+def ids_of(exps: DataFrame, fault_class: str) -> list[str]:
+    """The experiments of a class, a handful of names."""
+    return sorted(r[0] for r in _of_class(exps, fault_class).select("experiment_id").collect())
+
+
+def side_by_side(rows: DataFrame, changes: DataFrame, ids: list[str]) -> DataFrame:
+    """The rows once, with arrays `c_bikes` and `c_docks`: the readings of each experiment, in the order of `ids`.
+
+    For faults that remove no row: `apply_changes` for all experiments of a class at once, whose full copies every
+    later step would shuffle.
+    """
+    place = F.array_position(F.array(*[F.lit(i) for i in ids]), F.col("experiment_id"))
+    listed = changes.select(*PERIOD_SERIES, US, F.struct(place.alias("at"), BIKES, DOCKS).alias("e")).filter("e.at > 0")
+    delta = listed.groupBy(*PERIOD_SERIES, US).agg(F.collect_list("e").alias("_new"))
+
+    def each(name: str):
+        new = lambda i: F.filter("_new", lambda e: e["at"] == i)
+        changed = lambda i: F.when(F.size(new(i)) > 0, F.get(new(i), F.lit(0))[name]).otherwise(F.col(name))
+        places = F.array(*[F.lit(i + 1) for i in range(len(ids))])
+        return F.when(F.col("_new").isNull(), F.array_repeat(F.col(name), len(ids))).otherwise(F.transform(places, changed))
+
+    joined = rows.join(delta, [*PERIOD_SERIES, US], "left")
+    return joined.withColumns({"c_bikes": each(BIKES), "c_docks": each(DOCKS)}).drop("_new", BIKES, DOCKS)
+
+
 def exposure(changes: DataFrame, exps: DataFrame, n_rows: DataFrame) -> DataFrame:
     """Per experiment: rows removed or emptied, rows altered, stations affected.
 

@@ -143,6 +143,21 @@ class Blocks:
         self.df = self._join(edges).withColumn(name, F.coalesce(inside, F.col("_carry"))).drop("_carry", "_v")
         return self
 
+    def carry_forward_each(self, name: str, values: Column, n: int) -> Blocks:
+        """Add array `name`: for each of `n` places of the array `values`, the last non-null one up to and including the row."""
+        self._settle()
+        self.df = self.df.withColumn("_v", values)
+        at = [F.get("_v", F.lit(i)) for i in range(n)]
+        known = [F.max_by(v, F.when(v.isNotNull(), F.col(self.order))).alias(f"_known{i}") for i, v in enumerate(at)]
+        before = self._edge_window().rowsBetween(Window.unboundedPreceding, -1)
+        carried = F.array(*[F.last(f"_known{i}", ignorenulls=True).over(before) for i in range(n)])
+        edges = self.df.groupBy(*self.group).agg(*known).select(*self.group, carried.alias("_carry"))
+        up_to = self._window().rowsBetween(Window.unboundedPreceding, 0)
+        self.df = self.df.withColumn("_inside", F.array(*[F.last(v, ignorenulls=True).over(up_to) for v in at]))
+        filled = F.zip_with("_inside", "_carry", lambda inside, carry: F.coalesce(inside, carry))
+        self.df = self._join(edges).withColumn(name, filled).drop("_inside", "_carry", "_v")
+        return self
+
     def running_sum(self, name: str, value: Column) -> Blocks:
         """Add `name`: the sum of `value` from the start of the series to the row."""
         self._settle()
