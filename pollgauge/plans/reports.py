@@ -482,17 +482,16 @@ def silent_truth_join(spark, sf):
 @query("recovered_join", """
 SELECT experiment_id, feed_id, period_id, station_id, us, d_corrupted, d_recovered FROM merged WHERE class = 'class5_jump'""")
 def recovered_join(spark, sf):
-    from pollgauge.operators.repair import safeguard_repair
+    from pollgauge.operators.sequence import HOME
 
-    _, full, clean, exps = _full_copies(spark, sf, X.G.JUMP)
-    keys = ("experiment_id", *PERIOD_SERIES)
-    weather = adapters.weather(spark, sf)
-    seen = _scored_copies(full, weather).select(*keys, US, F.col("decision").alias("_c"))
-    mended = _scored_copies(safeguard_repair(full, X.G.JUMP, K.CFG, keys), weather).select(*keys, US, F.col("decision").alias("_r"))
-    rows = clean.select(*PK).crossJoin(F.broadcast(exps.select("experiment_id")))
-    joined = rows.join(seen, [*keys, US], "left").join(mended, [*keys, US], "left")
-    c = C.true_when(F.col("_c"))
-    return joined.select(*keys, US, c.alias("d_corrupted"), F.coalesce(F.col("_r"), c).alias("d_recovered"))
+    base, periods = K.test_rows(spark, sf)
+    ids = inject.ids_of(inject.experiments(spark, X.G), X.G.JUMP)
+    clean = materialise(evaluate.clean_scores(base, K.CFG, K.MODEL, adapters.weather(spark, sf)), "clean")
+    rows = evaluate.repaired_decisions(clean, K.change_rows(base, periods, [X.G.JUMP]), X.G.JUMP, ids, K.CFG, K.MODEL).filter(HOME)
+    each = F.explode(F.arrays_zip(F.array(*[F.lit(i) for i in ids]).alias("experiment_id"), "c_decision", "r_decision")).alias("e")
+    return rows.select(*PK, each).select(
+        "e.experiment_id", *PK, F.col("e.c_decision").alias("d_corrupted"), F.col("e.r_decision").alias("d_recovered")
+    )
 
 
 @query("feature_pair_join", f"""
