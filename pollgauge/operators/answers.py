@@ -11,7 +11,7 @@ from pollgauge.config import BIKES, DOCKS, FEED, PERIOD, PERIOD_SERIES, SECOND_U
 from pollgauge.functions.columns import hash32, local_ts, logistic, true_when
 from pollgauge.operators.features import weather_join, with_calendar, with_label, with_lags
 from pollgauge.operators.sequence import Blocks, at_home, near_window, neighbourhood
-from pollgauge.session import fixed_table
+from pollgauge.session import fixed_table, materialise
 
 # Fixed values of the experiment: conditions, configurations, decisions, questions.
 CONDITIONS = ("clean", "corrupted", "corrupted_flagged")
@@ -122,20 +122,28 @@ def duplicate_answers(df: DataFrame) -> DataFrame:
 # ---- scenarios ----------------------------------------------------------------------------
 
 
-def _reading(k: int, cfg: FeedConfig, bikes: Column, docks: Column, us: Column, flag: Column) -> Column:
+def _reading(k: int, bikes: Column, docks: Column, us: Column, flag: Column) -> Column:
     return F.struct(
-        F.lit(k).alias("polls_ago"), F.date_format(local_ts(us, cfg.local_tz), "HH:mm").alias("time"),
-        bikes.alias("bikes"), docks.alias("docks"), flag.alias("jump_flag"),
+        F.lit(k).alias("polls_ago"), us.alias(US), bikes.alias("bikes"), docks.alias("docks"), flag.alias("jump_flag"),
     )
 
 
+def with_times(readings: str, cfg: FeedConfig) -> Column:
+    """Readings with the local time as text in place of `us`; best on few rows, as the text is dear."""
+    time = lambda r: F.date_format(local_ts(r[US], cfg.local_tz), "HH:mm").alias("time")
+    return F.transform(readings, lambda r: F.when(
+        r.isNotNull(), F.struct(r["polls_ago"].alias("polls_ago"), time(r), *[r[c].alias(c) for c in ("bikes", "docks", "jump_flag")])
+    ))
+
+
 def side_view(
-    rows: DataFrame, cfg: FeedConfig, model: FrozenModel, weather: DataFrame | None = None, keys: Sequence[str] = PERIOD_SERIES
+    rows: DataFrame, cfg: FeedConfig, model: FrozenModel, weather: DataFrame | None = None, keys: Sequence[str] = PERIOD_SERIES,
+    times: bool = True,
 ) -> DataFrame:
     """Flags, lags, score, decision and label of one side, with its recent readings as one array.
 
     Readings run from the oldest lag to the current poll; a lag that spans too
-    long a time is null.
+    long a time is null.  Without `times` they keep `us`, for `with_times` later.
     """
     blocks = Blocks(rows, keys, cfg.block_us).previous("_prev", [US, BIKES])
     minutes = (F.col(US) - F.col("_prev.us")) / F.lit(60.0 * SECOND_US)
@@ -154,12 +162,14 @@ def side_view(
         items.append(
             F.when(
                 F.col(p).isNotNull(),
-                _reading(k, cfg, F.col(f"{p}.{BIKES}"), F.col(f"{p}.{DOCKS}"), F.col(f"{p}.us"), F.col(f"{p}.jump_flag")),
+                _reading(k, F.col(f"{p}.{BIKES}"), F.col(f"{p}.{DOCKS}"), F.col(f"{p}.us"), F.col(f"{p}.jump_flag")),
             )
         )
-    items.append(_reading(0, cfg, F.col(BIKES), F.col(DOCKS), F.col(US), F.col("jump_flag")))
+    items.append(_reading(0, F.col(BIKES), F.col(DOCKS), F.col(US), F.col("jump_flag")))
     out = at_home(near.withColumn("readings", F.array(*items)))
     out = with_calendar(out.drop(*[f"_past{k}" for k in cfg.lags]))
+    if times:
+        out = out.withColumn("readings", with_times("readings", cfg))
     out = (out if weather is None else weather_join(out, weather)).withColumn("proba", logistic(model))
     return out.withColumn("decision", F.col("proba") >= model.tau)
 
@@ -184,6 +194,9 @@ def scenario_candidates(clean: DataFrame, corrupted: DataFrame, cfg: FeedConfig,
         shown = F.round(f"{side}_proba", 3)
         rows = rows.withColumn(f"{side}_shown", shown).filter((shown >= tau) == F.col(f"{side}_decision"))
     rows = rows.filter(F.exists("c_readings", lambda r: r["jump_flag"]) & ~F.exists("k_readings", lambda r: r["jump_flag"]))
+    for side, view in (("k", clean), ("c", corrupted)):
+        if US in view.schema["readings"].dataType.elementType.fieldNames():
+            rows = rows.withColumn(f"{side}_readings", with_times(f"{side}_readings", cfg))
     return rows.withColumn("flip", F.col("k_decision") != F.col("c_decision")).withColumn(
         "draw", hash32("0", "scenario", F.col(STATION), F.col(PERIOD))
     )
@@ -196,6 +209,7 @@ def first_n_per_kind(candidates: DataFrame, n: int) -> DataFrame:
     firsts = candidates.groupBy(*station, "flip").agg(
         F.min_by(F.struct(*rest), F.struct("draw", US)).alias("x")
     ).select(*station, "flip", "x.*")
+    firsts = materialise(firsts, "firsts")
     flips = firsts.filter("flip").orderBy("draw", *station).limit(n)
     others = firsts.filter("NOT flip").join(flips.select(*station), station, "left_anti").orderBy("draw", *station).limit(n)
     picked = flips.unionByName(others)

@@ -169,8 +169,8 @@ def candidate_rows(spark, sf):
     changes = inject.inject_jump(base, exps, X.G)
     hit = inject.apply_changes(base, changes, exps).select(*base.columns)
     weather = adapters.weather(spark, sf)
-    clean = A.side_view(base, K.CFG, K.MODEL, weather)
-    return materialise(A.scenario_candidates(clean, A.side_view(hit, K.CFG, K.MODEL, weather), K.CFG, K.MODEL.tau), "candidates")
+    clean = A.side_view(base, K.CFG, K.MODEL, weather, times=False)
+    return materialise(A.scenario_candidates(clean, A.side_view(hit, K.CFG, K.MODEL, weather, times=False), K.CFG, K.MODEL.tau), "candidates")
 
 
 @query("scenario_select", """
