@@ -20,9 +20,9 @@ _MARK = f"(SELECT max(us) - {DELAY_US} FROM status)"
 def doc_stream(spark, sf):
     path = work_path(spark, "docs")
     docs = adapters.snapshot_docs(spark, sf).select(FEED, "request", "value")
-    # Compacted archive: one file per feed and day.
-    day = F.substring("request", 1, 8).alias("day")
-    docs.select(FEED, day, "value").repartition(FEED, "day").write.partitionBy(FEED, "day").text(path)
+    # Compacted archive: a file per feed, and one more where a task's range of days ends; a file per feed and day is mostly listing.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs.repartitionByRange(parts, FEED, "request").select(FEED, "value").write.partitionBy(FEED).text(path)
     return X.snapshot_stream(spark, path)
 
 
