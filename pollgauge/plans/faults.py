@@ -436,12 +436,16 @@ SELECT experiment_id, feed_id, period_id, station_id, us, num_bikes_available, n
 def safeguard_repair_query(spark, sf):
     base, periods = K.test_rows(spark, sf)
     exps = inject.experiments(spark, G)
+    chosen = materialise(inject.chosen_periods(base, periods, G), "chosen")
     out = None
     for fault_class in (G.FROZEN, G.CAPACITY, G.JUMP):
-        ours = exps.filter(F.col("class") == fault_class)
-        full = inject.apply_changes(base, K.change_rows(base, periods, [fault_class]), ours)
-        keys = ("experiment_id", *PERIOD_SERIES)
-        part = safeguard_repair(full, fault_class, K.CFG, keys).select(*keys, US, BIKES, DOCKS)
+        ids = inject.ids_of(exps, fault_class)
+        rows = inject.side_by_side(base, inject.change_rows(base, periods, G, [fault_class], chosen), ids)
+        good = safeguard_repair(rows, fault_class, K.CFG, copies=len(ids)).select(*PERIOD_SERIES, US, F.posexplode("good").alias("_at", "_good"))
+        part = good.filter(F.col("_good").isNotNull()).select(
+            F.get(F.array(*[F.lit(i) for i in ids]), F.col("_at")).alias("experiment_id"), *PERIOD_SERIES, US,
+            F.col("_good.bikes").alias(BIKES), F.col("_good.docks").alias(DOCKS),
+        )
         out = part if out is None else out.unionByName(part)
     return out
 
