@@ -31,7 +31,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component of near-duplicates: texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    """Keep one document of each component of near-duplicates: texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    Candidates are SimHash components, by the operator of op8, and MinHash bands."""
     ship(configure(spark))
     return keep_one(docs, shingle=SHINGLE)
 

@@ -175,24 +175,33 @@ def linked(dealt: DataFrame, block: list[str], similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def candidate_groups(nodes: DataFrame) -> DataFrame:
-    """node, grp of every node that shares a band with another one; nodes that chains of shared bands connect are one group."""
+def candidate_groups(nodes: DataFrame, buckets: DataFrame | None = None) -> DataFrame:
+    """node, grp of every node that shares a band with another one; nodes that chains of shared bands connect are one group.
+
+    `buckets` (node, h) are further ones that count like bands.
+    """
     rows = nodes.select("node", F.explode("bands").alias("h"))
+    rows = rows if buckets is None else rows.unionByName(buckets)
     shared = rows.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("h", "lo")
     links = rows.join(shared, "h").filter("node != lo").select(F.col("lo").alias("a"), F.col("node").alias("b"))
     return components(links.distinct()).select("node", F.col("root").alias("grp"))
 
 
 def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = SIMILARITY,
-                       block_nodes: int = BLOCK_NODES, block_shingles: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
+                       block_nodes: int = BLOCK_NODES, block_shingles: int = BLOCK_SHINGLES, groups: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(key, x, node) of every row, and (node, root) of every node with a link to another one.
 
-    Rows of equal sets, texts without words among them, have one node.
+    Rows of equal sets, texts without words among them, have one node. `groups` (x, grp) are candidates found by another
+    method: texts of one group are compared too.
     """
     marked = materialise(sketches(df, key, text, shingle), "sketches")
     nodes = marked.filter("n > 0").groupBy("node").agg(F.min("x").alias("x"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = materialise(nodes, "nodes")
-    groups = materialise(candidate_groups(nodes), "groups")
+    buckets = None
+    if groups is not None:
+        held = marked.filter("n > 0").select("x", "node").distinct().join(groups.distinct(), "x")
+        buckets = held.select("node", F.xxhash64(F.lit("group"), "grp").alias("h")).distinct()
+    groups = materialise(candidate_groups(nodes, buckets), "groups")
     live = materialise(nodes.drop("bands").join(groups, "node"), "live")
     blocks_of = lambda count, size: F.greatest(F.ceil(count / block_nodes), F.ceil(size / block_shingles)).cast("int")
     size = live.groupBy("grp").agg(blocks_of(F.count("*"), F.sum("n")).alias("blocks"), F.min("node").alias("leader"))

@@ -272,14 +272,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     return marked.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, similarity: float = SIMILARITY, budget: int = 3) -> DataFrame:
     """The rows of `docs` without all but one row of each component of near-duplicates: its smallest key stays.
 
+    SimHash components (`near_duplicates`) are candidates, as are texts with equal MinHash bands, for 64 bits miss pairs of
+    different length or few shingles; an exact check of all candidates decides.
+
     Links are pairs of texts whose sets of shingles have a Jaccard similarity of at least `similarity`. Rows are told
     apart by key and text, so a repeated key keeps a row in every component where it is the smallest. Of rows that
     agree in both, null and empty texts being the same, the smallest stays. Rows with a null key are kept.
     """
-    marked, roots = similar_components(docs, key, text, shingle, similarity)
+    found = near_duplicates(docs.select(text_hash(text).alias("x"), F.col(text).alias("text")), "x", "text", shingle, budget)
+    alike = materialise(found.select("x", F.col("component_id").alias("grp")).distinct(), "alike")
+    marked, roots = similar_components(docs, key, text, shingle, similarity, groups=alike)
     # A component is settled by minima, which are reduced before they are dealt out, so a large one is no hot key.
     sets = marked.filter("key IS NOT NULL").groupBy("node").agg(F.min(F.struct("key", "x")).alias("first"))
     named = materialise(sets.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "named")

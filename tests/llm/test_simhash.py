@@ -241,3 +241,27 @@ def labels_of(sets):
 
 def test_near_duplicates_of_an_empty_table(documents):
     assert near_duplicates(documents([])).collect() == []
+
+
+def test_keep_one_takes_its_candidates_from_the_simhash_join(spark, monkeypatch):
+    from pollgauge.llm import near_copies, simhash
+
+    asked = []
+
+    def components_of(df, key, text, shingle, budget):
+        asked.append((sorted(r[key] for r in df.collect()), shingle, budget))
+        return simhash_near(df, key, text, shingle, budget)
+
+    simhash_near = simhash.near_duplicates
+    monkeypatch.setattr(simhash, "near_duplicates", components_of)
+    words = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame(
+        [(1, " ".join(words)), (2, " ".join([*words[:-1], "x"])), (3, "quite another text of a few words"), (None, "a"), (4, None)], "doc_id long, text string"
+    )
+    assert sorted(r["doc_id"] or 0 for r in simhash.keep_one(docs, shingle=5).collect()) == [0, 1, 3, 4]
+    assert len(asked) == 1 and len(asked[0][0]) == 5 and asked[0][1:] == (5, 3)
+    # A SimHash component counts like a band.
+    nodes = spark.createDataFrame([(1, [10, 11]), (2, [12]), (3, [13])], "node long, bands array<bigint>")
+    buckets = spark.createDataFrame([(1, 99), (2, 99)], "node long, h long")
+    assert near_copies.candidate_groups(nodes).count() == 0
+    assert sorted(map(tuple, near_copies.candidate_groups(nodes, buckets).collect())) == [(1, 1), (2, 1)]
