@@ -126,3 +126,48 @@ def test_a_broken_registry_file_is_an_error(spark, tmp_path):
     (tmp_path / "feed_id=f" / "20260102.json.gz").write_bytes(gzip.compress(text.encode())[:30])
     with pytest.raises(Exception, match="end-of-stream"):
         S.registry_scan(spark, str(tmp_path)).collect()
+
+
+def small_archive(spark, tmp_path):
+    at = 1_767_225_600
+    docs = [(f, f"20260101T00{m:02}00Z", poll(at + 60 * m, [(1, m, 10)])) for f in ("a", "b", "c") for m in range(4)]
+    docs.append(("c", "20260101T000900Z", '{"last_updated": 17'))
+    path = str(tmp_path / "archive")
+    S.write_archive(spark.createDataFrame(docs, "feed_id string, request string, value string"), path)
+    return path
+
+
+def test_rows_of_files_are_not_broadcast(spark, tmp_path):
+    """The listing starts from a short list of folders, which is no measure of the rows of their files."""
+    path = small_archive(spark, tmp_path)
+
+    def run(df):
+        rows = df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan and "Broadcast" not in plan
+        return rows
+
+    docs = S.snapshot_files(spark, path)
+    assert [tuple(r)[::2] for r in run(S.lost_files(spark, path, docs))] == [("feed_id=c/poll=20260101T000900Z.json.gz", "malformed")]
+
+
+def test_the_report_lists_the_archive_once(spark, tmp_path, monkeypatch):
+    path = small_archive(spark, tmp_path)
+    listed, plain = [], S.archive_files
+    monkeypatch.setattr(S, "archive_files", lambda *args: listed.append(args) or plain(*args))
+    files = S.materialise(S.archive_files(spark, path), "files")
+    report = S.corrupt_snapshot_report(spark, path, S.snapshot_files(spark, path, files=files), files)
+    assert [tuple(r) for r in report.collect()] == [(13, 12, 1)]
+    assert len(listed) == 1
+
+
+def test_small_files_do_not_get_a_task_for_each_shuffle_partition(spark, tmp_path):
+    path = small_archive(spark, tmp_path)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        docs = S.snapshot_files(spark, path)
+        assert docs.rdd.getNumPartitions() == 32
+        assert docs.count() == 13
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
