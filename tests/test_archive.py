@@ -149,6 +149,13 @@ def test_rows_of_files_are_not_broadcast(spark, tmp_path):
 
     docs = S.snapshot_files(spark, path)
     assert [tuple(r)[::2] for r in run(S.lost_files(spark, path, docs))] == [("feed_id=c/poll=20260101T000900Z.json.gz", "malformed")]
+    log = spark.createDataFrame(
+        [("a", "20260101T000100Z", "200", "x"), ("b", "20260101T000200Z", "ERROR", "y"), ("b", "20260101T000900Z", "200", "z")],
+        "feed_id string, ts string, status string, sha16 string",
+    )
+    at = 1_767_225_600_000_000
+    got = sorted(run(S.poll_snapshot_join(log, S.readable(docs))))
+    assert got == [("a", at + 60_000_000, at + 60_000_000, "x"), ("b", at + 120_000_000, at + 120_000_000, None)]
 
 
 def test_the_report_lists_the_archive_once(spark, tmp_path, monkeypatch):
